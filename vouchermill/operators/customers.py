@@ -22,6 +22,11 @@ from vouchermill.operators.ranking import top_k_per_group
 _TEXTS = ActionTexts.default()
 
 
+def _until(df: DataFrame, as_of: str | None) -> DataFrame:
+    """Rows known on a given reference date."""
+    return df.filter(F.col("txn_date") <= F.lit(as_of).cast("date")) if as_of else df
+
+
 def _with_as_of(df: DataFrame, as_of: str | None, latest: Column) -> DataFrame:
     """Attach the reference date: a given day, or an aggregate of ``df``."""
     if as_of:
@@ -34,7 +39,7 @@ def _with_as_of(df: DataFrame, as_of: str | None, latest: Column) -> DataFrame:
 
 def rfm_totals(ledger: DataFrame, as_of: str | None = None, party: str = "particulars") -> DataFrame:
     """Recency, frequency and monetary value of each party with positive sales."""
-    sales = ledger.filter(is_category("Sales") & (F.col("debit_amount") > 0))
+    sales = _until(ledger, as_of).filter(is_category("Sales") & (F.col("debit_amount") > 0))
     totals = sales.groupBy(F.col(party).alias("customer")).agg(
         F.max("txn_date").alias("last"),
         F.min("txn_date").alias("first"),
@@ -223,7 +228,7 @@ def payment_profile(
     ``all_dates`` is the whole ledger: its last day is the default reference
     date, read as a one-row aggregate of the date column only.
     """
-    totals = payment_totals(ledger, party)
+    totals = payment_totals(_until(ledger, as_of), party)
     if as_of:
         dated = totals.withColumn("as_of", F.lit(as_of).cast("date"))
     else:
@@ -359,7 +364,8 @@ def churn_profile(
     party: str = "particulars",
 ) -> DataFrame:
     """Status, revenue change and revenue at risk of each customer."""
-    totals = _with_as_of(fiscal_split(ledger, prior, current, party), as_of, F.max("last"))
+    split = fiscal_split(_until(ledger, as_of), prior, current, party)
+    totals = _with_as_of(split, as_of, F.max("last"))
     prior_l, current_l = lakhs_exact(F.col("revenue_prior")), lakhs_exact(F.col("revenue_current"))
     days = F.datediff("as_of", "last").cast("bigint")
     change = percent(F.col("revenue_current") - F.col("revenue_prior"), F.col("revenue_prior"))

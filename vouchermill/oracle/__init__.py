@@ -1,2 +1,7 @@
-def statements():
-    return {}
+"""SQL statements that check the registered queries."""
+
+from vouchermill.oracle import customers_sql, models_sql, reports_sql
+
+
+def statements() -> dict[str, str]:
+    return {**reports_sql.S, **customers_sql.S, **models_sql.S}

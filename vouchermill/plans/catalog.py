@@ -93,11 +93,12 @@ def canonical_party(spark, folder):
 
 def _two_sources(spark, folder):
     rows = tables.ledger(spark, folder, ("Sales", "Receipt"))
-    number = F.regexp_extract("vch_no", r"(\d+)$", 1).cast("bigint")
+    rows = rows.withColumn("number", F.regexp_extract("vch_no", r"(\d+)$", 1).cast("bigint"))
+    number = F.col("number")
     # every eleventh voucher of either book has no number
-    unnumbered = rows.withColumn("vch_no", F.when(number % 11 != 0, F.col("vch_no")))
-    first = unnumbered.filter(F.col("txn_date") < F.lit(dt.date(2000, 7, 1)))
-    second = unnumbered.filter((F.col("txn_date") >= F.lit(dt.date(1999, 10, 1))) & (number % 3 != 0))
+    rows = rows.withColumn("vch_no", F.when(number % 11 != 0, F.col("vch_no")))
+    first = rows.filter(F.col("txn_date") < F.lit(dt.date(2000, 7, 1))).drop("number")
+    second = rows.filter((F.col("txn_date") >= F.lit(dt.date(1999, 10, 1))) & (number % 3 != 0)).drop("number")
     return (
         first.withColumn("source_year", F.lit("book-a")),
         second.withColumn("source_year", F.lit("book-b")),
