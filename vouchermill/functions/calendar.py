@@ -18,21 +18,28 @@ def fiscal_start_year(d: Column, start_month: int = FY_START) -> Column:
     return F.year(d) - F.when(F.month(d) < start_month, 1).otherwise(0)
 
 
-def fiscal_year(d: Column, start_month: int = FY_START) -> Column:
-    """``2024-25`` for dates from April 2024 to March 2025."""
-    y = fiscal_start_year(d, start_month)
+def fiscal_label(y: Column) -> Column:
+    """``2024-25`` for the start year 2024."""
     return F.concat(
         y.cast("string"), F.lit("-"), F.lpad(F.pmod(y + 1, F.lit(100)).cast("string"), 2, "0")
     )
 
 
+def fiscal_year(d: Column, start_month: int = FY_START) -> Column:
+    """``2024-25`` for dates from April 2024 to March 2025."""
+    return fiscal_label(fiscal_start_year(d, start_month))
+
+
 def fiscal_month_num(d: Column, start_month: int = FY_START) -> Column:
     return F.pmod(F.month(d) - start_month, F.lit(12)) + 1
 
 
+def fiscal_quarter_num(d: Column, start_month: int = FY_START) -> Column:
+    return F.floor(F.pmod(F.month(d) - start_month, F.lit(12)) / 3) + 1
+
+
 def fiscal_quarter(d: Column, start_month: int = FY_START) -> Column:
-    q = F.floor(F.pmod(F.month(d) - start_month, F.lit(12)) / 3) + 1
-    return F.concat(F.lit("Q"), q.cast("string"))
+    return F.concat(F.lit("Q"), fiscal_quarter_num(d, start_month).cast("string"))
 
 
 def month_name(d: Column) -> Column:

@@ -15,8 +15,8 @@ def _zero() -> Column:
 
 def sum_where(condition: Column, amount: str) -> Column:
     """Conditional sum, 0 when no row qualifies."""
-    total = F.sum(F.when(condition, F.col(amount)).otherwise(_zero()))
-    return F.coalesce(total, _zero())
+    # rows that do not qualify are NULL, which the sum skips without adding
+    return F.coalesce(F.sum(F.when(condition, F.col(amount))), _zero())
 
 
 def sum_of(category: str, amount: str) -> Column:
@@ -77,7 +77,7 @@ def derived_measures() -> dict[str, Column]:
     }
 
 
-def measure_totals(df: DataFrame, keys: list[str], any_category: bool = False) -> DataFrame:
+def measure_totals(df: DataFrame, keys: list, any_category: bool = False) -> DataFrame:
     """Every additive and derived measure per key, one pass over the rows."""
     base = base_measures(any_category)
     totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in base.items()])

@@ -9,9 +9,11 @@ from pyspark.sql import Column, functions as F
 _WIDE = "decimal(38,6)"
 _PER_LAKH = Decimal("0.00001")
 
-# precision of a value bucket: values below 2**_BITS have a bucket each, larger
-# ones share one with the values that agree in their leading _BITS bits
-_BITS = 11
+# Value buckets: amounts below 2**_BITS cents have a bucket each, larger ones share
+# one with those that agree in their leading bits; the cut moves in steps of _STEP.
+_BITS = 17
+_STEP = 6
+_LONG_BITS = 63
 
 
 def half_up(c: Column, digits: int) -> Column:
@@ -55,14 +57,23 @@ def value_bucket(amount: Column) -> Column:
     ``value_bucket(a) <= value_bucket(b)``.
 
     Integer arithmetic on the cents (leading bits plus their position), so every
-    executor computes the same bucket. There are at most about 112,000 buckets,
-    whatever the data, and about 1,000 per doubling of the amount.
+    executor computes the same bucket. At least 11 leading bits count, so a bucket
+    spans less than a thousandth of its amount; there are at most about a million
+    buckets, whatever the data.
     """
     v = cents(amount)
     magnitude = F.abs(v)
-    shift = F.greatest(F.length(F.bin(magnitude)) - _BITS, F.lit(0))
-    key = shift * (2 ** (_BITS + 1)) + F.call_function("shiftright", magnitude, shift).cast("int")
-    return F.when(v < 0, -key - 1).otherwise(key)
+
+    def key(shift: int) -> Column:
+        # a multiple of 2**(_BITS + 1) keeps the ranges of two shifts apart
+        return (F.shiftright(magnitude, shift) + shift * 2 ** (_BITS + 1)).cast("int")
+
+    shifts = list(range(0, _LONG_BITS - _BITS + _STEP, _STEP))
+    bucket = F.when(magnitude < 2**_BITS, key(0))
+    for s in shifts[1:-1]:
+        bucket = bucket.when(magnitude < 2 ** (_BITS + s), key(s))
+    bucket = bucket.otherwise(key(shifts[-1]))
+    return F.when(v < 0, -bucket - 1).otherwise(bucket)
 
 
 def band(c: Column, edges: tuple, scores: tuple) -> Column:

@@ -1,4 +1,4 @@
-"""Exact per-group quantiles that survive a hot group."""
+"""Exact per-group quartiles that survive a hot group."""
 
 from __future__ import annotations
 
@@ -8,25 +8,63 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from vouchermill.functions.numeric import value_bucket
 
+# an entity with more rows than this is split; the list of such entities is
+# broadcast, so it is held below _MAX_HOT entries by raising the limit with the data
+HOT_ROWS = 1_000_000
+_MAX_HOT = 1_000_000
 
-def exact_quartiles(df: DataFrame, entity: str, amount: str) -> DataFrame:
+_QUARTILE = "decimal(22,4)"
+
+
+def exact_quartiles(df: DataFrame, entity: str, amount: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Row count, sum and linearly interpolated quartiles of each entity.
 
-    An exact percentile aggregate holds every distinct amount of an entity in one
-    buffer. Here a first pass counts order-preserving buckets per entity, which
-    locates the buckets holding the wanted order statistics; a second pass counts
-    the distinct amounts of just those buckets. Every count has map-side combine,
-    and no window sees more than the buckets of an entity or the amounts of a
-    bucket.
+    A first aggregate counts the rows of each entity. All but the hot entities
+    take Spark's exact percentile, whose buffer holds the distinct amounts of one
+    entity; hot ones go through :func:`split_quartiles`, which never gathers an
+    entity. Without hot entities Spark drops that branch at run time.
     """
     rows = df.select(F.col(entity).alias("_e"), F.col(amount).cast("decimal(18,2)").alias("_a"))
+    rows = rows.filter(F.col("_e").isNotNull())
+    sizes = rows.groupBy("_e").agg(F.count(F.lit(1)).alias("_n"))
+    everything = sizes.agg(F.sum("_n").alias("_all"))
+    limit = F.greatest(F.lit(hot_rows).cast("bigint"), F.floor(F.col("_all") / _MAX_HOT))
+    hot = sizes.crossJoin(F.broadcast(everything)).filter(F.col("_n") > limit).select("_e")
+
+    usual = rows.join(F.broadcast(hot), "_e", "left_anti")
+    gathered = usual.groupBy("_e").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.sum("_a").alias("total_amount"),
+        F.percentile("_a", [0.25, 0.75]).alias("_q"),
+    )
+    usual_q = gathered.select(
+        "_e",
+        "row_count",
+        "total_amount",
+        F.col("_q")[0].cast(_QUARTILE).alias("q1"),
+        F.col("_q")[1].cast(_QUARTILE).alias("q3"),
+    )
+    hot_q = split_quartiles(rows.join(F.broadcast(hot), "_e", "left_semi"))
+    return usual_q.unionByName(hot_q).withColumnRenamed("_e", entity)
+
+
+def split_quartiles(rows: DataFrame) -> DataFrame:
+    """Quartiles of ``_a`` per ``_e`` from bucket counts.
+
+    A first pass counts order-preserving buckets per entity, which locates the
+    buckets holding the wanted order statistics; a second pass counts the distinct
+    amounts of just those buckets. Every count has map-side combine, and no window
+    sees more than the buckets of an entity or the amounts of a bucket.
+    """
     rows = rows.withColumn("_b", value_bucket(F.col("_a")))
     buckets = rows.groupBy("_e", "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_a").alias("_s"))
 
     per_entity = Window.partitionBy("_e")
     upto = per_entity.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     placed = buckets.select(
-        "_e", "_b", "_n", "_s",
+        "_e",
+        "_b",
+        "_n",
         F.sum("_n").over(per_entity).alias("_total"),
         F.sum("_n").over(upto).alias("_end"),
     )
@@ -43,9 +81,7 @@ def exact_quartiles(df: DataFrame, entity: str, amount: str) -> DataFrame:
     targets = placed.filter(inside).select("_e", "_b", "_total", start.alias("_start"))
     totals = buckets.groupBy("_e").agg(F.sum("_n").alias("row_count"), F.sum("_s").alias("total_amount"))
 
-    counted = (
-        rows.groupBy("_e", "_b", "_a").agg(F.count(F.lit(1)).alias("_n")).join(targets, ["_e", "_b"])
-    )
+    counted = rows.groupBy("_e", "_b", "_a").agg(F.count(F.lit(1)).alias("_n")).join(targets, ["_e", "_b"])
     within = Window.partitionBy("_e", "_b").orderBy("_a").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_end", F.col("_start") + F.sum("_n").over(within))
     first = F.col("_end") - F.col("_n")
@@ -60,7 +96,11 @@ def exact_quartiles(df: DataFrame, entity: str, amount: str) -> DataFrame:
     def interpolate(numerator: int, low: str, high: str):
         # the fraction is a multiple of a quarter, so DECIMAL stays exact
         part = (((F.col("_total") - 1) * numerator) % 4).cast("decimal(2,0)") * F.lit(Decimal("0.25"))
-        return (F.col(low) + (F.col(high) - F.col(low)) * part).cast("decimal(22,4)")
+        return (F.col(low) + (F.col(high) - F.col(low)) * part).cast(_QUARTILE)
 
-    quartiles = picked.select("_e", interpolate(1, "_p0", "_p1").alias("q1"), interpolate(3, "_p2", "_p3").alias("q3"))
-    return totals.join(quartiles, "_e").withColumnRenamed("_e", entity)
+    quartiles = picked.select(
+        "_e", interpolate(1, "_p0", "_p1").alias("q1"), interpolate(3, "_p2", "_p3").alias("q3")
+    )
+    return totals.join(quartiles, "_e").select(
+        "_e", "row_count", F.col("total_amount").cast("decimal(28,2)").alias("total_amount"), "q1", "q3"
+    )

@@ -6,7 +6,15 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vouchermill.functions.calendar import in_fiscal_year, iso, month_bucket, month_name
+from vouchermill.functions.calendar import (
+    fiscal_label,
+    fiscal_quarter_num,
+    fiscal_start_year,
+    in_fiscal_year,
+    iso,
+    month_bucket,
+    month_name,
+)
 from vouchermill.functions.categories import is_category
 from vouchermill.functions.measures import (
     base_measures,
@@ -24,7 +32,20 @@ MONTH = "month"
 
 
 def _month():
-    return month_bucket(F.col("txn_date")).alias(MONTH)
+    # grouping by the first day is cheap, its text is made after aggregation
+    return F.trunc("txn_date", "MM").alias("_m")
+
+
+def _month_text():
+    return month_bucket(F.col("_m")).alias(MONTH)
+
+
+def _year():
+    return fiscal_start_year(F.col("txn_date")).alias("_y")
+
+
+def _year_text():
+    return fiscal_label(F.col("_y")).alias("fiscal_year")
 
 
 def _mean(total: str, n: str):
@@ -34,17 +55,17 @@ def _mean(total: str, n: str):
 def monthly_sales_trend(ledger: DataFrame) -> DataFrame:
     sales = ledger.filter(is_category("Sales"))
     totals = sales.groupBy(_month()).agg(F.sum("debit_amount").alias("s"))
-    return totals.select(MONTH, half_up(F.col("s"), 0).alias("total_sales")).orderBy(MONTH)
+    return totals.select(_month_text(), half_up(F.col("s"), 0).alias("total_sales")).orderBy(MONTH)
 
 
 def monthly_revenue_fy(ledger: DataFrame, fy: str) -> DataFrame:
     sales = ledger.filter(is_category("Sales") & in_fiscal_year(fy))
-    totals = sales.groupBy(_month(), month_name(F.col("txn_date")).alias("month_name")).agg(
+    totals = sales.groupBy(_month()).agg(
         F.sum("debit_amount").alias("s"), F.count(F.lit(1)).alias("num_invoices")
     )
     return totals.select(
-        MONTH,
-        "month_name",
+        _month_text(),
+        month_name(F.col("_m")).alias("month_name"),
         half_up(F.col("s"), 2).alias("total_sales"),
         "num_invoices",
         half_up(_mean("s", "num_invoices"), 2).alias("avg_invoice_value"),
@@ -147,7 +168,7 @@ def _cash_flow(rows: DataFrame, receipt_amount: str) -> DataFrame:
         sum_of("Receipt", receipt_amount).alias("i"), sum_of("Payment", "debit_amount").alias("o")
     )
     return totals.select(
-        MONTH,
+        _month_text(),
         half_up(F.col("i"), 0).alias("cash_in"),
         half_up(F.col("o"), 0).alias("cash_out"),
         half_up(F.col("i") - F.col("o"), 0).alias("net_cash_flow"),
@@ -174,10 +195,10 @@ def cumulative_cash(ledger: DataFrame) -> DataFrame:
         sum_of("Receipt", "credit_amount").alias("i"), sum_of("Payment", "debit_amount").alias("o")
     )
     # one row per calendar month: small whatever the ledger
-    upto = Window.orderBy(MONTH).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
     net = F.col("i") - F.col("o")
     return totals.select(
-        MONTH,
+        _month_text(),
         half_up(net, 0).alias("net_cash"),
         F.when(net >= 0, "inflow").otherwise("outflow").alias("sign"),
         half_up(F.sum("i").over(upto), 0).alias("cumulative_in"),
@@ -199,12 +220,12 @@ def volume_by_weekday(ledger: DataFrame) -> DataFrame:
 
 
 def tax_liability(ledger: DataFrame, rate: str = "0.05") -> DataFrame:
-    totals = ledger.groupBy("fiscal_year").agg(
+    totals = ledger.groupBy(_year()).agg(
         sum_of("Sales", "debit_amount").alias("o"), sum_of("Purchase", "credit_amount").alias("i")
     )
     net = (F.col("o") - F.col("i")) * F.lit(Decimal(rate))
     return totals.select(
-        "fiscal_year",
+        _year_text(),
         half_up(F.col("o"), 0).alias("output_taxable"),
         half_up(F.col("i"), 0).alias("input_taxable"),
         half_up(net, 0).alias("net_liability"),
@@ -212,14 +233,14 @@ def tax_liability(ledger: DataFrame, rate: str = "0.05") -> DataFrame:
 
 
 def quarterly_performance(ledger: DataFrame) -> DataFrame:
-    totals = ledger.groupBy("fiscal_year", "quarter").agg(
+    totals = ledger.groupBy(_year(), fiscal_quarter_num(F.col("txn_date")).alias("_q")).agg(
         sum_of("Sales", "debit_amount").alias("s"),
         sum_of("Purchase", "credit_amount").alias("p"),
         count_where(is_category("Sales")).alias("sales_invoices"),
     )
     return totals.select(
-        "fiscal_year",
-        "quarter",
+        _year_text(),
+        F.concat(F.lit("Q"), F.col("_q").cast("string")).alias("quarter"),
         half_up(F.col("s"), 0).alias("sales"),
         half_up(F.col("p"), 0).alias("purchases"),
         "sales_invoices",
@@ -255,9 +276,9 @@ SUMMARY_AMOUNTS = (
 def financial_summary(ledger: DataFrame, fy: str | None = None) -> DataFrame:
     """Profit and cash figures per fiscal year, in crores, with two ratios."""
     rows = ledger.filter(in_fiscal_year(fy)) if fy else ledger
-    totals = measure_totals(rows, ["fiscal_year"])
+    totals = measure_totals(rows, [_year()])
     return totals.select(
-        "fiscal_year",
+        _year_text(),
         *[crores(F.col(n)).alias(n) for n in SUMMARY_AMOUNTS],
         half_up(F.col("gross_margin_pct"), 1).alias("gross_margin_pct"),
         half_up(F.col("net_profit_pct"), 1).alias("net_profit_pct"),
@@ -278,7 +299,7 @@ YOY_METRICS = {
 def yoy_comparison(ledger: DataFrame, fy_a: str, fy_b: str) -> DataFrame:
     """Six metrics in long form with growth in percent, 0 when the base is 0."""
     rows = ledger.filter(in_fiscal_year(fy_a) | in_fiscal_year(fy_b))
-    totals = measure_totals(rows, ["fiscal_year"])
+    totals = measure_totals(rows, [_year()]).withColumn("fiscal_year", fiscal_label(F.col("_y")))
     pairs = ", ".join(f"'{label}', cast({c} as decimal(38,2))" for label, c in YOY_METRICS.items())
     long = totals.select("fiscal_year", F.expr(f"stack({len(YOY_METRICS)}, {pairs}) as (metric, amount)"))
 
@@ -297,8 +318,8 @@ def yoy_comparison(ledger: DataFrame, fy_a: str, fy_b: str) -> DataFrame:
 
 
 def category_counts(ledger: DataFrame) -> DataFrame:
-    counts = ledger.groupBy("fiscal_year", "txn_category").agg(F.count(F.lit(1)).alias("rows"))
-    return counts.orderBy("fiscal_year", F.col("rows").desc(), "txn_category")
+    counts = ledger.groupBy(_year(), "txn_category").agg(F.count(F.lit(1)).alias("rows"))
+    return counts.select(_year_text(), "txn_category", "rows").orderBy("fiscal_year", F.col("rows").desc(), "txn_category")
 
 
 def ledger_profile(ledger: DataFrame) -> DataFrame:
@@ -307,7 +328,7 @@ def ledger_profile(ledger: DataFrame) -> DataFrame:
     One aggregate by year and party feeds both levels; parties of all years are
     counted after a second, map-side combined step.
     """
-    pairs = ledger.groupBy("fiscal_year", "particulars").agg(
+    pairs = ledger.groupBy(_year(), "particulars").agg(
         F.count(F.lit(1)).alias("n"), F.min("txn_date").alias("lo"), F.max("txn_date").alias("hi")
     )
     columns = [
@@ -316,7 +337,7 @@ def ledger_profile(ledger: DataFrame) -> DataFrame:
         F.max("hi").alias("hi"),
         F.count("particulars").alias("parties"),
     ]
-    by_year = pairs.groupBy("fiscal_year").agg(*columns)
+    by_year = pairs.groupBy("_y").agg(*columns).select(_year_text(), "rows", "lo", "hi", "parties")
     by_party = pairs.groupBy("particulars").agg(
         F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
@@ -343,10 +364,10 @@ def measures_by_year(ledger: DataFrame) -> DataFrame:
     counted and the largest party is found without expanding the rows.
     """
     base = base_measures(any_category=True)
-    per_party = ledger.groupBy("fiscal_year", "particulars").agg(
+    per_party = ledger.groupBy(_year(), "particulars").agg(
         *[c.alias(n) for n, c in base.items()], count_where(is_category("Sales")).alias("_n")
     )
-    years = per_party.groupBy("fiscal_year").agg(
+    years = per_party.groupBy("_y").agg(
         *[F.sum(n).alias(n) for n in base],
         count_where(F.col("_n") > 0).alias("active_customers"),
         F.count("particulars").alias("parties"),
@@ -359,7 +380,7 @@ def measures_by_year(ledger: DataFrame) -> DataFrame:
         "net_cash", "net_cash_payments_only", "owner_drawings", "loan_payments",
     ]
     return full.select(
-        "fiscal_year",
+        _year_text(),
         *[half_up(F.col(n), 2).alias(n) for n in amounts],
         half_up(F.col("gross_margin_pct"), 1).alias("gross_margin_pct"),
         half_up(F.col("blueprint_margin_ratio"), 4).alias("blueprint_margin_ratio"),

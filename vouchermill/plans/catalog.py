@@ -32,14 +32,14 @@ CASH = ("Receipt", "Payment")
 TRADE = ("Sales", "Purchase")
 
 
-def _canonical(spark: SparkSession, folder: str, categories=("Sales",)) -> DataFrame:
-    rows = tables.ledger(spark, folder, categories)
+def _canonical(spark: SparkSession, folder: str, categories=("Sales",), derived: bool = False) -> DataFrame:
+    rows = tables.ledger(spark, folder, categories, derived=derived)
     return parties.canonical_party(rows, tables.party_alias(spark, folder))
 
 
-def _over(operator, categories=tables.ALL_CATEGORIES, party: bool = True, **options) -> Query:
+def _over(operator, categories=tables.ALL_CATEGORIES, party: bool = True, derived: bool = False, **options) -> Query:
     """Query that applies an operator to the ledger of some categories."""
-    return lambda spark, folder: operator(tables.ledger(spark, folder, categories, party), **options)
+    return lambda spark, folder: operator(tables.ledger(spark, folder, categories, party, derived), **options)
 
 
 def _rows(df: DataFrame, *columns) -> DataFrame:
@@ -149,7 +149,7 @@ def party_keyword_payments(spark, folder):
 
 def star_join(spark, folder):
     sales = tables.ledger(spark, folder, ("Sales",))
-    days = cal.ledger_calendar(tables.ledger(spark, folder, party=False))
+    days = cal.ledger_calendar(tables.ledger(spark, folder, ("Sales",), party=False))
     nation = read_table(spark, folder, "nation").select("n_nationkey", "n_name")
     people = read_table(spark, folder, "customer")
     dim = people.join(nation, people.c_nationkey == nation.n_nationkey, "left").select(
@@ -213,7 +213,7 @@ def _events(spark, folder):
 
 
 def _sales_rows(spark, folder):
-    sales = _canonical(spark, folder).filter(F.col("debit_amount") > 0)
+    sales = _canonical(spark, folder, derived=True).filter(F.col("debit_amount") > 0)
     return sales.select("particulars", "debit_amount", "txn_date", "vch_no", "fiscal_year")
 
 
@@ -231,7 +231,7 @@ def iqr_event_anomalies(spark, folder):
 
 
 def _all_anomalies(spark, folder):
-    return anomalies.all_anomalies(_canonical(spark, folder, TRADE))
+    return anomalies.all_anomalies(_canonical(spark, folder, TRADE, derived=True))
 
 
 # ---------------------------------------------------------------- forecast
@@ -439,9 +439,9 @@ def registry() -> dict[str, Query]:
         "measures_by_fy": _over(r.measures_by_year),
         # feeds
         "feed_kpi_cards": _over(f.kpi_cards),
-        "feed_kpi_cards_sliced": lambda s, d: f.kpi_cards(f.slice_ledger(tables.ledger(s, d), FY, "Q2")),
+        "feed_kpi_cards_sliced": lambda s, d: f.kpi_cards(f.slice_ledger(tables.ledger(s, d, derived=True), FY, "Q2")),
         "feed_revenue_sliced_by_segment": lambda s, d: r.monthly_sales_trend(
-            f.slice_ledger(_canonical(s, d), segments=_rfm(s, d), segment="At Risk")
+            f.slice_ledger(_canonical(s, d, derived=True), segments=_rfm(s, d), segment="At Risk")
         ),
         "feed_revenue_forecast": lambda s, d: f.revenue_with_average(_timeline(s, d)),
         "feed_sales_vs_purchase": _trade(f.sales_vs_purchase),
@@ -449,7 +449,7 @@ def registry() -> dict[str, Query]:
         "feed_revenue_by_customer": lambda s, d: f.revenue_by_customer(_canonical(s, d), _rfm(s, d)),
         "feed_pareto_line": _over(f.pareto_line, sales),
         "feed_customer_month_matrix": _over(f.customer_month_matrix, sales, fy=FY),
-        "feed_sales_by_quarter": _over(f.sales_by_quarter, sales, party=False),
+        "feed_sales_by_quarter": _over(f.sales_by_quarter, sales, party=False, derived=True),
         "feed_supplier_buckets": lambda s, d: f.supplier_buckets(tables.purchase_register(s, d)),
         "feed_cash_kpis": lambda s, d: f.cash_kpis(tables.ledger(s, d, CASH, False), _payment(s, d)),
         "feed_top_payers": _over(f.top_payers_per_month, ("Receipt",)),

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vouchermill.config import ChurnConfig
-from vouchermill.functions.calendar import FISCAL_MONTH_NAMES, in_fiscal_year, iso, month_bucket, month_name
+from vouchermill.functions.calendar import (
+    FISCAL_MONTH_NAMES,
+    fiscal_label,
+    fiscal_start_year,
+    in_fiscal_year,
+    iso,
+    month_bucket,
+    month_name,
+)
 from vouchermill.functions.categories import is_category
 from vouchermill.functions.measures import base_measures, count_where, derived_measures, sum_of
 from vouchermill.functions.numeric import half_up, percent, ratio
@@ -82,13 +90,13 @@ def sales_vs_purchase(ledger: DataFrame, target: float = 0.65) -> DataFrame:
 
 
 def margin_gauge(ledger: DataFrame, target: float = 30.0, full: float = 60.0) -> DataFrame:
-    t = ledger.groupBy("fiscal_year").agg(
+    t = ledger.groupBy(fiscal_start_year(F.col("txn_date")).alias("_y")).agg(
         sum_of("Sales", "debit_amount").alias("s"), sum_of("Purchase", "credit_amount").alias("p")
     )
     pct = F.coalesce(percent(F.col("s") - F.col("p"), F.col("s")), F.lit(0.0))
     shown = half_up(pct, 2)
     return t.select(
-        "fiscal_year",
+        fiscal_label(F.col("_y")).alias("fiscal_year"),
         shown.alias("margin_pct"),
         F.lit(target).alias("target_pct"),
         (shown >= target).alias("target_met"),
@@ -166,14 +174,13 @@ def cash_extremes(ledger: DataFrame) -> DataFrame:
     """Best and worst cash month; the earlier month wins a tie."""
     rows = ledger.filter(is_category("Payment", "Receipt"))
     net = sum_of("Receipt", "credit_amount") - sum_of("Payment", "debit_amount")
-    months = rows.groupBy(month_bucket(F.col("txn_date")).alias(MONTH)).agg(net.alias("net"))
-    by_net = F.struct("net", (-F.unix_date(F.to_date(F.concat(MONTH, F.lit("-01"))))).alias("k"), MONTH)
-    low = F.struct("net", MONTH)
-    t = months.agg(F.max(by_net).alias("hi"), F.min(low).alias("lo"))
+    months = rows.groupBy(F.trunc("txn_date", "MM").alias("m")).agg(net.alias("net"))
+    high = F.struct("net", (-F.unix_date("m")).alias("k"), "m")
+    t = months.agg(F.max(high).alias("hi"), F.min(F.struct("net", "m")).alias("lo"))
     return t.select(
-        F.col(f"hi.{MONTH}").alias("best_month"),
+        month_bucket(F.col("hi.m")).alias("best_month"),
         half_up(F.col("hi.net"), 0).alias("best_net_cash"),
-        F.col(f"lo.{MONTH}").alias("worst_month"),
+        month_bucket(F.col("lo.m")).alias("worst_month"),
         half_up(F.col("lo.net"), 0).alias("worst_net_cash"),
     )
 
@@ -189,11 +196,11 @@ def cash_kpis(ledger: DataFrame, payment: DataFrame) -> DataFrame:
 
 def top_payers_per_month(ledger: DataFrame, k: int = 5) -> DataFrame:
     rows = ledger.filter(is_category("Receipt"))
-    t = rows.groupBy(month_bucket(F.col("txn_date")).alias(MONTH), F.col("particulars").alias("customer")).agg(
+    t = rows.groupBy(F.trunc("txn_date", "MM").alias("m"), F.col("particulars").alias("customer")).agg(
         F.sum("credit_amount").alias("s")
     )
-    top = top_k_per_group(t, [MONTH], [F.col("s").desc(), F.col("customer")], k)
-    return top.select(MONTH, "position", "customer", half_up(F.col("s"), 2).alias("received")).orderBy(
+    top = top_k_per_group(t, ["m"], [F.col("s").desc(), F.col("customer")], k)
+    return top.select(month_bucket(F.col("m")).alias(MONTH), "position", "customer", half_up(F.col("s"), 2).alias("received")).orderBy(
         MONTH, "position"
     )
 

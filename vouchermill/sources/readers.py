@@ -60,5 +60,13 @@ def read_register(spark: SparkSession, path: str, schema: StructType) -> DataFra
     return df.withColumns({n: trim_text(F.col(n)) for n in texts})
 
 
+_known_schemas: dict[str, StructType] = {}
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """Table by name. Its schema is taken from the first footer once per path, so
+    that a query reading a table several times starts no further lookup."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _known_schemas:
+        _known_schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_known_schemas[path]).parquet(path)

@@ -50,17 +50,24 @@ class Voucher:
 
 
 def _emit(df: DataFrame, vouchers: list[Voucher]) -> DataFrame:
-    """One output row per input row and voucher that applies to it."""
+    """One output row per input row and voucher that applies to it.
+
+    Only the number of the voucher kind is exploded. Its columns are chosen by
+    that number afterwards, so those a query does not read are never built.
+    """
     if len(vouchers) == 1:
         v = vouchers[0]
         rows = df if v.where is None else df.filter(v.where)
         return rows.select(*v.columns())
-    entries = []
-    for v in vouchers:
-        row = F.struct(*v.columns())
-        entries.append(row if v.where is None else F.when(v.where, row))
-    exploded = df.select(F.explode(F.array(*entries)).alias("v"))
-    return exploded.filter(F.col("v").isNotNull()).select(*[F.col(f"v.{c}").alias(c) for c in COLUMNS])
+    kinds = [F.lit(i) if v.where is None else F.when(v.where, F.lit(i)) for i, v in enumerate(vouchers)]
+    rows = df.select("*", F.explode(F.array(*kinds)).alias("_kind")).filter(F.col("_kind").isNotNull())
+    chosen = []
+    for name, choices in zip(COLUMNS, zip(*[v.columns() for v in vouchers])):
+        c = F.when(F.col("_kind") == 0, choices[0])
+        for i, choice in enumerate(choices[1:], 1):
+            c = c.when(F.col("_kind") == i, choice)
+        chosen.append(c.alias(name))
+    return rows.select(*chosen)
 
 
 def _money(c: Column) -> Column:
@@ -160,9 +167,9 @@ def ledger(
     folder: str,
     categories: tuple = ALL_CATEGORIES,
     party: bool = True,
-    derived: bool = True,
+    derived: bool = False,
 ) -> DataFrame:
-    """Day book with the asked categories."""
+    """Day book with the asked categories; ``derived`` adds the calendar columns."""
     wanted = set(categories)
     parts = []
     order_side = _order_vouchers(wanted)
@@ -198,7 +205,7 @@ def party_alias(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def purchase_register(spark: SparkSession, folder: str) -> DataFrame:
-    p = ledger(spark, folder, ("Purchase",), derived=False)
+    p = ledger(spark, folder, ("Purchase",))
     d = F.col("txn_date")
     return p.select(
         d,
