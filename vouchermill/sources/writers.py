@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", order_by: list | None = None) -> None:
@@ -20,25 +20,18 @@ def write_ledger(
     df: DataFrame,
     path: str,
     partition_by: tuple = ("fiscal_year", "txn_category"),
-    spread: int = 1,
     mode: str = "overwrite",
 ) -> None:
     """Ledger as Parquet, partitioned by fiscal year and category.
 
     Almost every query names a category and many name a year, so both prune
-    whole folders. Rows are shuffled to their folder first, which keeps the
-    number of files down; ``spread`` divides each folder over that many tasks, so
-    that a category with most of the rows is not written by one. Sorting by date
-    within a task gives tight row-group statistics.
+    whole folders. The rebalance hint brings the rows of a folder together, which
+    keeps the number of files down, and splits a folder that holds most of the
+    rows over several tasks. Sorting by date within a task gives tight row-group
+    statistics.
     """
-    keys = [F.col(c) for c in partition_by]
-    if spread > 1:
-        # a hash of the row, not a random number: a retried task sends every
-        # row where it went before
-        salt = F.pmod(F.xxhash64("vch_no", "txn_date", "particulars", "debit_amount", "credit_amount"), F.lit(spread))
-        keys.append(salt)
     (
-        df.repartition(*keys)
+        df.hint("rebalance", *partition_by)
         .sortWithinPartitions(*partition_by, "txn_date")
         .write.mode(mode)
         .partitionBy(*partition_by)
