@@ -10,7 +10,7 @@ from vouchermill.config import FLAG_HIGH, FLAG_LOW, IqrConfig
 from vouchermill.functions.calendar import iso
 from vouchermill.functions.categories import is_category
 from vouchermill.functions.numeric import half_up
-from vouchermill.operators.joins import join_per_key
+from vouchermill.operators.joins import attach_row, join_per_key
 from vouchermill.operators.quantiles import exact_quartiles
 from vouchermill.operators.ranking import top_k_per_group
 
@@ -106,6 +106,15 @@ def by_deviation(anomalies: DataFrame) -> DataFrame:
     return anomalies.orderBy("txn_type", F.col("deviation_pct").desc(), "customer", "vch_no")
 
 
+def top_anomalies(anomalies: DataFrame, k: int = 10) -> DataFrame:
+    """Flagged rows of each type that deviate most upwards."""
+    order = [F.col("deviation_pct").desc(), F.col("customer"), F.col("vch_no"), F.col("amount")]
+    top = top_k_per_group(anomalies, ["txn_type"], order, k)
+    return top.select(
+        "txn_type", "position", "txn_date", "customer", "amount", "entity_mean", "deviation_pct", "flag_type"
+    ).orderBy("txn_type", "position")
+
+
 def anomaly_counts(anomalies: DataFrame) -> DataFrame:
     counts = anomalies.groupBy("txn_type", "flag_type").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.col("amount").cast("decimal(28,2)")).alias("s")
@@ -142,12 +151,12 @@ def with_entity_baseline(df: DataFrame, entity: str, amount: str) -> DataFrame:
 def zscore_rows(df: DataFrame, amount: str, cut: float = 2.0, high: float = 3.0) -> DataFrame:
     """Rows whose z-score over the positive amounts exceeds ``cut``.
 
-    Mean and population variance are a one-row aggregate that is broadcast.
+    Mean and population variance are a one-row aggregate.
     """
     value = F.col(amount).cast("double")
     stats = df.filter(F.col(amount) > 0).agg(F.avg(value).alias("_mean"), F.var_pop(value).alias("_var"))
     z = F.try_divide(value - F.col("_mean"), F.sqrt("_var"))
-    scored = df.crossJoin(F.broadcast(stats)).withColumn("_z", z).filter(F.col("_z") > cut)
+    scored = attach_row(df, stats).withColumn("_z", z).filter(F.col("_z") > cut)
     return scored.withColumn("z_score", half_up(F.col("_z"), 2)).withColumn(
         "flag", F.when(F.col("_z") > high, "Outlier").otherwise("High")
     ).drop("_mean", "_var", "_z")

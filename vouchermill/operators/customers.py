@@ -1,8 +1,7 @@
 """Customer scoring: recency-frequency-monetary, payment risk and churn.
 
 Every profile is one conditional aggregate per party over the ledger rows. The
-reference date is a one-row aggregate of the grouped result, joined back, never
-collected.
+reference date is a one-row aggregate used as a scalar subquery, never collected.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from vouchermill.functions.categories import is_category
 from vouchermill.functions.measures import count_where, sum_where
 from vouchermill.functions.numeric import band, exact, half_up, lakhs, lakhs_exact, percent
 from vouchermill.functions.parsing import label_rank, label_text
+from vouchermill.operators.joins import attach_row
 from vouchermill.operators.ranking import top_k_per_group
 
 _TEXTS = ActionTexts.default()
@@ -27,11 +27,17 @@ def _until(df: DataFrame, as_of: str | None) -> DataFrame:
     return df.filter(F.col("txn_date") <= F.lit(as_of).cast("date")) if as_of else df
 
 
-def _with_as_of(df: DataFrame, as_of: str | None, latest: Column) -> DataFrame:
-    """Attach the reference date: a given day, or an aggregate of ``df``."""
+def _with_as_of(totals: DataFrame, as_of: str | None, days_after: int = 0) -> DataFrame:
+    """Attach the reference date: a given day, or the last day of all parties.
+
+    The subquery reads every column of ``totals``, so it needs the very shuffle of
+    the outer query and Spark runs that once.
+    """
     if as_of:
-        return df.withColumn("as_of", F.lit(as_of).cast("date"))
-    return df.crossJoin(F.broadcast(df.agg(latest.alias("as_of"))))
+        return totals.withColumn("as_of", F.lit(as_of).cast("date"))
+    latest = totals.agg(*[F.max(c).alias(f"max_{c}") for c in totals.columns])
+    dated = attach_row(totals, latest)
+    return dated.select(*totals.columns, F.date_add("max_last", days_after).alias("as_of"))
 
 
 # ---------------------------------------------------------------- RFM
@@ -46,7 +52,7 @@ def rfm_totals(ledger: DataFrame, as_of: str | None = None, party: str = "partic
         F.count(F.lit(1)).alias("frequency"),
         F.sum("debit_amount").alias("monetary"),
     )
-    dated = _with_as_of(totals, as_of, F.date_add(F.max("last"), 1))
+    dated = _with_as_of(totals, as_of, days_after=1)
     return dated.withColumn("recency", F.datediff("as_of", "last").cast("bigint")).drop("as_of")
 
 
@@ -116,7 +122,7 @@ def rfm_minmax(
     limits = totals.agg(
         *[F.min(n).alias(f"lo_{n}") for n in names], *[F.max(n).alias(f"hi_{n}") for n in names]
     )
-    joined = totals.crossJoin(F.broadcast(limits))
+    joined = attach_row(totals, limits)
 
     def scaled(n: str) -> Column:
         low = F.col(f"lo_{n}").cast("double")
@@ -232,7 +238,7 @@ def payment_profile(
     if as_of:
         dated = totals.withColumn("as_of", F.lit(as_of).cast("date"))
     else:
-        dated = totals.crossJoin(F.broadcast(all_dates.agg(F.max("txn_date").alias("as_of"))))
+        dated = attach_row(totals, all_dates.agg(F.max("txn_date").alias("as_of")))
     invoiced, received = F.col("invoiced"), F.col("received")
     rate = exact(percent(received, invoiced), 1)
     days = F.datediff("as_of", "last_payment")
@@ -365,7 +371,7 @@ def churn_profile(
 ) -> DataFrame:
     """Status, revenue change and revenue at risk of each customer."""
     split = fiscal_split(_until(ledger, as_of), prior, current, party)
-    totals = _with_as_of(split, as_of, F.max("last"))
+    totals = _with_as_of(split, as_of)
     prior_l, current_l = lakhs_exact(F.col("revenue_prior")), lakhs_exact(F.col("revenue_current"))
     days = F.datediff("as_of", "last").cast("bigint")
     change = percent(F.col("revenue_current") - F.col("revenue_prior"), F.col("revenue_prior"))

@@ -18,6 +18,7 @@ from vouchermill.config import ForecastConfig
 from vouchermill.functions.calendar import month_bucket
 from vouchermill.functions.categories import is_category
 from vouchermill.functions.numeric import half_up, percent
+from vouchermill.operators.joins import attach_row
 
 FEATURES = ("period", "sin_month", "cos_month", "step")
 _COLUMNS = FEATURES + ("revenue",)
@@ -124,9 +125,7 @@ def _predict():
 
 
 def _attach(rows: DataFrame, fits: DataFrame, keys: tuple) -> DataFrame:
-    if keys:
-        return rows.join(fits, list(keys))
-    return rows.crossJoin(fits)
+    return rows.join(fits, list(keys)) if keys else attach_row(rows, fits)
 
 
 def trend_coefficients(features: DataFrame, keys: tuple = ()) -> DataFrame:
@@ -198,7 +197,12 @@ def bootstrap_forecast(
 ) -> DataFrame:
     """Mean and percentile interval of the replicas' forecasts per month."""
     fits = bootstrap_fits(features, keys, config)
-    ahead = _attach(fits, future_frame(features, keys, config), keys)
+    future = future_frame(features, keys, config)
+    # the few months ahead of a key travel as one array
+    names = ("month_start",) + FEATURES
+    packed = future.groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("months"))
+    ahead = _attach(fits, packed, keys).select("*", F.explode("months").alias("m"))
+    ahead = ahead.select(*keys, *COEFFICIENTS, *[F.col(f"m.{n}").alias(n) for n in names])
     tail = (100 - config.confidence) / 200.0
     grouped = ahead.groupBy(*keys, "month_start").agg(
         F.avg(_predict()).alias("mean"),

@@ -1,4 +1,4 @@
-"""Joins of many rows with one row per key."""
+"""Joins of many rows with one row per key, or with one row in all."""
 
 from __future__ import annotations
 
@@ -17,3 +17,14 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, how: str = "inne
     left = rows.withColumn("_h", h)
     right = per_key.withColumn("_h", h)
     return left.join(right, ["_h", key], how).drop("_h")
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row result to every row.
+
+    The row is a scalar subquery: it is computed once and used as a constant, so
+    there is no join.
+    """
+    packed = row.select(F.struct(*row.columns).alias("_r")).scalar()
+    named = df.withColumn("_row", packed)
+    return named.select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in row.columns])

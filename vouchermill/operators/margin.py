@@ -8,6 +8,7 @@ from vouchermill.config import LAKH, MarginConfig
 from vouchermill.functions.calendar import fiscal_year
 from vouchermill.functions.numeric import exact, half_up, percent
 from vouchermill.functions.parsing import label_rank
+from vouchermill.operators.joins import attach_row
 from vouchermill.operators.reports import MONTH, monthly_sales_purchase
 
 
@@ -104,7 +105,7 @@ def ridge_coefficients(
 
 def _with_prediction(margin: DataFrame, alpha: float, scale: float) -> DataFrame:
     model = ridge_coefficients(margin, alpha=alpha, scale=scale)
-    points = _fit_points(margin, scale).crossJoin(F.broadcast(model))
+    points = attach_row(_fit_points(margin, scale), model)
     predicted = F.col("b_sales") * F.col("x") + F.col("b_purchase") * F.col("z") + F.col("intercept")
     return points.withColumn("predicted", predicted).withColumn("residual", F.col("y") - F.col("predicted"))
 

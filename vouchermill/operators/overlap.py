@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
+from vouchermill.operators.joins import attach_row
+
 
 def _vouchers_from(b: DataFrame, start: dt.date) -> DataFrame:
     known = b.filter((F.col("txn_date") >= F.lit(start)) & F.col("vch_no").isNotNull())
@@ -36,8 +38,7 @@ def overlap_report(a: DataFrame, b: DataFrame, start: dt.date) -> DataFrame:
         F.count(F.lit(1)).alias("a_overlap_rows"), F.count("_hit").alias("removed_rows")
     )
     counts_b = b.filter(late).agg(F.count(F.lit(1)).alias("b_overlap_rows"))
-    # one row on each side
-    return counts_a.crossJoin(counts_b).select(
+    return attach_row(counts_a, counts_b).select(
         "a_overlap_rows",
         "b_overlap_rows",
         "removed_rows",

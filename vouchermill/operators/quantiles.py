@@ -27,9 +27,9 @@ def exact_quartiles(df: DataFrame, entity: str, amount: str, hot_rows: int = HOT
     rows = df.select(F.col(entity).alias("_e"), F.col(amount).cast("decimal(18,2)").alias("_a"))
     rows = rows.filter(F.col("_e").isNotNull())
     sizes = rows.groupBy("_e").agg(F.count(F.lit(1)).alias("_n"))
-    everything = sizes.agg(F.sum("_n").alias("_all"))
-    limit = F.greatest(F.lit(hot_rows).cast("bigint"), F.floor(F.col("_all") / _MAX_HOT))
-    hot = sizes.crossJoin(F.broadcast(everything)).filter(F.col("_n") > limit).select("_e")
+    all_rows = sizes.agg(F.sum("_n").alias("_all")).scalar()
+    limit = F.greatest(F.lit(hot_rows).cast("bigint"), F.floor(all_rows / _MAX_HOT))
+    hot = sizes.filter(F.col("_n") > limit).select("_e")
 
     usual = rows.join(F.broadcast(hot), "_e", "left_anti")
     gathered = usual.groupBy("_e").agg(

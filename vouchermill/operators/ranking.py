@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vouchermill.functions.numeric import value_bucket
+from vouchermill.operators.joins import attach_row
 
 _TOTAL = "decimal(38,2)"
 
@@ -47,9 +48,9 @@ def running_total_by_value(df: DataFrame, value: str, total: str = "running_tota
     return df.join(placed, value)
 
 
-def with_grand_total(df: DataFrame, value: str, total: str = "grand_total") -> DataFrame:
-    """Attach the sum of a column, computed as a one-row aggregate."""
-    return df.crossJoin(F.broadcast(df.agg(F.sum(value).cast(_TOTAL).alias(total))))
+def with_grand_total(df: DataFrame, totals: DataFrame, value: str, total: str = "grand_total") -> DataFrame:
+    """Attach the sum of a column of ``totals`` to the rows of ``df``."""
+    return attach_row(df, totals.agg(F.sum(value).cast(_TOTAL).alias(total)))
 
 
 def top_with_running_total(

@@ -26,7 +26,7 @@ from vouchermill.functions.measures import (
     sum_where,
 )
 from vouchermill.functions.numeric import as_double, half_up, percent, ratio
-from vouchermill.operators.ranking import top_with_running_total
+from vouchermill.operators.ranking import top_with_running_total, with_grand_total
 
 MONTH = "month"
 
@@ -95,9 +95,8 @@ def pareto_top(ledger: DataFrame, n: int = 10) -> DataFrame:
 
 
 def with_top_totals(totals: DataFrame, value: str, n: int) -> DataFrame:
-    grand = totals.agg(F.sum(value).cast("decimal(38,2)").alias("grand_total"))
     top = top_with_running_total(totals, value, n, ["customer"])
-    return top.crossJoin(F.broadcast(grand))
+    return with_grand_total(top, totals, value)
 
 
 def pareto_ranked(ledger: DataFrame, n: int = 15) -> DataFrame:

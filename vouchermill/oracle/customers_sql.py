@@ -130,6 +130,9 @@ S["payment_profile"] = with_ledger(
  {_action('risk_tier', PAYMENT_ACTIONS)} as recommended_action from pay""",
     PAYMENT,
 )
+S["feed_collection_rates"] = with_ledger(
+    "select customer, risk_tier, least(cast(rate as double), 150) as shown_rate_pct from pay", PAYMENT
+)
 S["receipt_summary_per_customer"] = with_ledger(
     f"select customer, {r('received', 2)} as received, num_receipts, {iso('last_payment')} as last_payment from rec", PAYMENT
 )
@@ -211,6 +214,11 @@ S["churn_lists"] = with_ledger(
  union all select 'both_years', revenue_change_pct, {_LIST_COLS} where orders_prior > 0 and orders_current > 0""",
     churn(),
 )
+S["feed_year_comparison"] = with_ledger(
+    """select customer, churn_status, revenue_prior_lakhs, revenue_current_lakhs from churn
+where orders_prior > 0 and orders_current > 0 order by revenue_current_lakhs desc, customer limit 15""",
+    churn(),
+)
 S["feed_recency_bands"] = with_ledger(
     """select customer, days_since_last, churn_status, case when days_since_last <= 30 then 1 when days_since_last <= 90 then 2
  when days_since_last <= 180 then 3 else 4 end as threshold_band from churn""",
@@ -267,6 +275,12 @@ S["all_anomalies"] = with_ledger(
 S["anomaly_counts"] = with_ledger(
     f"select txn_type, flag_type, count(*) as rows, {r('sum(val)', 2)} as amount from flagged group by 1, 2", _BOTH
 )
+S["top_anomalies"] = with_ledger(
+    f"""select txn_type, cast(position as integer) as position, txn_date, customer, amount, entity_mean, deviation_pct, flag_type
+from (select *, row_number() over (partition by txn_type order by deviation_pct desc, customer, vch_no, amount) as position
+ from (select {iso('txn_date')} as txn_date, customer, vch_no, {_flag_cols('val')}, txn_type from flagged)) where position <= 10""",
+    _BOTH,
+)
 _TOP = "select txn_type, customer, count(*) as rows, sum(val) as s from flagged group by 1, 2"
 S["anomaly_top_parties"] = with_ledger(
     " union all ".join(

@@ -147,6 +147,14 @@ from ledger left join days on txn_date = d left join customer on particulars = c
 where txn_category = 'Sales' group by 1, 2, 3, 4""",
     _CALENDAR,
 )
+S["star_join_suppliers"] = with_ledger(
+    f"""select {fy('d')} as cal_fy, {quarter('d')} as cal_quarter, n_name as nation, count(*) as bills,
+ {r('sum(credit_amount)', 2)} as purchase
+from ledger left join days on txn_date = d left join supplier on particulars = s_name
+ left join nation on s_nationkey = n_nationkey
+where txn_category = 'Purchase' group by 1, 2, 3""",
+    _CALENDAR,
+)
 S["customer_receipts"] = with_ledger(
     f"""select particulars as customer, count(*) as receipts, {r('sum(credit_amount)', 2)} as received
 from ledger where txn_category = 'Receipt'

@@ -162,6 +162,21 @@ def star_join(spark, folder):
     return t.select("cal_fy", "cal_quarter", "market", "nation", "invoices", half_up(F.col("s"), 2).alias("sales"))
 
 
+def star_join_suppliers(spark, folder):
+    bought = tables.ledger(spark, folder, ("Purchase",))
+    days = cal.ledger_calendar(tables.ledger(spark, folder, ("Purchase",), party=False))
+    nation = read_table(spark, folder, "nation").select("n_nationkey", "n_name")
+    firms = read_table(spark, folder, "supplier")
+    dim = firms.join(nation, firms.s_nationkey == nation.n_nationkey, "left").select(
+        F.col("s_name").alias("name"), F.col("n_name").alias("nation")
+    )
+    joined = parties.star_join(bought, days, dim)
+    t = joined.groupBy("cal_fy", "cal_quarter", "nation").agg(
+        F.count(F.lit(1)).alias("bills"), F.sum("credit_amount").alias("s")
+    )
+    return t.select("cal_fy", "cal_quarter", "nation", "bills", half_up(F.col("s"), 2).alias("purchase"))
+
+
 def customer_receipts(spark, folder):
     sales = tables.ledger(spark, folder, ("Sales",)).filter(cal.in_fiscal_year(FY))
     receipts = tables.ledger(spark, folder, ("Receipt",))
@@ -353,6 +368,7 @@ def registry() -> dict[str, Query]:
         "fiscal_columns": fiscal_columns,
         # joins
         "star_join": star_join,
+        "star_join_suppliers": star_join_suppliers,
         "customer_receipts": customer_receipts,
         "entity_baseline_rows": entity_baseline_rows,
         "sales_growth_yoy": _over(r.sales_growth, sales, party=False),
@@ -388,6 +404,7 @@ def registry() -> dict[str, Query]:
         "churn_summary": lambda s, d: c.churn_summary(_churn(s, d)),
         "churn_impact": lambda s, d: c.churn_impact(_churn(s, d)),
         "anomaly_counts": lambda s, d: anomalies.anomaly_counts(_all_anomalies(s, d)),
+        "top_anomalies": lambda s, d: anomalies.top_anomalies(_all_anomalies(s, d)),
         "anomaly_top_parties": lambda s, d: anomalies.anomaly_top_parties(_all_anomalies(s, d)),
         "margin_profile": _trade(m.margin_profile),
         "forecast_profile": lambda s, d: forecast.forecast_profile(_timeline(s, d)),
@@ -457,6 +474,8 @@ def registry() -> dict[str, Query]:
         "feed_at_risk_count": lambda s, d: f.at_risk_count(_rfm(s, d)),
         "feed_margin_colours": _trade(f.margin_colours),
         "feed_anomaly_series": _over(f.anomaly_series, sales),
+        "feed_year_comparison": lambda s, d: f.year_comparison(_churn(s, d)),
+        "feed_collection_rates": lambda s, d: f.collection_rates(_payment(s, d)),
         "feed_recency_bands": lambda s, d: f.recency_bands(_churn(s, d)),
         # customer questions
         "order_frequency": _over(r.order_frequency, sales),

@@ -18,9 +18,9 @@ from vouchermill.functions.categories import is_category
 from vouchermill.functions.measures import base_measures, count_where, derived_measures, sum_of
 from vouchermill.functions.numeric import half_up, percent, ratio
 from vouchermill.operators.anomalies import iqr_anomalies
-from vouchermill.operators.joins import join_per_key
+from vouchermill.operators.joins import attach_row, join_per_key
 from vouchermill.operators.margin import monthly_margin
-from vouchermill.operators.ranking import running_total_by_value, top_k_per_group
+from vouchermill.operators.ranking import running_total_by_value, top_k_per_group, with_grand_total
 from vouchermill.operators.reports import MONTH, monthly_sales_purchase, party_revenue, supplier_totals
 
 
@@ -73,7 +73,7 @@ def kpi_cards(ledger: DataFrame) -> DataFrame:
 def revenue_with_average(timeline: DataFrame) -> DataFrame:
     """Timeline of actual and forecast months with the mean of the actual ones."""
     mean = timeline.filter(F.col("type") == "Actual").agg(F.avg("forecast_revenue").alias("m"))
-    joined = timeline.crossJoin(F.broadcast(mean))
+    joined = attach_row(timeline, mean)
     return joined.select(*timeline.columns, half_up(F.col("m"), 0).alias("average_line")).orderBy(MONTH)
 
 
@@ -128,7 +128,7 @@ def pareto_line(ledger: DataFrame, line: float = 80.0) -> DataFrame:
     """Every customer with cumulative share and which side of the line it is on."""
     totals = party_revenue(ledger)
     t = running_total_by_value(totals, "revenue")
-    t = t.crossJoin(F.broadcast(totals.agg(F.sum("revenue").cast("decimal(38,2)").alias("grand_total"))))
+    t = with_grand_total(t, totals, "revenue")
     share = half_up(percent(F.col("running_total"), F.col("grand_total")), 4)
     return t.select(
         "customer",
@@ -188,7 +188,7 @@ def cash_extremes(ledger: DataFrame) -> DataFrame:
 def cash_kpis(ledger: DataFrame, payment: DataFrame) -> DataFrame:
     """Best and worst cash month and the total outstanding value."""
     due = payment.agg(F.sum(F.col("outstanding").cast("decimal(28,2)")).alias("d"))
-    t = cash_extremes(ledger).crossJoin(F.broadcast(due))
+    t = attach_row(cash_extremes(ledger), due)
     return t.select(
         "best_month", "best_net_cash", "worst_month", "worst_net_cash", half_up(F.col("d"), 0).alias("total_outstanding")
     )
@@ -231,7 +231,7 @@ def anomaly_series(ledger: DataFrame) -> DataFrame:
     flagged = iqr_anomalies(sales, "particulars", "debit_amount")
     flags = flagged.groupBy("vch_no").agg(F.min("flag_type").alias("flag_type"))
     mean = sales.agg(F.sum("debit_amount").alias("s"), F.count(F.lit(1)).alias("n"))
-    joined = join_per_key(sales, flags, "vch_no", "left").crossJoin(F.broadcast(mean))
+    joined = attach_row(join_per_key(sales, flags, "vch_no", "left"), mean)
     return joined.select(
         iso(F.col("txn_date")).alias("txn_date"),
         "vch_no",
@@ -250,3 +250,17 @@ def recency_bands(churn: DataFrame, config: ChurnConfig = ChurnConfig()) -> Data
         .otherwise(4)
     )
     return churn.select("customer", days, "churn_status", band.alias("threshold_band"))
+
+
+def year_comparison(churn: DataFrame, n: int = 15) -> DataFrame:
+    """Customers of both years with the largest current revenue."""
+    both = churn.filter((F.col("orders_prior") > 0) & (F.col("orders_current") > 0))
+    top = both.orderBy(F.col("revenue_current_lakhs").desc(), "customer").limit(n)
+    return top.select("customer", "churn_status", "revenue_prior_lakhs", "revenue_current_lakhs")
+
+
+def collection_rates(payment: DataFrame, cap: float = 150.0) -> DataFrame:
+    """Collection rate per customer, cut off for display."""
+    return payment.select(
+        "customer", "risk_tier", F.least(F.col("collection_rate_pct"), F.lit(cap)).alias("shown_rate_pct")
+    )
