@@ -25,7 +25,7 @@ from vouchermill.functions.measures import (
     sum_of,
     sum_where,
 )
-from vouchermill.functions.numeric import as_double, half_up, percent, ratio
+from vouchermill.functions.numeric import as_double, from_cents, half_up, percent, percent_of, ratio, whole_cents
 from vouchermill.operators.ranking import top_with_running_total, with_grand_total
 
 MONTH = "month"
@@ -455,14 +455,8 @@ def revenue_by_product_type(lines: DataFrame, parts: DataFrame) -> DataFrame:
     Lines collapse to one row per part first; the join then runs on that
     partitioning and only the parts are shuffled for it.
     """
-    net = F.round(
-        F.col("l_extendedprice").cast("decimal(18,2)")
-        * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")),
-        2,
-    )
-    per_part = lines.groupBy("l_partkey").agg(
-        F.sum(net).cast("decimal(38,2)").alias("s"), F.count(F.lit(1)).alias("n")
-    )
+    net = from_cents(percent_of(whole_cents(F.col("l_extendedprice")), 100 - whole_cents(F.col("l_discount"))))
+    per_part = lines.groupBy("l_partkey").agg(F.sum(net).alias("s"), F.count(F.lit(1)).alias("n"))
     joined = per_part.join(parts.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     totals = joined.groupBy("p_type").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     return totals.select(

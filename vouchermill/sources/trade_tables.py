@@ -14,11 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vouchermill.functions.calendar import fiscal_year, month_name, with_calendar
+from vouchermill.functions.numeric import exact, from_cents, percent_of, whole_cents
 from vouchermill.schemas import AMOUNT, RAW_COLUMNS
 from vouchermill.sources.readers import read_table
 
-RATE = "decimal(4,2)"
-
 ORDER_CATEGORIES = ("Sales", "Receipt", "Purchase Order", "Delivery Challan", "Contra")
 LINE_CATEGORIES = ("Purchase", "Payment", "Journal", "Credit Note", "Debit Note")
 ALL_CATEGORIES = ORDER_CATEGORIES + LINE_CATEGORIES
@@ -28,6 +27,8 @@ COLUMNS = RAW_COLUMNS + ("txn_category",)
 
 @dataclass
 class Voucher:
+    """Columns of one voucher kind; amounts are in cents."""
+
     category: str
     date: Column
     party: Column
@@ -43,12 +44,19 @@ class Voucher:
             self.party.cast("string").alias("particulars"),
             self.vch_type.cast("string").alias("vch_type"),
             self.vch_no.cast("string").alias("vch_no"),
-            self.debit.cast(AMOUNT).alias("debit_amount"),
-            self.credit.cast(AMOUNT).alias("credit_amount"),
+            self.debit.cast("bigint").alias("debit_amount"),
+            self.credit.cast("bigint").alias("credit_amount"),
             F.lit(self.category).alias("txn_category"),
         ]
 
 
+def _with_money(df: DataFrame) -> DataFrame:
+    """Both amounts from cents to money."""
+    return df.select(
+        *[from_cents(F.col(c)).alias(c) if c in ("debit_amount", "credit_amount") else F.col(c) for c in COLUMNS]
+    )
+
+
 def _emit(df: DataFrame, vouchers: list[Voucher]) -> DataFrame:
     """One output row per input row and voucher that applies to it.
 
@@ -58,7 +66,7 @@ def _emit(df: DataFrame, vouchers: list[Voucher]) -> DataFrame:
     if len(vouchers) == 1:
         v = vouchers[0]
         rows = df if v.where is None else df.filter(v.where)
-        return rows.select(*v.columns())
+        return _with_money(rows.select(*v.columns()))
     kinds = [F.lit(i) if v.where is None else F.when(v.where, F.lit(i)) for i, v in enumerate(vouchers)]
     rows = df.select("*", F.explode(F.array(*kinds)).alias("_kind")).filter(F.col("_kind").isNotNull())
     chosen = []
@@ -67,11 +75,7 @@ def _emit(df: DataFrame, vouchers: list[Voucher]) -> DataFrame:
         for i, choice in enumerate(choices[1:], 1):
             c = c.when(F.col("_kind") == i, choice)
         chosen.append(c.alias(name))
-    return rows.select(*chosen)
-
-
-def _money(c: Column) -> Column:
-    return F.round(c, 2).cast(AMOUNT)
+    return _with_money(rows.select(*chosen))
 
 
 def _number(prefix: str, *parts: Column) -> Column:
@@ -84,16 +88,13 @@ def _number(prefix: str, *parts: Column) -> Column:
 def _order_vouchers(wanted: set[str]) -> list[Voucher]:
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     date = F.col("o_orderdate").cast("date")
-    price = F.col("o_totalprice").cast(AMOUNT)
+    price = whole_cents(F.col("o_totalprice"))
     zero = F.lit(0)
     name = F.col("c_name")
     # every third invoice of every fifth customer carries another spelling
     billed = F.when((cust % 5 == 0) & (key % 3 == 0), F.concat(F.lit("M/S "), F.upper(name))).otherwise(name)
     share = (
-        F.when(F.col("o_orderstatus") == "F", F.lit(1.10))
-        .when(F.col("o_orderstatus") == "P", F.lit(0.95))
-        .otherwise(F.lit(0.70))
-        .cast(RATE)
+        F.when(F.col("o_orderstatus") == "F", 110).when(F.col("o_orderstatus") == "P", 95).otherwise(70)
     )
     table = {
         "Sales": Voucher(
@@ -103,7 +104,7 @@ def _order_vouchers(wanted: set[str]) -> list[Voucher]:
         ),
         "Receipt": Voucher(
             "Receipt", F.date_add(date, 45), name, F.lit("Receipt New"), _number("R", key),
-            zero, _money(price * share), cust % 25 != 0,
+            zero, percent_of(price, share), cust % 25 != 0,
         ),
         "Purchase Order": Voucher(
             "Purchase Order", date, name, F.lit("Purchase Order"), _number("PO", key),
@@ -125,9 +126,9 @@ def _order_vouchers(wanted: set[str]) -> list[Voucher]:
 def _line_vouchers(wanted: set[str]) -> list[Voucher]:
     line, supp = F.col("l_linenumber"), F.col("l_suppkey")
     date = F.col("l_shipdate").cast("date")
-    price = F.col("l_extendedprice").cast(AMOUNT)
-    discount, tax = F.col("l_discount").cast(RATE), F.col("l_tax").cast(RATE)
-    cost = _money(price * (F.lit(1).cast(RATE) - discount))
+    price = whole_cents(F.col("l_extendedprice"))
+    discount, tax = whole_cents(F.col("l_discount")), whole_cents(F.col("l_tax"))
+    cost = percent_of(price, 100 - discount)
     zero = F.lit(0)
     name = F.col("s_name")
     paid_to = (
@@ -144,19 +145,19 @@ def _line_vouchers(wanted: set[str]) -> list[Voucher]:
         ),
         "Payment": Voucher(
             "Payment", F.date_add(date, 30), paid_to, F.lit("Payment New"), number("Y"),
-            _money(cost * F.lit(0.80).cast(RATE)), zero, F.col("l_linestatus") == "F",
+            percent_of(cost, 80), zero, F.col("l_linestatus") == "F",
         ),
         "Journal": Voucher(
             "Journal", date, F.lit("Factory Overheads"), F.lit("Journal New"), number("J"),
-            _money(price * tax), zero, line == 1,
+            percent_of(price, tax), zero, line == 1,
         ),
         "Credit Note": Voucher(
             "Credit Note", date, name, F.lit("Credit Note New"), number("CN"),
-            zero, _money(price * discount), (F.col("l_returnflag") == "R") & (line == 2),
+            zero, percent_of(price, discount), (F.col("l_returnflag") == "R") & (line == 2),
         ),
         "Debit Note": Voucher(
             "Debit Note", date, name, F.lit("Debit Note New"), number("DN"),
-            _money(price * tax), zero, (F.col("l_returnflag") == "A") & (line == 3),
+            percent_of(price, tax), zero, (F.col("l_returnflag") == "A") & (line == 3),
         ),
     }
     return [table[c] for c in LINE_CATEGORIES if c in wanted]
@@ -226,23 +227,19 @@ def sales_register(spark: SparkSession, folder: str) -> DataFrame:
         names, orders.o_custkey == names.c_custkey, "left"
     )
     date = F.col("l_shipdate").cast("date")
-    price = F.col("l_extendedprice").cast(AMOUNT)
-    quantity = F.col("l_quantity").cast(AMOUNT)
-    net = _money(price * (F.lit(1).cast(RATE) - F.col("l_discount").cast(RATE)))
-    tax = F.col("l_tax").cast(RATE)
+    quantity = F.col("l_quantity")
+    net = percent_of(whole_cents(F.col("l_extendedprice")), 100 - whole_cents(F.col("l_discount")))
+    tax = whole_cents(F.col("l_tax"))
     return rows.select(
         date.alias("txn_date"),
         F.col("c_name").alias("buyer_name"),
         F.lit(None).cast("string").alias("buyer_gstin"),
         _number("S", F.col("l_orderkey"), F.col("l_linenumber")).alias("voucher_no"),
-        quantity.alias("quantity"),
-        F.coalesce(F.try_divide(price.cast("double"), quantity.cast("double")), F.lit(0.0))
-        .cast("decimal(38,6)")
-        .cast(AMOUNT)
-        .alias("rate"),
-        net.alias("net_value"),
-        _money(net * (F.lit(1).cast(RATE) + tax)).alias("gross_total"),
-        F.concat((tax * 100).cast("int").cast("string"), F.lit("%")).alias("gst_rate"),
+        from_cents(whole_cents(quantity)).alias("quantity"),
+        exact(F.coalesce(F.try_divide(F.col("l_extendedprice"), quantity), F.lit(0.0)), 2).cast(AMOUNT).alias("rate"),
+        from_cents(net).alias("net_value"),
+        from_cents(percent_of(net, 100 + tax)).alias("gross_total"),
+        F.concat(tax.cast("string"), F.lit("%")).alias("gst_rate"),
         fiscal_year(date).alias("fiscal_year"),
     )
 
