@@ -59,9 +59,8 @@ def whole_cents(x: Column) -> Column:
 
 
 def percent_of(amount_cents: Column, pct: Column | int) -> Column:
-    """Part of an amount in cents, rounded half away from zero, all in BIGINT."""
-    n = amount_cents * pct
-    return F.call_function("div", n + F.when(n < 0, -50).otherwise(50), F.lit(100))
+    """Part of an amount in cents (not negative), rounded half up, in BIGINT."""
+    return F.call_function("div", amount_cents * pct + 50, F.lit(100))
 
 
 def from_cents(c: Column) -> Column:

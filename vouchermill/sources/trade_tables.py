@@ -15,76 +15,80 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vouchermill.functions.calendar import fiscal_year, month_name, with_calendar
 from vouchermill.functions.numeric import exact, from_cents, percent_of, whole_cents
-from vouchermill.schemas import AMOUNT, RAW_COLUMNS
+from vouchermill.schemas import AMOUNT
 from vouchermill.sources.readers import read_table
 
 ORDER_CATEGORIES = ("Sales", "Receipt", "Purchase Order", "Delivery Challan", "Contra")
 LINE_CATEGORIES = ("Purchase", "Payment", "Journal", "Credit Note", "Debit Note")
 ALL_CATEGORIES = ORDER_CATEGORIES + LINE_CATEGORIES
 
-COLUMNS = RAW_COLUMNS + ("txn_category",)
-
 
 @dataclass
 class Voucher:
     """Columns of one voucher kind; amounts are in cents."""
 
     category: str
+    prefix: str
     date: Column
     party: Column
     vch_type: Column
-    vch_no: Column
     debit: Column
     credit: Column
     where: Column | None = None
 
-    def columns(self) -> list[Column]:
-        return [
-            self.date.alias("txn_date"),
-            self.party.cast("string").alias("particulars"),
-            self.vch_type.cast("string").alias("vch_type"),
-            self.vch_no.cast("string").alias("vch_no"),
-            self.debit.cast("bigint").alias("debit_amount"),
-            self.credit.cast("bigint").alias("credit_amount"),
-            F.lit(self.category).alias("txn_category"),
-        ]
-
-
-def _with_money(df: DataFrame) -> DataFrame:
-    """Both amounts from cents to money."""
-    return df.select(
-        *[from_cents(F.col(c)).alias(c) if c in ("debit_amount", "credit_amount") else F.col(c) for c in COLUMNS]
-    )
 
+def _choose(vouchers: list[Voucher], field: str) -> Column:
+    """Value of a field by voucher kind.
 
-def _emit(df: DataFrame, vouchers: list[Voucher]) -> DataFrame:
+    Kinds that share a Column object share a branch and the commonest is the
+    default: the generated method stays small enough for the JVM to compile.
+    """
+    groups: dict[object, tuple[Column, list[int]]] = {}
+    for i, v in enumerate(vouchers):
+        value = getattr(v, field)
+        key = id(value) if isinstance(value, Column) else value
+        groups.setdefault(key, (value if isinstance(value, Column) else F.lit(value), []))[1].append(i)
+    *others, (default, _) = sorted(groups.values(), key=lambda g: len(g[1]))
+    out = None
+    for value, kinds in others:
+        test = F.col("_kind").isin(*kinds) if len(kinds) > 1 else F.col("_kind") == kinds[0]
+        out = F.when(test, value) if out is None else out.when(test, value)
+    return default if out is None else out.otherwise(default)
+
+
+def _emit(df: DataFrame, vouchers: list[Voucher], number: Column) -> DataFrame:
     """One output row per input row and voucher that applies to it.
 
     Only the number of the voucher kind is exploded. Its columns are chosen by
     that number afterwards, so those a query does not read are never built.
     """
     if len(vouchers) == 1:
-        v = vouchers[0]
-        rows = df if v.where is None else df.filter(v.where)
-        return _with_money(rows.select(*v.columns()))
-    kinds = [F.lit(i) if v.where is None else F.when(v.where, F.lit(i)) for i, v in enumerate(vouchers)]
-    rows = df.select("*", F.explode(F.array(*kinds)).alias("_kind")).filter(F.col("_kind").isNotNull())
-    chosen = []
-    for name, choices in zip(COLUMNS, zip(*[v.columns() for v in vouchers])):
-        c = F.when(F.col("_kind") == 0, choices[0])
-        for i, choice in enumerate(choices[1:], 1):
-            c = c.when(F.col("_kind") == i, choice)
-        chosen.append(c.alias(name))
-    return _with_money(rows.select(*chosen))
-
-
-def _number(prefix: str, *parts: Column) -> Column:
-    pieces = [F.lit(prefix)]
+        rows = df if vouchers[0].where is None else df.filter(vouchers[0].where)
+    else:
+        kinds = [F.lit(i) if v.where is None else F.when(v.where, F.lit(i)) for i, v in enumerate(vouchers)]
+        rows = df.select("*", F.explode(F.array(*kinds)).alias("_kind")).filter(F.col("_kind").isNotNull())
+    return rows.select(
+        _choose(vouchers, "date").alias("txn_date"),
+        _choose(vouchers, "party").cast("string").alias("particulars"),
+        _choose(vouchers, "vch_type").alias("vch_type"),
+        F.concat(_choose(vouchers, "prefix"), number).alias("vch_no"),
+        from_cents(_choose(vouchers, "debit")).alias("debit_amount"),
+        from_cents(_choose(vouchers, "credit")).alias("credit_amount"),
+        _choose(vouchers, "category").alias("txn_category"),
+    )
+
+
+def _number(*parts: Column) -> Column:
+    pieces = []
     for p in parts:
         pieces += [F.lit("/"), p.cast("string")]
     return F.concat(*pieces)
 
 
+ORDER_NUMBER = ("o_orderkey",)
+LINE_NUMBER = ("l_orderkey", "l_linenumber")
+
+
 def _order_vouchers(wanted: set[str]) -> list[Voucher]:
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     date = F.col("o_orderdate").cast("date")
@@ -98,24 +102,23 @@ def _order_vouchers(wanted: set[str]) -> list[Voucher]:
     )
     table = {
         "Sales": Voucher(
-            "Sales", date, billed,
-            F.when(key % 2 == 0, "GST Sales New").otherwise("GST SALES NEW 25-26"),
-            _number("S", key), price, zero,
+            "Sales", "S", date, billed,
+            F.when(key % 2 == 0, "GST Sales New").otherwise("GST SALES NEW 25-26"), price, zero,
         ),
         "Receipt": Voucher(
-            "Receipt", F.date_add(date, 45), name, F.lit("Receipt New"), _number("R", key),
-            zero, percent_of(price, share), cust % 25 != 0,
+            "Receipt", "R", F.date_add(date, 45), name, F.lit("Receipt New"), zero, percent_of(price, share),
+            cust % 25 != 0,
         ),
         "Purchase Order": Voucher(
-            "Purchase Order", date, name, F.lit("Purchase Order"), _number("PO", key),
-            price, zero, F.col("o_orderpriority") == "1-URGENT",
+            "Purchase Order", "PO", date, name, F.lit("Purchase Order"), price, zero,
+            F.col("o_orderpriority") == "1-URGENT",
         ),
         "Delivery Challan": Voucher(
-            "Delivery Challan", date, name, F.lit("Delivery Challan New"), _number("DC", key),
-            zero, zero, F.col("o_orderpriority") == "5-LOW",
+            "Delivery Challan", "DC", date, name, F.lit("Delivery Challan New"), zero, zero,
+            F.col("o_orderpriority") == "5-LOW",
         ),
         "Contra": Voucher(
-            "Contra", date, F.lit("Bank Transfer"), F.lit("Contra"), _number("C", key),
+            "Contra", "C", date, F.lit("Bank Transfer"), F.lit("Contra"),
             F.when(key % 14 == 0, -price).otherwise(price), zero,
             (F.col("o_orderpriority") == "2-HIGH") & (key % 7 == 0),
         ),
@@ -129,35 +132,32 @@ def _line_vouchers(wanted: set[str]) -> list[Voucher]:
     price = whole_cents(F.col("l_extendedprice"))
     discount, tax = whole_cents(F.col("l_discount")), whole_cents(F.col("l_tax"))
     cost = percent_of(price, 100 - discount)
+    levy = percent_of(price, tax)
     zero = F.lit(0)
     name = F.col("s_name")
     paid_to = (
         F.when(supp % 10 == 0, F.lit("Capital Account")).when(supp % 10 == 1, F.lit("Term Loan")).otherwise(name)
     )
 
-    def number(prefix: str) -> Column:
-        return _number(prefix, F.col("l_orderkey"), line)
-
     table = {
         "Purchase": Voucher(
-            "Purchase", date, name,
-            F.when(line % 2 == 0, "Purchase").otherwise("Purchase New"), number("P"), zero, cost,
+            "Purchase", "P", date, name, F.when(line % 2 == 0, "Purchase").otherwise("Purchase New"), zero, cost
         ),
         "Payment": Voucher(
-            "Payment", F.date_add(date, 30), paid_to, F.lit("Payment New"), number("Y"),
-            percent_of(cost, 80), zero, F.col("l_linestatus") == "F",
+            "Payment", "Y", F.date_add(date, 30), paid_to, F.lit("Payment New"), percent_of(cost, 80), zero,
+            F.col("l_linestatus") == "F",
         ),
         "Journal": Voucher(
-            "Journal", date, F.lit("Factory Overheads"), F.lit("Journal New"), number("J"),
-            percent_of(price, tax), zero, line == 1,
+            "Journal", "J", date, F.lit("Factory Overheads"), F.lit("Journal New"), levy, zero,
+            line == 1,
         ),
         "Credit Note": Voucher(
-            "Credit Note", date, name, F.lit("Credit Note New"), number("CN"),
-            zero, percent_of(price, discount), (F.col("l_returnflag") == "R") & (line == 2),
+            "Credit Note", "CN", date, name, F.lit("Credit Note New"), zero, percent_of(price, discount),
+            (F.col("l_returnflag") == "R") & (line == 2),
         ),
         "Debit Note": Voucher(
-            "Debit Note", date, name, F.lit("Debit Note New"), number("DN"),
-            percent_of(price, tax), zero, (F.col("l_returnflag") == "A") & (line == 3),
+            "Debit Note", "DN", date, name, F.lit("Debit Note New"), levy, zero,
+            (F.col("l_returnflag") == "A") & (line == 3),
         ),
     }
     return [table[c] for c in LINE_CATEGORIES if c in wanted]
@@ -181,7 +181,7 @@ def ledger(
             rows = rows.join(names, rows.o_custkey == names.c_custkey, "left")
         else:
             rows = rows.withColumn("c_name", F.lit(None).cast("string"))
-        parts.append(_emit(rows, order_side))
+        parts.append(_emit(rows, order_side, _number(*[F.col(c) for c in ORDER_NUMBER])))
     line_side = _line_vouchers(wanted)
     if line_side:
         rows = read_table(spark, folder, "lineitem")
@@ -190,7 +190,7 @@ def ledger(
             rows = rows.join(names, rows.l_suppkey == names.s_suppkey, "left")
         else:
             rows = rows.withColumn("s_name", F.lit(None).cast("string"))
-        parts.append(_emit(rows, line_side))
+        parts.append(_emit(rows, line_side, _number(*[F.col(c) for c in LINE_NUMBER])))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -234,7 +234,7 @@ def sales_register(spark: SparkSession, folder: str) -> DataFrame:
         date.alias("txn_date"),
         F.col("c_name").alias("buyer_name"),
         F.lit(None).cast("string").alias("buyer_gstin"),
-        _number("S", F.col("l_orderkey"), F.col("l_linenumber")).alias("voucher_no"),
+        F.concat(F.lit("S"), _number(F.col("l_orderkey"), F.col("l_linenumber"))).alias("voucher_no"),
         from_cents(whole_cents(quantity)).alias("quantity"),
         exact(F.coalesce(F.try_divide(F.col("l_extendedprice"), quantity), F.lit(0.0)), 2).cast(AMOUNT).alias("rate"),
         from_cents(net).alias("net_value"),
