@@ -27,20 +27,13 @@ def count_where(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 
 
-def base_measures(any_category: bool = False) -> dict[str, Column]:
-    """Additive measures, one conditional sum each.
+def _keyword(word: str, any_category: bool) -> Column:
+    test = party_contains(word)
+    # the cheap test first: the text is then searched in payments only
+    return test if any_category else is_category("Payment") & test
 
-    ``any_category`` counts drawings and loan repayments whatever the voucher
-    category; by default only payments count.
-    """
-
-    def keyword(word: str) -> Column:
-        test = party_contains(word)
-        if not any_category:
-            # the cheap test first: the text is then searched in payments only
-            test = is_category("Payment") & test
-        return sum_where(test, "debit_amount")
 
+def _additive(drawings: Column, loans: Column, vouchers: Column, sales_rows: Column) -> dict[str, Column]:
     return {
         "gross_sales": sum_of("Sales", "debit_amount"),
         "debit_notes": sum_of("Debit Note", "debit_amount"),
@@ -49,12 +42,27 @@ def base_measures(any_category: bool = False) -> dict[str, Column]:
         "operating_expenses": sum_of("Journal", "debit_amount"),
         "receipts": sum_of("Receipt", "credit_amount"),
         "payments": sum_of("Payment", "debit_amount"),
-        "owner_drawings": keyword("capital"),
-        "loan_payments": keyword("loan"),
-        "sales_vouchers": F.count(F.when(is_category("Sales"), F.col("vch_no"))),
+        "owner_drawings": sum_where(drawings, "debit_amount"),
+        "loan_payments": sum_where(loans, "debit_amount"),
+        "sales_vouchers": vouchers,
+        "sales_rows": sales_rows,
     }
 
 
+def base_measures(any_category: bool = False) -> dict[str, Column]:
+    """Additive measures as aggregate expressions, one conditional sum each.
+
+    ``any_category`` counts drawings and loan repayments whatever the voucher
+    category; by default only payments count.
+    """
+    return _additive(
+        _keyword("capital", any_category),
+        _keyword("loan", any_category),
+        F.count(F.when(is_category("Sales"), F.col("vch_no"))),
+        count_where(is_category("Sales")),
+    )
+
+
 def derived_measures() -> dict[str, Column]:
     """Measures computed from the additive ones after aggregation."""
     gross, purchase = F.col("gross_sales"), F.col("purchase")
@@ -79,9 +87,25 @@ def derived_measures() -> dict[str, Column]:
 
 
 def measure_totals(df: DataFrame, keys: list, any_category: bool = False) -> DataFrame:
-    """Every additive and derived measure per key, one pass over the rows."""
-    base = base_measures(any_category)
-    totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in base.items()])
+    """Every additive and derived measure per key, one pass over the rows.
+
+    All measures are sums by category, so rows collapse to one per key and
+    category first: two sums a row in place of one per measure.
+    """
+    sales = is_category("Sales")
+    rows = df.groupBy(
+        *keys,
+        "txn_category",
+        _keyword("capital", any_category).alias("_drawings"),
+        _keyword("loan", any_category).alias("_loans"),
+    ).agg(
+        F.sum("debit_amount").alias("debit_amount"),
+        F.sum("credit_amount").alias("credit_amount"),
+        F.count(F.when(sales, F.col("vch_no"))).alias("_vouchers"),
+        F.count(F.when(sales, F.lit(1))).alias("_sales"),
+    )
+    measures = _additive(F.col("_drawings"), F.col("_loans"), F.sum("_vouchers"), F.sum("_sales"))
+    totals = rows.groupBy(*rows.columns[: len(keys)]).agg(*[c.alias(n) for n, c in measures.items()])
     return totals.withColumns(derived_measures())
 
 

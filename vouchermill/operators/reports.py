@@ -363,12 +363,10 @@ def measures_by_year(ledger: DataFrame) -> DataFrame:
     counted and the largest party is found without expanding the rows.
     """
     base = base_measures(any_category=True)
-    per_party = ledger.groupBy(_year(), "particulars").agg(
-        *[c.alias(n) for n, c in base.items()], count_where(is_category("Sales")).alias("_n")
-    )
+    per_party = ledger.groupBy(_year(), "particulars").agg(*[c.alias(n) for n, c in base.items()])
     years = per_party.groupBy("_y").agg(
         *[F.sum(n).alias(n) for n in base],
-        count_where(F.col("_n") > 0).alias("active_customers"),
+        count_where(F.col("sales_rows") > 0).alias("active_customers"),
         F.count("particulars").alias("parties"),
         F.max("gross_sales").alias("top_party_sales"),
     )
