@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from vouchermill.operators.joins import attach_row
+from vouchermill.operators.joins import attach_row, join_per_key
 
 
 def _vouchers_from(b: DataFrame, start: dt.date) -> DataFrame:
@@ -24,16 +24,15 @@ def resolve_overlap(a: DataFrame, b: DataFrame, start: dt.date) -> DataFrame:
     late = F.col("txn_date") >= F.lit(start)
     numbered = F.col("vch_no").isNotNull()
     untouched = a.filter(~late | ~numbered)
-    only_a = a.filter(late & numbered).join(_vouchers_from(b, start), "vch_no", "left_anti")
+    only_a = join_per_key(a.filter(late & numbered), _vouchers_from(b, start), "vch_no", "left_anti")
     return untouched.unionByName(only_a.select(*a.columns)).unionByName(b.filter(late).select(*a.columns))
 
 
 def overlap_report(a: DataFrame, b: DataFrame, start: dt.date) -> DataFrame:
     """Row counts of the overlap: in ``a``, in ``b``, removed and kept."""
     late = F.col("txn_date") >= F.lit(start)
-    flagged = a.filter(late).join(
-        _vouchers_from(b, start).withColumn("_hit", F.lit(1)), "vch_no", "left"
-    )
+    known = _vouchers_from(b, start).withColumn("_hit", F.lit(1))
+    flagged = join_per_key(a.filter(late), known, "vch_no", "left")
     counts_a = flagged.agg(
         F.count(F.lit(1)).alias("a_overlap_rows"), F.count("_hit").alias("removed_rows")
     )

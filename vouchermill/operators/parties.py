@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from vouchermill.operators.joins import join_per_key
+
 
 
 def canonical_party(df: DataFrame, alias: DataFrame, party: str = "particulars") -> DataFrame:
@@ -19,7 +21,7 @@ def canonical_party(df: DataFrame, alias: DataFrame, party: str = "particulars")
 
 def customer_receipts(receipts: DataFrame, sales: DataFrame, party: str = "particulars") -> DataFrame:
     """Receipts of parties that also buy."""
-    return receipts.join(sales.select(party).distinct(), party, "left_semi")
+    return join_per_key(receipts, sales.select(party).distinct(), party, "left_semi")
 
 
 def star_join(

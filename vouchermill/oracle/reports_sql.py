@@ -10,6 +10,7 @@ CURRENT_RANGE = "txn_date >= date '2000-04-01' and txn_date < date '2001-04-01'"
 
 # ---------------------------------------------------------------- raw sheet
 
+# Labels that put every category, and none, into the raw sheet.
 _LABELS = (
     "'GST Sales New', 'GST SALES NEW 25-26', 'Purchase', 'Purchase New', 'Purchase Order', 'Receipt 25-26', "
     "'Payment', 'Journal New', 'Contra', 'Credit Note New', 'Debit Note New', 'Delivery Challan', "
@@ -36,6 +37,7 @@ _BLANK = "' ' || chr(9) || chr(10) || chr(13)"
 
 
 def exact_category(v):
+    # Voucher type labels of each category.
     return f"""case when {v} in ('GST Sales New', 'GST SALES NEW 25-26') then 'Sales'
   when {v} in ('Purchase', 'Purchase New') then 'Purchase' when {v} = 'Purchase Order' then 'Purchase Order'
   when {v} in ('Receipt', 'Receipt New', 'Receipt 25-26') then 'Receipt'

@@ -42,7 +42,7 @@ def slice_ledger(
         out = out.filter(F.col("quarter") == quarter)
     if segment:
         members = segments.filter(F.col("segment") == segment).select(F.col("customer").alias("particulars"))
-        out = out.join(members, "particulars", "left_semi")
+        out = join_per_key(out, members, "particulars", "left_semi")
     return out
 
 

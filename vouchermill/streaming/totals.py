@@ -9,12 +9,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def daily_totals(stream: DataFrame, ts: str, category: str, amount: str, lateness: str = "2 days") -> DataFrame:
-    """Rows and amount per day and category; days older than the watermark close."""
-    rows = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", lateness)
-    totals = rows.groupBy(F.window("_ts", "1 day").alias("w"), F.col(category).alias("category")).agg(
+    """Rows and amount per day and category; days older than the watermark close.
+
+    The event time is cut to the day, which gives one-day windows that begin at
+    midnight of the session's time zone (``window`` would begin them in UTC).
+    """
+    day = F.date_trunc("day", F.col(ts)).cast("timestamp")
+    rows = stream.withColumn("_day", day).withWatermark("_day", lateness)
+    totals = rows.groupBy("_day", F.col(category).alias("category")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(amount).alias("amount")
     )
-    return totals.select(F.to_date("w.start").alias("day"), "category", "rows", "amount")
+    return totals.select(F.to_date("_day").alias("day"), "category", "rows", "amount")
 
 
 def write_daily_totals(totals: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
