@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouchermill.llm import decontaminate
+from vouchermill.llm import decontaminate, quality, syncmers
 from vouchermill.llm.words import table
 
 
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.compare_with_edits(table(spark, folder, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("key")
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def registry():
-    return {f.__name__: f for f in (op2_decontamination,)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op6_quality)}
