@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouchermill.llm import decontaminate, quality, syncmers
+from vouchermill.llm import decontaminate, jaccard, quality, syncmers, toxicity
 from vouchermill.llm.words import table
 
 
@@ -20,5 +20,13 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_classes(table(spark, folder, "documents")).drop("text_key", "first")
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def registry():
-    return {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op6_quality)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op6_quality, op9_jaccard_join, op10_toxicity)}

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from vouchermill.llm import textbytes as tb
 from vouchermill.llm.labelled import MOST_LABELLED, held_out, labelled_texts
@@ -33,6 +34,8 @@ LEAST_TEXTS, MOST_WORDS = 4, 30_000
 #: windows run through the network at once
 BATCH = 4096
 THRESHOLD = 0.5
+#: share of words that enter as unknown ones while training
+MASKED = 0.1
 
 
 def _sigmoid(x):
@@ -182,7 +185,7 @@ def _training_words(texts: list[str]):
     return [np.concatenate(x) for x in zip(*parts)]
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, step: float = 0.02) -> Network:
+def fit(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 64, step: float = 0.02) -> Network:
     """Adam over the highest window of each text. A positive text weighs more where positives are rare."""
     y = np.array(labels, np.float32)
     hashes, rows, pairs, begin, lengths, w_row, w_first, w_size = _training_words(texts)
@@ -195,7 +198,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, s
     n_pos, n_neg = y.sum(), len(y) - y.sum()
     odds = np.log((positive[chosen] + 0.5) / (n_pos + 1)) - np.log((in_texts[chosen] - positive[chosen] + 0.5) / (n_neg + 1))
     odds = np.sign(odds) * np.maximum(np.abs(odds) - 1.5, 0) * np.minimum(in_texts[chosen] / 10, 1)
-    net = Network(words[chosen], (odds / 3).astype(np.float32), float((n_pos + 1) / (len(y) + 2)))
+    net = Network(words[chosen], (odds / 2).astype(np.float32), float((n_pos + 1) / (len(y) + 2)))
     ids = net.lookup(hashes)
     weight = np.where(y > 0, min(4.0, max(1.0, n_neg / max(n_pos, 1))), 1.0).astype(np.float32)
     bounds = np.searchsorted(w_row, np.arange(len(texts) + 1))
@@ -204,7 +207,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, s
     for epoch in range(epochs):
         logit = net.logits(net.inputs(ids, pairs, begin, lengths), w_first, w_size)
         top = np.array([a + int(np.argmax(logit[a:b])) for a, b in zip(bounds[:-1], bounds[1:])])
-        order = np.random.default_rng(epoch).permutation(len(texts))
+        rng = np.random.default_rng(epoch)
+        order = rng.permutation(len(texts))
         for i in range(0, len(order), batch):
             docs = order[i : i + batch]
             w = top[docs]
@@ -213,14 +217,16 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, s
             n = lengths[word]
             pair_at = np.repeat(begin[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             error = lambda z: weight[docs] * (_sigmoid(z) - y[docs])  # noqa: B023, E731
-            g = net.gradients(ids[word], pairs[pair_at], np.cumsum(n) - n, n, np.cumsum(size) - size, size, error)
+            seen = np.where(rng.random(len(word)) < MASKED, 0, ids[word])
+            g = net.gradients(seen, pairs[pair_at], np.cumsum(n) - n, n, np.cumsum(size) - size, size, error)
             turn += 1
             for k, v in net.p.items():
                 m, s = moment[k]
                 d = g[k] / len(docs) + (2e-5 * v if k != "bias" else 0)
                 m += 0.1 * (d - m)
                 s += 0.01 * (d * d - s)
-                v -= step * (m / (1 - 0.9**turn)) / (np.sqrt(s / (1 - 0.99**turn)) + 1e-6)
+                pace = step * (0.3 if k in ("word", "char") else 1)
+                v -= pace * (m / (1 - 0.9**turn)) / (np.sqrt(s / (1 - 0.99**turn)) + 1e-6)
     return net
 
 
@@ -235,8 +241,11 @@ def score_column(column: pa.Array, net: Network) -> np.ndarray:
     return out
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED) -> DataFrame:
-    """The documents, all their columns, and `toxic_score`."""
+def with_scores(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, name: str = "toxic_score"
+) -> DataFrame:
+    """The documents, all their columns, and the score; a column of that name is replaced."""
+    docs = docs.drop(name)
     sample = labelled_texts(docs, labels, label, most)
     net = fit([t for t, _ in sample], [y for _, y in sample]) if sample else None
     shared = docs.sparkSession.sparkContext.broadcast(net)  # at most MOST_WORDS word vectors
@@ -245,9 +254,9 @@ def with_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = score_column(batch.column(at), shared.value) if shared.value else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(scored, docs.drop("toxic_score").schema.add("toxic_score", "double"))
+    return docs.mapInArrow(scored, StructType(docs.schema.fields).add(name, "double"))
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED) -> DataFrame:
@@ -261,5 +270,5 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED) -> DataFrame:
     """The documents below the threshold, with all their columns."""
-    kept = docs.select("text", *[F.col(c) for c in docs.columns if c != "text"])
-    return with_scores(kept, labels, label, most).where(F.col("toxic_score") < THRESHOLD).select(*docs.columns)
+    rows = with_scores(docs, labels, label, most, "__toxic")
+    return rows.where(F.col("__toxic") < THRESHOLD).select(*docs.columns)
