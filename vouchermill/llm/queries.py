@@ -4,8 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouchermill.llm import decontaminate, jaccard, quality, syncmers, toxicity
+from vouchermill.llm import decontaminate, jaccard, quality, syncmers, token_files, toxicity
 from vouchermill.llm.words import table
+from vouchermill.session import shared_folder
+
+#: where the public tokenizers' files are looked up, and the id that ends a document
+BYTE_BPE, END_ID = "byte_bpe_50k.json", 2
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,6 +26,12 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("key")
 
 
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    out = shared_folder(spark, "token-files")
+    token_files.write_token_files(table(spark, folder, "documents"), tokenizer(BYTE_BPE), END_ID, out)
+    return token_files.token_report(spark, out)
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -29,4 +45,4 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registry():
-    return {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op6_quality, op9_jaccard_join, op10_toxicity)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op5_token_files, op6_quality, op9_jaccard_join, op10_toxicity)}
