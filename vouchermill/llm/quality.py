@@ -83,8 +83,9 @@ def fit(texts: list[str], labels: list[int], settings: Ftrl = Ftrl()) -> tuple[n
             rows.append(key >> 32), ids.append(key & 0xFFFFFFFF), values.append(count / n[key >> 32])
         rows, ids, values = np.concatenate(rows), np.concatenate(ids), np.concatenate(values)
         order = np.argsort(rows, kind="stable")
+        ids, values = ids[order], values[order]
         cut = np.searchsorted(rows[order], np.arange(end - first + 1))
-        examples += [(ids[order][a:b], values[order][a:b]) for a, b in zip(cut[:-1], cut[1:])]
+        examples += [(ids[a:b], values[a:b]) for a, b in zip(cut[:-1], cut[1:])]
     z, n = np.zeros(KINDS << BITS), np.zeros(KINDS << BITS)
     rate = (sum(labels) + 1) / (len(labels) + 2)
     bias = float(np.log(rate / (1 - rate)))
