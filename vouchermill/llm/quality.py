@@ -3,7 +3,8 @@ with follow-the-regularised-leader updates, scored as sparse dot products.
 
 Features of a text are the n-grams of its blank-separated words: single words
 and pairs, and singles, pairs and triples of word shapes (capitals, small
-letters, digits and other bytes, each run written once). A feature's value is
+letters, digits and other bytes, each run written once; a pair of equal words
+differs from one of different words). A feature's value is
 its share of the text's n-grams of that sort, so a score is the mean of the
 weights that the text's n-grams have, whatever its length.
 
@@ -42,7 +43,7 @@ class Ftrl:
     beta: float = 0.05
     l1: float = 0.0005
     l2: float = 0.001
-    epochs: int = 2
+    epochs: int = 4
 
 
 def _shape_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -63,7 +64,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
         return [(rows, rows)] * KINDS
     word, shape = tb.run_hashes(data, starts, ends), _shape_hashes(data, starts, ends)
     two, three = rows[1:] == rows[:-1], rows[2:] == rows[:-2]
-    pairs = tb.pair(shape[:-1], shape[1:])
+    pairs = tb.pair(shape[:-1], shape[1:]) + (word[:-1] == word[1:])  # a word repeated is a pair of its own
     found = [
         (rows, word), (rows[1:][two], tb.pair(word[:-1], word[1:])[two]), (rows, shape),
         (rows[1:][two], pairs[two]), (rows[2:][three], tb.pair(pairs[:-1], shape[2:])[three]),

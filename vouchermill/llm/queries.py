@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouchermill.llm import decontaminate, jaccard, quality, syncmers, token_files, toxicity
+from vouchermill.llm import decontaminate, jaccard, quality, suffixes, syncmers, token_files, toxicity
 from vouchermill.llm.words import table
 from vouchermill.session import shared_folder
 
@@ -36,6 +36,10 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.report_repeats(table(spark, folder, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_classes(table(spark, folder, "documents")).drop("text_key", "first")
 
@@ -45,4 +49,4 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registry():
-    return {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op5_token_files, op6_quality, op9_jaccard_join, op10_toxicity)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op5_token_files, op6_quality, op8_suffix_dedup, op9_jaccard_join, op10_toxicity)}
