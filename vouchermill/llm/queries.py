@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouchermill.llm import decontaminate, jaccard, quality, suffixes, syncmers, token_files, toxicity
+from vouchermill.llm import decontaminate, jaccard, pieces, quality, suffixes, syncmers, token_files, toxicity
 from vouchermill.llm.words import table
 from vouchermill.session import shared_folder
 
 #: where the public tokenizers' files are looked up, and the id that ends a document
 BYTE_BPE, END_ID = "byte_bpe_50k.json", 2
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer(name: str) -> str:
@@ -36,6 +37,10 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.piece_report(table(spark, folder, "documents"), tokenizer(PIECES))
+
+
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.report_repeats(table(spark, folder, "documents"))
 
@@ -49,4 +54,4 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registry():
-    return {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op5_token_files, op6_quality, op8_suffix_dedup, op9_jaccard_join, op10_toxicity)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op5_token_files, op6_quality, op7_pieces, op8_suffix_dedup, op9_jaccard_join, op10_toxicity)}

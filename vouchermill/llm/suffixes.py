@@ -398,6 +398,7 @@ def report_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.mapInArrow(told, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, all their columns, without the repeated bytes of `text`."""
     at = docs.columns.index("text")

@@ -77,8 +77,11 @@ def run_hashes(kinds: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hash of each run of bytes, whatever its place."""
     sums = np.zeros(len(kinds) + 1, np.uint64)
     np.cumsum((kinds.astype(np.uint64) + np.uint64(1)) * powers(len(kinds)), out=sums[1:])
-    length = (ends - starts).astype(np.uint64)
-    return mix((sums[ends] - sums[starts]) * inverse_powers(len(kinds) + 1)[starts] + length * np.uint64(0xD6E8FEB86659FD93))
+    return mix((sums[ends] - sums[starts]) * inverse_powers(len(kinds) + 1)[starts] + length_salt(ends - starts))
+
+
+def length_salt(length: np.ndarray | int) -> np.ndarray:
+    return np.asarray(length, np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from vouchermill.llm import textbytes as tb
 from vouchermill.llm.labelled import MOST_LABELLED, held_out, labelled_texts
@@ -256,7 +256,7 @@ def with_scores(
             found = score_column(batch.column(at), shared.value) if shared.value else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(scored, StructType(docs.schema.fields).add(name, "double"))
+    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED) -> DataFrame:
