@@ -33,6 +33,7 @@ from vouchermill.session import shared_folder
 
 #: bytes of streams in a block; a longer document makes a block of its own
 BLOCK_BYTES = 1 << 18
+_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray, kind=None) -> pa.Array:
@@ -41,15 +42,19 @@ def _lists(values: np.ndarray, sizes: np.ndarray, kind=None) -> pa.Array:
 
 
 def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """doc_id, tie (hash of the text) and ids, as little-endian 16-bit numbers where they fit, else 32-bit."""
+    """doc_id, tie (hash of the text) and ids, as little-endian 16-bit numbers where
+    they fit, else 32-bit. Every task adds a row without ids: in `counts`, how
+    often each id occurs in its rows (pairs of 64-bit numbers)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_file)
-        width = "<u2" if max(len(coder.opens), end_id + 1) <= 1 << 16 else "<u4"
+        vocabulary = max(len(coder.opens), end_id + 1)
+        width, total = "<u2" if vocabulary <= 1 << 16 else "<u4", np.zeros(vocabulary, np.int64)
         for batch in batches:
             for first, end, data, offsets in tb.slices(batch.column(2)):
                 ids, counts = coder.encode(data, offsets, end_id)
+                total += np.bincount(ids, minlength=vocabulary)
                 raw, size = ids.astype(width), int(width[-1])
                 ends = np.concatenate([[0], np.cumsum(counts)]) * size
                 blobs = pa.Array.from_buffers(
@@ -57,12 +62,17 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
                 ).cast(pa.binary())
                 own = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array(np.full(end - first, size, np.int32)), blobs],
-                    ["doc_id", "tie", "width", "ids"],
+                    [own.column(0), own.column(1), pa.array(np.full(end - first, size, np.int32)), blobs, pa.nulls(end - first, pa.binary())],
+                    ["doc_id", "tie", "width", "ids", "counts"],
                 )
+        used = np.flatnonzero(total)
+        row = {"doc_id": None, "tie": 0, "width": int(width[-1]), "ids": None, "counts": np.stack([used, total[used]]).tobytes()}
+        yield pa.RecordBatch.from_pylist([row], pa.schema([
+            ("doc_id", _KINDS[kind]), ("tie", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())
+        ]))
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, tie bigint, width int, ids binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, tie bigint, width int, ids binary, counts binary")
 
 
 def _ids(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -81,25 +91,14 @@ def _ids(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np
 
 
 def count_ids(tokens: DataFrame) -> np.ndarray:
-    """How often each id occurs in all rows; the driver gets a number per id of the vocabulary."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for _, ids, _ in _ids(batch):
-                found = np.bincount(ids)
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "n"])
-
-    rows = tokens.select("width", "ids").mapInArrow(counted, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    found = rows.collect()
-    counts = np.zeros(max((r.id for r in found), default=0) + 1, np.int64)
-    for r in found:
-        counts[r.id] = r.n
-    return counts
+    """How often each id occurs in all rows, from the counts of the tasks."""
+    total = np.zeros(1, np.int64)
+    for row in tokens.where("counts is not null").select("counts").toLocalIterator():  # a row of a task at a time
+        ids, n = np.frombuffer(row.counts, np.int64).reshape(2, -1)
+        if len(ids) and ids[-1] >= len(total):
+            total = np.append(total, np.zeros(int(ids[-1]) + 1 - len(total), np.int64))
+        total[ids] += n
+    return total
 
 
 def write_token_files(
@@ -153,12 +152,12 @@ def write_token_files(
         if held:
             yield out()
 
-    ids = pa.int64() if kind == "bigint" else {"int": pa.int32(), "string": pa.string()}[kind]
     schema = pa.schema([
-        ("file", pa.int32()), ("block", pa.int32()), ("doc_id", pa.list_(ids)), ("n_tokens", pa.list_(pa.int64())),
+        ("file", pa.int32()), ("block", pa.int32()), ("doc_id", pa.list_(_KINDS[kind])), ("n_tokens", pa.list_(pa.int64())),
         ("first_byte", pa.list_(pa.int64())), ("marks", pa.list_(pa.int32())), ("payload", pa.binary()),
     ])
-    streams = tokens.mapInArrow(coded, f"doc_id {kind}, tie bigint, n_tokens bigint, marks array<int>, stream binary")
+    rows = tokens.where("ids is not null").select("doc_id", "tie", "width", "ids")
+    streams = rows.mapInArrow(coded, f"doc_id {kind}, tie bigint, n_tokens bigint, marks array<int>, stream binary")
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = streams.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(
