@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouchermill.llm import decontaminate, jaccard, pieces, quality, suffixes, syncmers, token_files, toxicity
+from vouchermill.llm import chat, decontaminate, fixity, jaccard, pieces, quality, suffixes, syncmers, token_files, toxicity
 from vouchermill.llm.words import table
 from vouchermill.session import shared_folder
 
@@ -27,6 +27,22 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("key")
 
 
+#: a conversation of control strings, added to the table: conv_id, turn, role, text
+CONTROL = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op3_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(CONTROL, "conv_id bigint, turn bigint, role string, text string"))
+    return chat.report(chat.format_windows(turns))
+
+
+def op4_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    left, right = fixity.build_trees([pages, fixity.damaged(pages)])
+    return fixity.report(left, right, spark)
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     out = shared_folder(spark, "token-files")
     token_files.write_token_files(table(spark, folder, "documents"), tokenizer(BYTE_BPE), END_ID, out)
@@ -54,4 +70,4 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def registry():
-    return {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op5_token_files, op6_quality, op7_pieces, op8_suffix_dedup, op9_jaccard_join, op10_toxicity)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_chat_windows, op4_fixity, op5_token_files, op6_quality, op7_pieces, op8_suffix_dedup, op9_jaccard_join, op10_toxicity)}
