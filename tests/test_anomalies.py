@@ -6,6 +6,7 @@ import pytest
 
 from conftest import rows_of
 from vouchermill.config import FLAG_HIGH, FLAG_LOW
+from vouchermill.functions.calendar import with_calendar
 from vouchermill.operators import anomalies
 from vouchermill.operators.quantiles import exact_quartiles
 
@@ -92,3 +93,11 @@ def test_zscore(spark):
 def test_entity_baseline_joins_back(spark):
     got = rows_of(anomalies.with_entity_baseline(frame(spark, {"a": [1, 2], "b": [5]}), "who", "amount"), "amount")
     assert [(r["who"], r["entity_rows"], r["entity_avg"]) for r in got] == [("a", 2, 1.5), ("a", 2, 1.5), ("b", 1, 5.0)]
+
+
+def test_rows_without_a_party_are_no_party(spark, make_ledger):
+    """The list of all anomalies leaves them out, as the list per customer does."""
+    rows = [("2024-04-01", None, "Sales", 10)] * 6 + [("2024-04-02", None, "Sales", 900)]
+    rows += [("2024-04-01", "A", "Sales", 10)] * 6 + [("2024-04-02", "A", "Sales", 900)]
+    flagged = rows_of(anomalies.all_anomalies(with_calendar(make_ledger(rows))))
+    assert [r["customer"] for r in flagged] == ["A"]

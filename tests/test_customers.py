@@ -20,7 +20,8 @@ BANDS = [
     ((180, 100, "5000000"), (2, 4, 4)),
     ((181, 101, "5000000.01"), (1, 5, 5)),
     ((9999, 9999, "999999999"), (1, 5, 5)),
-    ((10000, 10000, "999999999.01"), (None, None, None)),
+    ((12000, 12000, "2000000000.01"), (1, 5, 5)),  # the last bands are open
+    ((-1, 0, "0"), (None, None, None)),
 ]
 
 
@@ -34,8 +35,8 @@ def test_bands_are_right_closed(spark):
         if want[0]:
             assert float(row.rfm_score) == round(want[0] * 0.3 + want[1] * 0.3 + want[2] * 0.4, 2)
     # outside the bands there is no score, and without a score the customer is lost
-    assert got[(10000, 10000)].rfm_score is None
-    assert got[(10000, 10000)].segment == "Lost"
+    assert got[(-1, 0)].rfm_score is None
+    assert got[(-1, 0)].segment == "Lost"
 
 
 SEGMENTS = [
@@ -186,3 +187,9 @@ def test_canonical_names(spark, make_ledger):
     ledger = make_ledger([("2024-05-01", p, "Sales", 1) for p in ("ACME LTD", "Acme Ltd.", "Acme", "acme ltd", "Other")])
     got = rows_of(reports.invoice_summary(parties.canonical_party(ledger, alias)), "customer")
     assert [(r["customer"], r["invoices"]) for r in got] == [("Acme", 3), ("Other", 1), ("acme ltd", 1)]
+
+
+def test_a_variant_named_twice_keeps_the_rows(spark, make_ledger):
+    ledger = make_ledger([("2024-04-01", "M/S A", "Sales", 10), ("2024-04-02", "B", "Sales", 5)])
+    alias = spark.createDataFrame([("M/S A", "Z"), ("M/S A", "A"), ("M/S A", "A")], "variant string, canonical string")
+    assert [r["particulars"] for r in rows_of(parties.canonical_party(ledger, alias), "particulars")] == ["A", "B"]

@@ -105,7 +105,7 @@ def test_profile_counts_parties_once(make_ledger):
 
 def test_duplicate_vouchers(make_ledger):
     ledger = make_ledger([("2024-04-01", "A", "Sales", 1, n) for n in ("a", "b", "a", None, None, "c")])
-    assert [(r["vch_no"], r["count"]) for r in rows_of(reports.duplicate_vouchers(ledger))] == [(None, 2), ("a", 2)]
+    assert [(r["vch_no"], r["count"]) for r in rows_of(reports.duplicate_vouchers(ledger))] == [("a", 2)]  # missing numbers match nothing
 
 
 def test_slices(make_ledger, spark):
@@ -129,3 +129,14 @@ def test_matrix_has_fixed_columns(make_ledger):
     got = rows_of(feeds.customer_month_matrix(make_ledger(ROWS), "2024-25"), "customer")
     assert list(got[0]) == "customer apr may jun jul aug sep oct nov dec jan feb mar".split()
     assert (got[0]["apr"], got[0]["may"], got[0]["jun"]) == (1000.0, 251.0, 0.0)
+
+
+def test_missing_numbers_and_parties(spark, make_ledger):
+    """Missing voucher numbers match nothing; a missing party is no customer, in both counts of active customers."""
+    ledger = with_calendar(make_ledger([
+        ("2024-04-05", None, "Sales", 10, None), ("2024-04-06", "A", "Sales", 10, None), ("2024-04-07", "A", "Sales", 10, "S1"),
+        ("2024-04-08", "A", "Sales", 10, "S1"),
+    ]))
+    assert [(r["vch_no"], r["count"]) for r in rows_of(reports.duplicate_vouchers(ledger))] == [("S1", 2)]
+    assert rows_of(reports.measures_by_year(ledger))[0]["active_customers"] == 1
+    assert rows_of(feeds.kpi_cards(ledger))[0]["active_customers"] == 1

@@ -13,9 +13,9 @@ def land(folder, name, lines):
     (folder / name).write_text("\n".join(lines) + "\n")
 
 
-def run_ingest(spark, tmp_path, lateness="400 days"):
+def run_ingest(spark, tmp_path, files_per_batch=1):
     ingest.ingest_daybook(
-        spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), "2024-25", lateness, files_per_batch=1
+        spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), "2024-25", files_per_batch
     ).awaitTermination()
     return rows_of(spark.read.schema(LEDGER).parquet(str(tmp_path / "out")), "txn_date", "vch_no", "debit_amount")
 
@@ -38,6 +38,20 @@ def test_ingest_in_steps(spark, tmp_path):
     assert len(run_ingest(spark, tmp_path)) == 5
 
 
+def test_ingest_loses_no_row_for_being_old(spark, tmp_path):
+    """Unsorted and far-future dates, repeats years later; any number of files in a batch."""
+    results = []
+    for size in (1, 1000):
+        folder = tmp_path / str(size)
+        folder.mkdir()
+        for name, date, number in (("a", "2025-06-01", 1), ("b", "2099-06-02", 2), ("c", "2015-06-01", 3), ("d", "2031-01-01", 1)):
+            land(folder / "in", f"{name}.csv", [f"{date},A,GST Sales New,V/{number},10,"])
+        got = run_ingest(spark, folder, size)
+        assert sorted(r["vch_no"] for r in got) == ["V/1", "V/2", "V/3"]
+        results.append(sorted((str(r["txn_date"]), r["vch_no"]) for r in got if r["vch_no"] != "V/1"))
+    assert results[0] == results[1] == [("2015-06-01", "V/3"), ("2099-06-02", "V/2")]
+
+
 EVENTS = "ts timestamp_ntz, kind string, value decimal(18,2)"
 
 

@@ -47,13 +47,14 @@ CRORE = 10_000_000
 
 @dataclass(frozen=True)
 class RfmConfig:
-    """Right-closed bands: ``edges[i] < x <= edges[i + 1]`` scores ``scores[i]``."""
+    """Right-closed bands: ``edges[i] < x <= edges[i + 1]`` scores ``scores[i]``;
+    a last edge of None leaves the last band open above."""
 
-    recency_edges: tuple = (-1, 15, 45, 90, 180, 9999)
+    recency_edges: tuple = (-1, 15, 45, 90, 180, None)
     recency_scores: tuple = (5, 4, 3, 2, 1)
-    frequency_edges: tuple = (0, 3, 10, 30, 100, 9999)
+    frequency_edges: tuple = (0, 3, 10, 30, 100, None)
     frequency_scores: tuple = (1, 2, 3, 4, 5)
-    monetary_edges: tuple = (0, 100_000, 500_000, 1_000_000, 5_000_000, 999_999_999)
+    monetary_edges: tuple = (0, 100_000, 500_000, 1_000_000, 5_000_000, None)
     monetary_scores: tuple = (1, 2, 3, 4, 5)
     # percent weights, so that the score stays exact in integers
     weights: tuple = (30, 30, 40)

@@ -75,6 +75,17 @@ def in_fiscal_year(fy: str, date: str = "txn_date", start_month: int = FY_START)
     return (F.col(date) >= F.lit(first)) & (F.col(date) < F.lit(after))
 
 
+def of_fiscal_years(ledger: DataFrame, *years: str) -> DataFrame:
+    """Rows of some fiscal years. Where the ledger has the year as a column, which
+    a stored one is partitioned by, an equality on it prunes whole folders."""
+    wanted = in_fiscal_year(years[0])
+    for fy in years[1:]:
+        wanted = wanted | in_fiscal_year(fy)
+    if "fiscal_year" in ledger.columns:
+        wanted = wanted & F.col("fiscal_year").isin(*years)
+    return ledger.filter(wanted)
+
+
 def with_calendar(df: DataFrame, date: str = "txn_date", start_month: int = FY_START) -> DataFrame:
     """Add every derived date column; those a query does not read are pruned."""
     d = F.col(date)

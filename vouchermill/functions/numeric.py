@@ -94,8 +94,9 @@ def value_bucket(amount: Column) -> Column:
 
 
 def band(c: Column, edges: tuple, scores: tuple) -> Column:
-    """Right-closed bands; NULL outside them."""
+    """Right-closed bands; NULL outside them. A last edge of None is no bound."""
     out = F.lit(None).cast("int")
     for low, high, score in reversed(list(zip(edges, edges[1:], scores))):
-        out = F.when((c > low) & (c <= high), F.lit(score)).otherwise(out)
+        inside = c > low if high is None else (c > low) & (c <= high)
+        out = F.when(inside, F.lit(score)).otherwise(out)
     return out

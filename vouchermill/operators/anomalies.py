@@ -74,14 +74,15 @@ def iqr_anomalies(df: DataFrame, entity: str, amount: str, config: IqrConfig = I
 
 
 def _positive(ledger: DataFrame, category: str, amount: str) -> DataFrame:
-    rows = ledger.filter(is_category(category) & (F.col(amount) > 0))
+    rows = ledger.filter(is_category(category) & (F.col(amount) > 0) & F.col("particulars").isNotNull())
     return rows.select("particulars", F.col(amount).alias("value"), "txn_date", "vch_no", "fiscal_year")
 
 
 def all_anomalies(ledger: DataFrame, config: IqrConfig = IqrConfig()) -> DataFrame:
     """Flagged sales per customer and purchases per supplier, tagged.
 
-    Both sides go through one computation, keyed by type and party.
+    Both sides go through one computation, keyed by type and party. Rows without
+    a party belong to no one and are left out.
     """
     sale = _positive(ledger, "Sales", "debit_amount").withColumn("txn_type", F.lit("Sale"))
     bought = _positive(ledger, "Purchase", "credit_amount").withColumn("txn_type", F.lit("Purchase"))

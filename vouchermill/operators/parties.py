@@ -11,10 +11,13 @@ from vouchermill.operators.joins import join_per_key
 def canonical_party(df: DataFrame, alias: DataFrame, party: str = "particulars") -> DataFrame:
     """Replace name variants by their canonical name; other names are kept.
 
+    A variant that the alias table names more than once has the least of its
+    names, so rows are never multiplied.
+
     No broadcast hint: the alias table grows with the parties. Spark broadcasts
     it below its size threshold and otherwise shuffles, splitting a hot name.
     """
-    a = alias.select(F.col("variant").alias("_variant"), F.col("canonical").alias("_canonical"))
+    a = alias.groupBy(F.col("variant").alias("_variant")).agg(F.min("canonical").alias("_canonical"))
     joined = df.join(a, F.col(party) == F.col("_variant"), "left")
     return joined.withColumn(party, F.coalesce("_canonical", party)).drop("_variant", "_canonical")
 

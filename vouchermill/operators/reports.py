@@ -10,7 +10,7 @@ from vouchermill.functions.calendar import (
     fiscal_label,
     fiscal_quarter_num,
     fiscal_start_year,
-    in_fiscal_year,
+    of_fiscal_years,
     iso,
     month_bucket,
     month_name,
@@ -59,7 +59,7 @@ def monthly_sales_trend(ledger: DataFrame) -> DataFrame:
 
 
 def monthly_revenue_fy(ledger: DataFrame, fy: str) -> DataFrame:
-    sales = ledger.filter(is_category("Sales") & in_fiscal_year(fy))
+    sales = of_fiscal_years(ledger, fy).filter(is_category("Sales"))
     totals = sales.groupBy(_month()).agg(
         F.sum("debit_amount").alias("s"), F.count(F.lit(1)).alias("num_invoices")
     )
@@ -274,7 +274,7 @@ SUMMARY_AMOUNTS = (
 
 def financial_summary(ledger: DataFrame, fy: str | None = None) -> DataFrame:
     """Profit and cash figures per fiscal year, in crores, with two ratios."""
-    rows = ledger.filter(in_fiscal_year(fy)) if fy else ledger
+    rows = of_fiscal_years(ledger, fy) if fy else ledger
     totals = measure_totals(rows, [_year()])
     return totals.select(
         _year_text(),
@@ -297,7 +297,7 @@ YOY_METRICS = {
 
 def yoy_comparison(ledger: DataFrame, fy_a: str, fy_b: str) -> DataFrame:
     """Six metrics in long form with growth in percent, 0 when the base is 0."""
-    rows = ledger.filter(in_fiscal_year(fy_a) | in_fiscal_year(fy_b))
+    rows = of_fiscal_years(ledger, fy_a, fy_b)
     totals = measure_totals(rows, [_year()]).withColumn("fiscal_year", fiscal_label(F.col("_y")))
     pairs = ", ".join(f"'{label}', cast({c} as decimal(38,2))" for label, c in YOY_METRICS.items())
     long = totals.select("fiscal_year", F.expr(f"stack({len(YOY_METRICS)}, {pairs}) as (metric, amount)"))
@@ -348,7 +348,8 @@ def ledger_profile(ledger: DataFrame) -> DataFrame:
 
 
 def duplicate_vouchers(ledger: DataFrame) -> DataFrame:
-    counts = ledger.groupBy("vch_no").agg(F.count(F.lit(1)).alias("count"))
+    """Voucher numbers that occur more than once; missing numbers match nothing."""
+    counts = ledger.filter(F.col("vch_no").isNotNull()).groupBy("vch_no").agg(F.count(F.lit(1)).alias("count"))
     return counts.filter(F.col("count") > 1).orderBy(F.col("count").desc(), "vch_no")
 
 
@@ -366,7 +367,7 @@ def measures_by_year(ledger: DataFrame) -> DataFrame:
     per_party = ledger.groupBy(_year(), "particulars").agg(*[c.alias(n) for n, c in base.items()])
     years = per_party.groupBy("_y").agg(
         *[F.sum(n).alias(n) for n in base],
-        count_where(F.col("sales_rows") > 0).alias("active_customers"),
+        count_where((F.col("sales_rows") > 0) & F.col("particulars").isNotNull()).alias("active_customers"),
         F.count("particulars").alias("parties"),
         F.max("gross_sales").alias("top_party_sales"),
     )

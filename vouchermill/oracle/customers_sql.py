@@ -18,9 +18,9 @@ def rfm(source="canon"):
   sum(debit_amount) as monetary from {source} where txn_category = 'Sales' and debit_amount > 0 group by 1),
 rfm_d as (select *, date_diff('day', hi, (select max(hi) from rfm_t) + 1) as recency from rfm_t),
 rfm_s as (select *,
-  {_band('recency', (-1, 15, 45, 90, 180, 9999), (5, 4, 3, 2, 1))} as r_score,
-  {_band('frequency', (0, 3, 10, 30, 100, 9999), (1, 2, 3, 4, 5))} as f_score,
-  {_band('monetary', (0, 100000, 500000, 1000000, 5000000, 999999999), (1, 2, 3, 4, 5))} as m_score from rfm_d),
+  {_band('recency', (-1, 15, 45, 90, 180, 10**9), (5, 4, 3, 2, 1))} as r_score,
+  {_band('frequency', (0, 3, 10, 30, 100, 10**18), (1, 2, 3, 4, 5))} as f_score,
+  {_band('monetary', (0, 100000, 500000, 1000000, 5000000, 10**15), (1, 2, 3, 4, 5))} as m_score from rfm_d),
 rfm_w as (select *, round(r_score * 0.30 + f_score * 0.30 + m_score * 0.40, 2) as score from rfm_s),
 rfm as (select *, case when score >= 4.0 then 'Champion' when score >= 3.0 and r_score >= 3 then 'Loyal'
   when score >= 3.0 and r_score < 3 then 'At Risk' when score >= 2.0 and r_score >= 3 then 'Promising'
@@ -292,12 +292,11 @@ S["anomaly_top_parties"] = with_ledger(
     ),
     _BOTH,
 )
-_RAW_SALES = _SALES.replace("canon", "ledger")
 S["feed_anomaly_series"] = with_ledger(
     f"""select {iso('txn_date')} as txn_date, vch_no, {r('debit_amount', 2)} as amount,
  coalesce((select min(flag_type) from flagged where flagged.vch_no = sales.vch_no), 'Normal') as flag_type,
  {r(mean('sum(debit_amount) over ()', 'count(*) over ()'), 2)} as overall_mean from sales""",
-    f"{_RAW_SALES},\n{iqr('sales', 'particulars', 'debit_amount')}",
+    f"{_SALES},\n{iqr('sales', 'particulars', 'debit_amount')}",
 )
 
 # ---------------------------------------------------------------- settlement

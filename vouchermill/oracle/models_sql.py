@@ -109,9 +109,10 @@ _PI = "6.283185307179586"
 
 def _series(market):
     key = "c_mktsegment" if market else "0"
-    join = "join customer on particulars = c_name" if market else ""
+    source = "canon" if market else "ledger"
+    join = "left join customer on particulars = c_name" if market else ""
     return f"""ser as (select {key} as k, date_trunc('month', txn_date) as ms, sum(debit_amount) as amount
-  from ledger {join} where txn_category = 'Sales' group by 1, 2),
+  from {source} {join} where txn_category = 'Sales' group by 1, 2),
 feat as (select k, cast(ms as date) as ms, amount, cast(amount as double) as y,
   row_number() over (partition by k order by ms) as period, cast(month(ms) as integer) as moy,
   sin({_PI}::double * month(ms) / 12.0) as x2, cos({_PI}::double * month(ms) / 12.0) as x3,

@@ -144,7 +144,7 @@ S["fiscal_columns"] = with_ledger(
 S["star_join"] = with_ledger(
     f"""select {fy('d')} as cal_fy, {quarter('d')} as cal_quarter, c_mktsegment as market, n_name as nation,
  count(*) as invoices, {r('sum(debit_amount)', 2)} as sales
-from ledger left join days on txn_date = d left join customer on particulars = c_name
+from canon left join days on txn_date = d left join customer on particulars = c_name
  left join nation on c_nationkey = n_nationkey
 where txn_category = 'Sales' group by 1, 2, 3, 4""",
     _CALENDAR,
@@ -159,13 +159,13 @@ where txn_category = 'Purchase' group by 1, 2, 3""",
 )
 S["customer_receipts"] = with_ledger(
     f"""select particulars as customer, count(*) as receipts, {r('sum(credit_amount)', 2)} as received
-from ledger where txn_category = 'Receipt'
- and particulars in (select particulars from ledger where txn_category = 'Sales' and {FY_RANGE}) group by 1"""
+from canon where txn_category = 'Receipt'
+ and particulars in (select particulars from canon where txn_category = 'Sales') group by 1"""
 )
 S["entity_baseline_rows"] = with_ledger(
     f"""select vch_no, particulars, {r('debit_amount', 2)} as amount, count(*) over (partition by particulars) as entity_rows,
  {r(mean('sum(debit_amount) over (partition by particulars)', 'count(*) over (partition by particulars)'), 2)} as entity_mean
-from ledger where txn_category = 'Sales'"""
+from canon where txn_category = 'Sales'"""
 )
 S["sales_growth_yoy"] = with_ledger(
     f"""select c.month, {r('c.s', 2)} as sales, {r('l.s', 2)} as sales_last_year,
@@ -410,7 +410,7 @@ S["order_frequency"] = with_ledger(
     f"""select particulars as customer, count(*) as orders, count(distinct month) as active_months,
  {r(mean('count(*)', 'count(distinct month)'), 2)} as orders_per_active_month,
  {r(mean('sum(debit_amount)', 'count(*)'), 2)} as avg_order_value
-from ledger where txn_category = 'Sales' group by particulars"""
+from canon where txn_category = 'Sales' group by particulars"""
 )
 S["revenue_by_product_type"] = f"""select p_type as product_type, {r('sum(round(cast(l_extendedprice as decimal(18,2)) * (cast(1 as decimal(4,2)) - cast(l_discount as decimal(4,2))), 2))', 2)} as revenue,
  count(*) as line_count from lineitem join part on l_partkey = p_partkey group by p_type"""

@@ -17,7 +17,8 @@ from vouchermill.plans import feeds
 from vouchermill.schemas import LEDGER
 from vouchermill.session import shared_folder
 from vouchermill.sources import trade_tables as tables
-from vouchermill.sources.readers import read_table
+from vouchermill.sources.readers import read_clean_ledger, read_daybook, read_register, read_table
+from vouchermill.sources.writers import write_ledger, write_result
 from vouchermill.streaming import ingest, scoring, totals
 
 # parameters of the registered queries, chosen to reach every branch of the data
@@ -148,7 +149,7 @@ def party_keyword_payments(spark, folder):
 
 
 def star_join(spark, folder):
-    sales = tables.ledger(spark, folder, ("Sales",))
+    sales = _canonical(spark, folder)
     days = cal.ledger_calendar(tables.ledger(spark, folder, ("Sales",), party=False))
     nation = read_table(spark, folder, "nation").select("n_nationkey", "n_name")
     people = read_table(spark, folder, "customer")
@@ -178,8 +179,8 @@ def star_join_suppliers(spark, folder):
 
 
 def customer_receipts(spark, folder):
-    sales = tables.ledger(spark, folder, ("Sales",)).filter(cal.in_fiscal_year(FY))
-    receipts = tables.ledger(spark, folder, ("Receipt",))
+    sales = _canonical(spark, folder)
+    receipts = _canonical(spark, folder, ("Receipt",))
     kept = parties.customer_receipts(receipts, sales)
     t = kept.groupBy(F.col("particulars").alias("customer")).agg(
         F.count(F.lit(1)).alias("receipts"), F.sum("credit_amount").alias("s")
@@ -188,7 +189,7 @@ def customer_receipts(spark, folder):
 
 
 def entity_baseline_rows(spark, folder):
-    sales = tables.ledger(spark, folder, ("Sales",)).select("particulars", "vch_no", "debit_amount")
+    sales = _canonical(spark, folder).select("particulars", "vch_no", "debit_amount")
     rows = anomalies.with_entity_baseline(sales, "particulars", "debit_amount")
     return rows.select(
         "vch_no",
@@ -258,11 +259,11 @@ def _features(spark, folder):
 
 
 def _segment_features(spark, folder):
-    sales = tables.ledger(spark, folder, ("Sales",))
+    sales = _canonical(spark, folder)
     people = read_table(spark, folder, "customer").select(
         F.col("c_name").alias("particulars"), F.col("c_mktsegment").alias("market")
     )
-    rows = sales.join(people, "particulars")
+    rows = sales.join(people, "particulars", "left")
     return forecast.monthly_features(forecast.monthly_series(rows, ("market",)), ("market",))
 
 
@@ -330,9 +331,7 @@ def stream_ingest(spark, folder):
     raw.write.option("header", False).csv(f"{target}/landing/first")
     repeated = raw.filter(F.col("_c3").isNotNull())
     repeated.write.option("header", False).csv(f"{target}/landing/second")
-    run = ingest.ingest_daybook(
-        spark, f"{target}/landing/*", f"{target}/ledger", f"{target}/checkpoint", "book-a", lateness="4000 days"
-    )
+    run = ingest.ingest_daybook(spark, f"{target}/landing/*", f"{target}/ledger", f"{target}/checkpoint", "book-a")
     run.awaitTermination()
     out = spark.read.schema(LEDGER).parquet(f"{target}/ledger")
     return _rows(
@@ -341,6 +340,36 @@ def stream_ingest(spark, folder):
     )
 
 
+# ---------------------------------------------------------------- stored tables
+
+
+def _stored_ledger(spark, folder) -> DataFrame:
+    """The derived ledger, written as a stored one and read back."""
+    target = shared_folder(spark, "ledger")
+    rows = tables.ledger(spark, folder, derived=True).withColumn("source_year", F.lit("trade"))
+    write_ledger(rows.select(*LEDGER.fieldNames()), target)
+    return read_clean_ledger(spark, target)
+
+
+def stored_daybook(spark, folder):
+    """Day-book rows through a CSV file and the cleaning steps."""
+    target = shared_folder(spark, "daybook")
+    tables.raw_daybook(spark, folder).write.option("header", False).csv(target)
+    clean = cleaning.clean_daybook(read_daybook(spark, target), "book-a")
+    return _rows(
+        clean, "txn_date", "particulars", "vch_type", "vch_no", "debit_amount", "credit_amount", "txn_category",
+        "fiscal_year", "source_year", "month_num", "fiscal_month_num", "month_name", "day_of_week", "quarter",
+    )
+
+
+def stored_register(spark, folder):
+    """Supplier spend from a purchase register written and read as CSV."""
+    target = shared_folder(spark, "register")
+    register = tables.purchase_register(spark, folder)
+    write_result(register, target, "csv")
+    return reports.supplier_spend(read_register(spark, target, register.schema))
+
+
 # ---------------------------------------------------------------- registry
 
 
@@ -473,18 +502,24 @@ def registry() -> dict[str, Query]:
         "feed_rfm_scatter": lambda s, d: f.rfm_scatter(_rfm(s, d)),
         "feed_at_risk_count": lambda s, d: f.at_risk_count(_rfm(s, d)),
         "feed_margin_colours": _trade(f.margin_colours),
-        "feed_anomaly_series": _over(f.anomaly_series, sales),
+        "feed_anomaly_series": lambda s, d: f.anomaly_series(_canonical(s, d)),
         "feed_year_comparison": lambda s, d: f.year_comparison(_churn(s, d)),
         "feed_collection_rates": lambda s, d: f.collection_rates(_payment(s, d)),
         "feed_recency_bands": lambda s, d: f.recency_bands(_churn(s, d)),
         # customer questions
-        "order_frequency": _over(r.order_frequency, sales),
+        "order_frequency": lambda s, d: r.order_frequency(_canonical(s, d)),
         "fifo_settlement": lambda s, d: settlement.settlement_table(_canonical(s, d, ("Sales", "Receipt"))),
         "days_to_payment": lambda s, d: settlement.days_to_payment(_canonical(s, d, ("Sales", "Receipt"))),
         "declining_customers": lambda s, d: c.declining_customers(_canonical(s, d), PRIOR, CURRENT),
         "revenue_by_product_type": lambda s, d: r.revenue_by_product_type(
             read_table(s, d, "lineitem"), read_table(s, d, "part")
         ),
+        # stored tables
+        "stored_ledger_revenue": lambda s, d: r.monthly_revenue_fy(_stored_ledger(s, d), FY),
+        "stored_ledger_profile": lambda s, d: r.ledger_profile(_stored_ledger(s, d)),
+        "stored_ledger_comparison": lambda s, d: r.yoy_comparison(_stored_ledger(s, d), PRIOR, CURRENT),
+        "stored_daybook": stored_daybook,
+        "stored_register": stored_register,
         # streaming
         "stream_ingest": stream_ingest,
         "stream_daily_totals": stream_daily_totals,

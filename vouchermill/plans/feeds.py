@@ -9,7 +9,7 @@ from vouchermill.functions.calendar import (
     FISCAL_MONTH_NAMES,
     fiscal_label,
     fiscal_start_year,
-    in_fiscal_year,
+    of_fiscal_years,
     iso,
     month_bucket,
     month_name,
@@ -37,7 +37,7 @@ def slice_ledger(
     """
     out = ledger
     if fy:
-        out = out.filter(in_fiscal_year(fy))
+        out = of_fiscal_years(out, fy)
     if quarter:
         out = out.filter(F.col("quarter") == quarter)
     if segment:
@@ -142,7 +142,7 @@ def pareto_line(ledger: DataFrame, line: float = 80.0) -> DataFrame:
 def customer_month_matrix(ledger: DataFrame, fy: str) -> DataFrame:
     """Customer by month of one fiscal year; the column list is fixed, so no pass
     over the data looks for it."""
-    sales = ledger.filter(is_category("Sales") & in_fiscal_year(fy)).select(
+    sales = of_fiscal_years(ledger, fy).filter(is_category("Sales")).select(
         F.col("particulars").alias("customer"), "debit_amount", month_name(F.col("txn_date")).alias("m")
     )
     wide = sales.groupBy("customer").pivot("m", list(FISCAL_MONTH_NAMES)).agg(F.sum("debit_amount"))

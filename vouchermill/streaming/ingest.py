@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from vouchermill.operators.cleaning import clean_daybook
+from vouchermill.operators.joins import join_per_key
 from vouchermill.schemas import LEDGER, RAW_DAYBOOK
 
+LAYOUT = ("fiscal_year", "txn_category")
+STORED = StructType([*LEDGER.fields, StructField("batch", IntegerType())])
+
 
 def read_daybook_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     return (
@@ -18,46 +23,43 @@ def read_daybook_stream(spark: SparkSession, path: str, files_per_batch: int = 1
     )
 
 
-def drop_seen_vouchers(clean: DataFrame, lateness: str) -> DataFrame:
-    """First arrival of each voucher number; rows without a number all stay.
+def unseen_vouchers(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row of each voucher number that ``stored`` lacks; rows without a number all stay.
 
-    ``lateness`` bounds the state: a repeat that arrives later than that after
-    the newest date is not recognised, and an older row is dropped as late.
+    Membership is by number alone: neither an old date nor the number of files
+    in a batch can make a row go.
     """
-    numbered = (
-        clean.filter(F.col("vch_no").isNotNull())
-        .withColumn("_ts", F.col("txn_date").cast("timestamp"))
-        .withWatermark("_ts", lateness)
-        .dropDuplicatesWithinWatermark(["vch_no"])
-        .drop("_ts")
+    fresh = batch.filter(F.col("vch_no").isNotNull()).dropDuplicates(["vch_no"])
+    known = stored.filter(F.col("vch_no").isNotNull()).select("vch_no").distinct()
+    return join_per_key(fresh, known, "vch_no", "left_anti").select(batch.columns).unionByName(
+        batch.filter(F.col("vch_no").isNull())
     )
-    return numbered.unionByName(clean.filter(F.col("vch_no").isNull()))
 
 
 def ingest_daybook(
-    spark: SparkSession,
-    source: str,
-    target: str,
-    checkpoint: str,
-    source_year: str,
-    lateness: str = "400 days",
-    files_per_batch: int = 1000,
+    spark: SparkSession, source: str, target: str, checkpoint: str, source_year: str, files_per_batch: int = 1000
 ) -> StreamingQuery:
-    """Clean what is new in ``source``, drop seen vouchers, append to ``target``.
+    """Clean what is new in ``source`` and append the unseen vouchers to ``target``.
 
-    Processes what is there and stops; the checkpoint remembers the files and the
-    voucher numbers, so a restart after a failure repeats nothing.
+    Processes what is there and stops. A batch writes a folder of its own, with
+    the layout of a stored ledger below it, and compares itself with the other
+    batches' folders only, so a batch that is run again replaces its own rows.
     """
+    # an empty table, so that the first batch has something to read
+    spark.createDataFrame([], LEDGER).write.partitionBy(*LAYOUT).mode("append").parquet(f"{target}/batch=-1")
+    columns = LEDGER.fieldNames()
+
+    def append(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        stored = session.read.schema(STORED).parquet(target).filter(F.col("batch") != number)
+        rows = unseen_vouchers(batch.select(*columns), stored.select("vch_no"))
+        rows.write.partitionBy(*LAYOUT).mode("overwrite").parquet(f"{target}/batch={number}")
+
     raw = read_daybook_stream(spark, source, files_per_batch)
-    clean = clean_daybook(raw, source_year)
     return (
-        drop_seen_vouchers(clean, lateness)
-        .select(*LEDGER.fieldNames())
-        .writeStream.format("parquet")
-        .partitionBy("fiscal_year")
-        .option("path", target)
+        clean_daybook(raw, source_year)
+        .writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
