@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vouchermill.llm import textbytes as tb
+from vouchermill.llm import batches, textbytes as tb
 
 ALPHA = 1.0
 _SLOT_BITS = 20
@@ -219,6 +219,7 @@ def model(file: str, alpha: float = ALPHA) -> Model:
 
 def encode_texts(docs: DataFrame, file: str, seed: int = 0, alpha: float = ALPHA) -> DataFrame:
     """One row per document: doc_id, ids (array<int>)."""
+    batches.for_texts(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vouchermill.llm import textbytes as tb
+from vouchermill.llm import batches, textbytes as tb
 from vouchermill.llm.labelled import MOST_LABELLED, held_out, labelled_texts
 
 BITS = 18
@@ -125,6 +125,7 @@ def score_column(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarr
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
+    batches.for_texts(spark)
     sample = labelled_texts(docs, labels, label, most)
     model = fit([t for t, _ in sample], [y for _, y in sample]) if sample else (np.zeros(KINDS << BITS, np.float32), 0.0)
     shared = spark.sparkContext.broadcast(model)  # KINDS * 2**BITS numbers

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from vouchermill.llm import textbytes as tb
+from vouchermill.llm import batches, textbytes as tb
 from vouchermill.llm.merge import Run, merge_runs
 from vouchermill.llm.words import row_key
 from vouchermill.session import shared_folder
@@ -278,6 +278,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """key (16 bytes: row_key of id and text) and spans (array of [start, end)) of
     every text with repeated bytes; spans of a text may overlap."""
     spark = docs.sparkSession
+    batches.for_texts(spark)
     texts = docs.select(F.unhex(row_key(F.col("doc_id"), F.col("text"))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     wanted = SPARE * 2 * total // (length - gram_size(length) + 2) + 1

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vouchermill.llm import huffman, textbytes as tb
+from vouchermill.llm import batches, huffman, textbytes as tb
 from vouchermill.llm.tokens import encoder
 from vouchermill.session import shared_folder
 
@@ -106,6 +106,7 @@ def write_token_files(
 ) -> None:
     """Encode all texts and write `folder`/codebook and `folder`/blocks."""
     spark = docs.sparkSession
+    batches.for_texts(spark)
     held = shared_folder(spark, "token-ids")
     tokenise(docs, tokenizer_file, end_id).write.option("compression", "zstd").parquet(held)
     tokens = spark.read.parquet(held)
