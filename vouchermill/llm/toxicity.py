@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from vouchermill.llm import textbytes as tb
+from vouchermill.llm import batches, textbytes as tb
 from vouchermill.llm.labelled import MOST_LABELLED, held_out, labelled_texts
 
 WINDOW, STRIDE = 40, 30
@@ -31,8 +31,8 @@ WORD_DIM, CHAR_DIM, HIDDEN = 8, 4, 8
 CHAR_BITS = 12
 #: words with a vector of their own: in at least so many training texts, at most so many
 LEAST_TEXTS, MOST_WORDS = 4, 30_000
-#: windows run through the network at once
-BATCH = 4096
+#: windows run through the network at once, and words whose bytes are looked up at once
+BATCH, WORDS = 4096, 1 << 17
 THRESHOLD = 0.5
 #: share of words that enter as unknown ones while training
 MASKED = 0.1
@@ -91,8 +91,10 @@ class Network:
         """[words + 1, dims]; the last row, all zero, fills windows up."""
         x = np.zeros((len(ids) + 1, WORD_DIM + CHAR_DIM), np.float32)
         x[:-1, :WORD_DIM] = self.p["word"][ids]
-        if len(ids):
-            x[:-1, WORD_DIM:] = np.add.reduceat(self.p["char"][pairs], begin, axis=0) / lengths[:, None]
+        for a in range(0, len(ids), WORDS):
+            at, n = begin[a : a + WORDS], lengths[a : a + WORDS]
+            own = self.p["char"][pairs[at[0] : at[-1] + n[-1]]]
+            x[a : a + len(n), WORD_DIM:] = np.add.reduceat(own, at - at[0], axis=0) / n[:, None]
         return x
 
     def run(self, x, place, size, keep=False):
@@ -246,6 +248,7 @@ def with_scores(
 ) -> DataFrame:
     """The documents, all their columns, and the score; a column of that name is replaced."""
     docs = docs.drop(name)
+    batches.for_texts(docs.sparkSession)
     sample = labelled_texts(docs, labels, label, most)
     net = fit([t for t, _ in sample], [y for _, y in sample]) if sample else None
     shared = docs.sparkSession.sparkContext.broadcast(net)  # at most MOST_WORDS word vectors
