@@ -18,8 +18,10 @@ def canonical_party(df: DataFrame, alias: DataFrame, party: str = "particulars")
     it below its size threshold and otherwise shuffles, splitting a hot name.
     """
     a = alias.groupBy(F.col("variant").alias("_variant")).agg(F.min("canonical").alias("_canonical"))
-    joined = df.join(a, F.col(party) == F.col("_variant"), "left")
-    return joined.withColumn(party, F.coalesce("_canonical", party)).drop("_variant", "_canonical")
+    # the hash asks for a shuffle of the aliases, which lets Spark split a hot name (see join_per_key)
+    a = a.withColumn("_h", F.xxhash64("_variant"))
+    joined = df.join(a, (F.col(party) == F.col("_variant")) & (F.xxhash64(party) == F.col("_h")), "left")
+    return joined.withColumn(party, F.coalesce("_canonical", party)).drop("_variant", "_canonical", "_h")
 
 
 def customer_receipts(receipts: DataFrame, sales: DataFrame, party: str = "particulars") -> DataFrame:

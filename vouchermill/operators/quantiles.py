@@ -8,45 +8,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from vouchermill.functions.numeric import value_bucket
 
-# an entity with more rows than this is split; the list of such entities is
-# broadcast, so it is held below _MAX_HOT entries by raising the limit with the data
-HOT_ROWS = 1_000_000
-_MAX_HOT = 1_000_000
-
 _QUARTILE = "decimal(22,4)"
 
 
-def exact_quartiles(df: DataFrame, entity: str, amount: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def exact_quartiles(df: DataFrame, entity: str, amount: str) -> DataFrame:
     """Row count, sum and linearly interpolated quartiles of each entity.
 
-    A first aggregate counts the rows of each entity. All but the hot entities
-    take Spark's exact percentile, whose buffer holds the distinct amounts of one
-    entity; hot ones go through :func:`split_quartiles`, which never gathers an
-    entity. Without hot entities Spark drops that branch at run time.
+    Entities of all sizes take the same way and none is ever gathered in a task.
+    Rows without an entity are left out.
     """
     rows = df.select(F.col(entity).alias("_e"), F.col(amount).cast("decimal(18,2)").alias("_a"))
-    rows = rows.filter(F.col("_e").isNotNull())
-    sizes = rows.groupBy("_e").agg(F.count(F.lit(1)).alias("_n"))
-    all_rows = sizes.agg(F.sum("_n").alias("_all")).scalar()
-    limit = F.greatest(F.lit(hot_rows).cast("bigint"), F.floor(all_rows / _MAX_HOT))
-    hot = sizes.filter(F.col("_n") > limit).select("_e")
-
-    usual = rows.join(F.broadcast(hot), "_e", "left_anti")
-    gathered = usual.groupBy("_e").agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.sum("_a").alias("total_amount"),
-        # counted as DOUBLE, which the interpolation uses anyway and hashes faster
-        F.percentile(F.col("_a").cast("double"), [0.25, 0.75]).alias("_q"),
-    )
-    usual_q = gathered.select(
-        "_e",
-        "row_count",
-        "total_amount",
-        F.col("_q")[0].cast(_QUARTILE).alias("q1"),
-        F.col("_q")[1].cast(_QUARTILE).alias("q3"),
-    )
-    hot_q = split_quartiles(rows.join(F.broadcast(hot), "_e", "left_semi"))
-    return usual_q.unionByName(hot_q).withColumnRenamed("_e", entity)
+    return split_quartiles(rows.filter(F.col("_e").isNotNull())).withColumnRenamed("_e", entity)
 
 
 def split_quartiles(rows: DataFrame) -> DataFrame:
