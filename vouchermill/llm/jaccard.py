@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vouchermill.llm import textbytes as tb
+from vouchermill.llm import batches, textbytes as tb
 from vouchermill.llm.components import components
 from vouchermill.session import shared_folder
 
@@ -41,9 +41,9 @@ BANDS, ROWS = 32, 4
 #: hashes compared before each decision, and the probability below which a pair goes
 STEP, TOLERANCE = 16, 1e-6
 #: rows of a bucket or group that one task compares with as many others
-BLOCK = 1000
+BLOCK = 512
 #: pairs, and columns of the incidence matrix, worked on at once
-PAIRS, COLUMNS = 1 << 17, 4096
+PAIRS, COLUMNS = 1 << 15, 2048
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +197,7 @@ def near_classes(
     threshold or above), n_copies (of those, with the same n-grams), and
     `first`, the least (id, text_key) of the component."""
     spark = docs.sparkSession
+    batches.for_texts(spark)
 
     def written(df: DataFrame, purpose: str) -> DataFrame:
         folder = shared_folder(spark, purpose)
