@@ -70,3 +70,11 @@ def test_a_year_of_a_stored_ledger_reads_its_folders_only(spark, tmp_path):
     filters = [part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:]]
     assert filters and all("fiscal_year" in f for f in filters)
     assert year.count() == rows.filter("fiscal_year = '1999-00'").count() > 0
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["yoy_comparison", "feed_kpi_cards_sliced"])
+def test_dates_reach_the_scans(spark, name):
+    plan = driver.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    for date in ("o_orderdate", "l_shipdate"):
+        assert f"GreaterThanOrEqual({date}" in plan and f"LessThan({date}" in plan

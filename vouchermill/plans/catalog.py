@@ -38,9 +38,11 @@ def _canonical(spark: SparkSession, folder: str, categories=("Sales",), derived:
     return parties.canonical_party(rows, tables.party_alias(spark, folder))
 
 
-def _over(operator, categories=tables.ALL_CATEGORIES, party: bool = True, derived: bool = False, **options) -> Query:
-    """Query that applies an operator to the ledger of some categories."""
-    return lambda spark, folder: operator(tables.ledger(spark, folder, categories, party, derived), **options)
+def _over(
+    operator, categories=tables.ALL_CATEGORIES, party: bool = True, derived: bool = False, years: tuple = (), **options
+) -> Query:
+    """Query that applies an operator to the ledger of some categories (and of the years that the operator keeps)."""
+    return lambda spark, folder: operator(tables.ledger(spark, folder, categories, party, derived, years), **options)
 
 
 def _rows(df: DataFrame, *columns) -> DataFrame:
@@ -422,7 +424,7 @@ def registry() -> dict[str, Query]:
             anomalies.zscore_outliers, sales, amount="debit_amount", columns=["vch_no", "particulars"], cut=1.5, high=1.7
         ),
         "financial_summary": _over(r.financial_summary),
-        "yoy_comparison": _over(r.yoy_comparison, fy_a=PRIOR, fy_b=CURRENT),
+        "yoy_comparison": _over(r.yoy_comparison, years=(PRIOR, CURRENT), fy_a=PRIOR, fy_b=CURRENT),
         "category_counts": _over(r.category_counts, party=False),
         "ledger_profile": _over(r.ledger_profile),
         "invoice_summary_per_customer": lambda s, d: r.invoice_summary(_canonical(s, d)),
@@ -485,7 +487,9 @@ def registry() -> dict[str, Query]:
         "measures_by_fy": _over(r.measures_by_year),
         # feeds
         "feed_kpi_cards": _over(f.kpi_cards),
-        "feed_kpi_cards_sliced": lambda s, d: f.kpi_cards(f.slice_ledger(tables.ledger(s, d, derived=True), FY, "Q2")),
+        "feed_kpi_cards_sliced": lambda s, d: f.kpi_cards(
+            f.slice_ledger(tables.ledger(s, d, derived=True, years=(FY,)), FY, "Q2")
+        ),
         "feed_revenue_sliced_by_segment": lambda s, d: r.monthly_sales_trend(
             f.slice_ledger(_canonical(s, d, derived=True), segments=_rfm(s, d), segment="At Risk")
         ),

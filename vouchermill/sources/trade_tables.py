@@ -9,11 +9,12 @@ left join on a unique key, so a caller that reads no name can leave the join out
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vouchermill.functions.calendar import fiscal_year, month_name, with_calendar
+from vouchermill.functions.calendar import fiscal_year, fiscal_year_bounds, month_name, with_calendar
 from vouchermill.functions.numeric import exact, from_cents, percent_of, whole_cents
 from vouchermill.schemas import AMOUNT
 from vouchermill.sources.readers import read_table
@@ -21,6 +22,9 @@ from vouchermill.sources.readers import read_table
 ORDER_CATEGORIES = ("Sales", "Receipt", "Purchase Order", "Delivery Challan", "Contra")
 LINE_CATEGORIES = ("Purchase", "Payment", "Journal", "Credit Note", "Debit Note")
 ALL_CATEGORIES = ORDER_CATEGORIES + LINE_CATEGORIES
+# days by which a receipt or a payment is later than its source row
+RECEIPT_SHIFT, PAYMENT_SHIFT = 45, 30
+LONGEST_SHIFT = max(RECEIPT_SHIFT, PAYMENT_SHIFT)
 
 
 @dataclass
@@ -106,7 +110,7 @@ def _order_vouchers(wanted: set[str]) -> list[Voucher]:
             F.when(key % 2 == 0, "GST Sales New").otherwise("GST SALES NEW 25-26"), price, zero,
         ),
         "Receipt": Voucher(
-            "Receipt", "R", F.date_add(date, 45), name, F.lit("Receipt New"), zero, percent_of(price, share),
+            "Receipt", "R", F.date_add(date, RECEIPT_SHIFT), name, F.lit("Receipt New"), zero, percent_of(price, share),
             cust % 25 != 0,
         ),
         "Purchase Order": Voucher(
@@ -144,7 +148,7 @@ def _line_vouchers(wanted: set[str]) -> list[Voucher]:
             "Purchase", "P", date, name, F.when(line % 2 == 0, "Purchase").otherwise("Purchase New"), zero, cost
         ),
         "Payment": Voucher(
-            "Payment", "Y", F.date_add(date, 30), paid_to, F.lit("Payment New"), percent_of(cost, 80), zero,
+            "Payment", "Y", F.date_add(date, PAYMENT_SHIFT), paid_to, F.lit("Payment New"), percent_of(cost, 80), zero,
             F.col("l_linestatus") == "F",
         ),
         "Journal": Voucher(
@@ -169,13 +173,28 @@ def ledger(
     categories: tuple = ALL_CATEGORIES,
     party: bool = True,
     derived: bool = False,
+    years: tuple = (),
 ) -> DataFrame:
-    """Day book with the asked categories; ``derived`` adds the calendar columns."""
+    """Day book with the asked categories; ``derived`` adds the calendar columns.
+
+    ``years`` names the fiscal years that the caller goes on to keep. The sources
+    are then scanned for their dates only, and as far before as a voucher can be
+    later than its source row.
+    """
+    first = after = None
+    if years:
+        bounds = [fiscal_year_bounds(fy) for fy in years]
+        first = dt.datetime.combine(min(b[0] for b in bounds), dt.time()) - dt.timedelta(days=LONGEST_SHIFT)
+        after = dt.datetime.combine(max(b[1] for b in bounds), dt.time())
+
+    def within(rows: DataFrame, date: str) -> DataFrame:
+        return rows.filter((F.col(date) >= F.lit(first)) & (F.col(date) < F.lit(after))) if years else rows
+
     wanted = set(categories)
     parts = []
     order_side = _order_vouchers(wanted)
     if order_side:
-        rows = read_table(spark, folder, "orders")
+        rows = within(read_table(spark, folder, "orders"), "o_orderdate")
         if party:
             names = read_table(spark, folder, "customer").select("c_custkey", "c_name")
             rows = rows.join(names, rows.o_custkey == names.c_custkey, "left")
@@ -184,7 +203,7 @@ def ledger(
         parts.append(_emit(rows, order_side, _number(*[F.col(c) for c in ORDER_NUMBER])))
     line_side = _line_vouchers(wanted)
     if line_side:
-        rows = read_table(spark, folder, "lineitem")
+        rows = within(read_table(spark, folder, "lineitem"), "l_shipdate")
         if party:
             names = read_table(spark, folder, "supplier").select("s_suppkey", "s_name")
             rows = rows.join(names, rows.l_suppkey == names.s_suppkey, "left")
