@@ -109,5 +109,21 @@ def measure_totals(df: DataFrame, keys: list, any_category: bool = False) -> Dat
     return totals.withColumns(derived_measures())
 
 
+def measures_per_party(df: DataFrame, keys: list, any_category: bool = False, party: str = "particulars") -> DataFrame:
+    """Additive measures per key and party. Rows collapse to one per party and
+    category first, so names are searched once a group and not once a row."""
+    sales = is_category("Sales")
+    rows = df.groupBy(*keys, party, "txn_category").agg(
+        F.sum("debit_amount").alias("debit_amount"),
+        F.sum("credit_amount").alias("credit_amount"),
+        F.count(F.when(sales, F.col("vch_no"))).alias("_vouchers"),
+        F.count(F.when(sales, F.lit(1))).alias("_sales"),
+    )
+    measures = _additive(
+        _keyword("capital", any_category), _keyword("loan", any_category), F.sum("_vouchers"), F.sum("_sales")
+    )
+    return rows.groupBy(*rows.columns[: len(keys)], party).agg(*[c.alias(n) for n, c in measures.items()])
+
+
 def crores(c: Column, digits: int = 2) -> Column:
     return half_up(c.cast("double") / float(CRORE), digits)

@@ -17,11 +17,11 @@ from vouchermill.functions.calendar import (
 )
 from vouchermill.functions.categories import is_category
 from vouchermill.functions.measures import (
-    base_measures,
     count_where,
     crores,
     derived_measures,
     measure_totals,
+    measures_per_party,
     sum_of,
     sum_where,
 )
@@ -363,10 +363,9 @@ def measures_by_year(ledger: DataFrame) -> DataFrame:
     Rows collapse to one per year and party first, so that distinct parties are
     counted and the largest party is found without expanding the rows.
     """
-    base = base_measures(any_category=True)
-    per_party = ledger.groupBy(_year(), "particulars").agg(*[c.alias(n) for n, c in base.items()])
+    per_party = measures_per_party(ledger, [_year()], any_category=True)
     years = per_party.groupBy("_y").agg(
-        *[F.sum(n).alias(n) for n in base],
+        *[F.sum(n).alias(n) for n in per_party.columns[2:]],
         count_where((F.col("sales_rows") > 0) & F.col("particulars").isNotNull()).alias("active_customers"),
         F.count("particulars").alias("parties"),
         F.max("gross_sales").alias("top_party_sales"),
