@@ -51,7 +51,7 @@ def read_words(data: np.ndarray, offsets: np.ndarray):
     left[:1], left[1:] = 0, kinds[:-1]
     left[starts] = 0
     inside = np.flatnonzero(kinds)
-    pairs = (left[inside].astype(np.int64) * 37 + kinds[inside]) & ((1 << CHAR_BITS) - 1)
+    pairs = (left[inside].astype(np.int32) * 37 + kinds[inside]) & ((1 << CHAR_BITS) - 1)
     lengths = ends - starts
     return hashes, rows, pairs, np.cumsum(lengths) - lengths, lengths
 
@@ -187,14 +187,29 @@ def _training_words(texts: list[str]):
     return [np.concatenate(x) for x in zip(*parts)]
 
 
+def _logits_in_parts(net: Network, ids, pairs, begin, lengths, first, size) -> np.ndarray:
+    """Logits of all windows; only the words of BATCH windows are held as vectors at once."""
+    out = np.empty(len(first), np.float32)
+    for a in range(0, len(first), BATCH):
+        f, s = first[a : a + BATCH], size[a : a + BATCH]
+        lo, hi = int(f.min()), int((f + s).max())
+        p = (begin[lo], begin[hi - 1] + lengths[hi - 1]) if hi > lo else (0, 0)
+        x = net.inputs(ids[lo:hi], pairs[p[0] : p[1]], begin[lo:hi] - p[0], lengths[lo:hi])
+        out[a : a + BATCH] = net.logits(x, f - lo, s)
+    return out
+
+
 def fit(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 64, step: float = 0.02) -> Network:
     """Adam over the highest window of each text. A positive text weighs more where positives are rare."""
     y = np.array(labels, np.float32)
     hashes, rows, pairs, begin, lengths, w_row, w_first, w_size = _training_words(texts)
-    pair_rows = np.unique(np.stack([hashes.view(np.int64), rows]), axis=1)
-    words, back = np.unique(pair_rows[0].view(np.uint64), return_inverse=True)
+    order = np.lexsort((rows, hashes))
+    h, r = hashes[order], rows[order]
+    fresh = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))[: len(h)]  # a word's texts once each
+    h, r = h[fresh], r[fresh]
+    words, back = np.unique(h, return_inverse=True)
     in_texts = np.bincount(back, minlength=len(words))
-    positive = np.bincount(back, weights=y[pair_rows[1]], minlength=len(words))
+    positive = np.bincount(back, weights=y[r], minlength=len(words))
     chosen = np.flatnonzero(in_texts >= min(LEAST_TEXTS, max(2, len(texts) // 50)))
     chosen = np.sort(chosen[np.argsort(-in_texts[chosen], kind="stable")[:MOST_WORDS]])
     n_pos, n_neg = y.sum(), len(y) - y.sum()
@@ -207,7 +222,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 64, s
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     turn = 0
     for epoch in range(epochs):
-        logit = net.logits(net.inputs(ids, pairs, begin, lengths), w_first, w_size)
+        logit = _logits_in_parts(net, ids, pairs, begin, lengths, w_first, w_size)
         top = np.array([a + int(np.argmax(logit[a:b])) for a, b in zip(bounds[:-1], bounds[1:])])
         rng = np.random.default_rng(epoch)
         order = rng.permutation(len(texts))
