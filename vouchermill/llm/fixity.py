@@ -117,11 +117,16 @@ def _differing(left: DataFrame, right: DataFrame, keys: list[str], bad: DataFram
 
 def audit(left: Tree, right: Tree, spark: SparkSession) -> DataFrame:
     """Records in which the replicas differ: archive, page_id, copy (among equal ids),
-    at (offset on the left, else right) and status. Starts at the roots."""
+    at (offset on the left, else right) and status. Starts at the roots.
+
+    Each level's differing nodes are written, as both sides of the next level
+    read them: the plan stays small however high the trees are."""
     bad = None
     for level in range(left.levels, 0, -1):
         found = _differing(left.level(spark, level), right.level(spark, level), ["archive", "node"], bad, ["up_archive", "up_node"])
-        bad = found.select(F.col("archive").alias("bad_archive"), F.col("node").alias("bad_node"))
+        folder = shared_folder(spark, "fixity-differing")
+        found.select(F.col("archive").alias("bad_archive"), F.col("node").alias("bad_node")).write.parquet(folder)
+        bad = spark.read.parquet(folder)
     rows = _differing(left.leaves(spark), right.leaves(spark), ["archive", "page_id", "copy"], bad, ["archive", "node"])
     status = (
         F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra")
