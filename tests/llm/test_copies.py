@@ -185,3 +185,17 @@ def test_shingles_of_slices():
     for _, _, data, offsets in tb.slices(pa.array(texts)):
         row, _ = jaccard.shingles(data, offsets)
         assert np.bincount(row, minlength=6).tolist() == [len(shingle_set(t)) for t in texts]
+
+
+def test_isolated_pairs_are_all_found(spark):
+    """A pair that meets in any bucket is compared, whatever single bytes agree before."""
+    rng, rows, want = random.Random(9), [], 0
+    for pair in range(6000):
+        base = [f"p{pair}w{i}" for i in range(84)]  # 80 shingles
+        cut = rng.choice([8, 7, 6, 4, 2])  # of each text's 80: similarity 0.82 to 0.95
+        other = [f"q{pair}w{i}" if i >= 84 - cut else w for i, w in enumerate(base)]
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(other))]
+        want += 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    found = jaccard.near_classes(df)
+    assert found.where("n_links = 1 and class_id = doc_id - doc_id % 2").count() == want

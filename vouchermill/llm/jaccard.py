@@ -13,8 +13,8 @@
 
 Large buckets and groups are cut into blocks, and each pair of blocks is work
 for a task of its own. A pair with the threshold similarity shares no band with
-probability (1 - t**ROWS)**BANDS (5e-8 for 0.8), and is pruned with at most
-about TOLERANCE.
+probability (1 - t**ROWS)**BANDS (5e-8 for 0.8), and is pruned with about
+9e-6 (TOLERANCE at each of the looks).
 
 Defined cases: null texts are empty; a text of 1 to SHINGLE-1 words has one
 n-gram, all its words; wordless texts are alike only if equal; rows that repeat
@@ -76,8 +76,8 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(data: np.ndarray, offsets: np.ndarray, size: int, bands: int, rows_per_band: int):
-    """For each text: class key (16 bytes), number of n-grams, hash of each band,
-    and one byte of each MinHash value."""
+    """For each text: class key (16 bytes), number of n-grams, 32-bit hash of each
+    band, and one byte of each MinHash value."""
     row, h = shingles(data, offsets, size)
     n = len(offsets) - 1
     counts = np.bincount(row, minlength=n)
@@ -91,13 +91,13 @@ def sketch(data: np.ndarray, offsets: np.ndarray, size: int, bands: int, rows_pe
         for j, (a, b) in enumerate(zip(*_permutations(bands * rows_per_band))):
             sig[has, j] = np.minimum.reduceat((h * a + b) >> np.uint64(32), begin)
     names = [keys[i].tobytes() if counts[i] else hashlib.md5(data[offsets[i] : offsets[i + 1]].tobytes()).digest() for i in range(n)]
-    band = np.zeros((n, bands), np.uint64)
+    band = np.zeros((n, bands), np.uint32)
     for b in range(bands):
         acc = np.full(n, b, np.uint64)
         for j in range(rows_per_band):
             acc = tb.pair(acc, sig[:, b * rows_per_band + j].astype(np.uint64))
-        band[:, b] = acc
-    return names, counts, band.view(np.int64), (sig & np.uint32(255)).astype(np.uint8)
+        band[:, b] = acc >> np.uint64(32)
+    return names, counts, band.view(np.int32), (sig & np.uint32(255)).astype(np.uint8)
 
 
 def least_agreeing(threshold: float, hashes: int, tolerance: float) -> dict[int, int]:
@@ -221,7 +221,7 @@ def near_classes(
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.md5(text).alias("text_key"), text.alias("text"))
     sketches = written(
-        rows.mapInArrow(sketched, f"doc_id {kind}, text_key string, key binary, n int, bands array<bigint>, sig binary"), "sketches"
+        rows.mapInArrow(sketched, f"doc_id {kind}, text_key string, key binary, n int, bands array<int>, sig binary"), "sketches"
     )
     first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")
     classes = written(sketches.groupBy("key").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("members")), "classes")
@@ -230,26 +230,27 @@ def near_classes(
     values = written(values.select("key", "bands", "sig").dropDuplicates(["key"]), "signatures")
 
     # buckets of more than one class
-    spread = values.select("key", F.posexplode("bands").alias("band", "bucket"))
+    spread = values.select("key", F.posexplode("bands").alias("band", "hash"))
+    bucket = F.shiftleft(F.col("band").cast("bigint"), 32) + F.col("hash").cast("bigint")  # a number for each (band, hash)
+    spread = spread.select("key", "band", bucket.alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    meeting = spread.join(shared, "bucket").join(values.select("key", "sig"), "key")
+    meeting = spread.join(shared, "bucket").join(values.select("key", "bands", "sig"), "key")
     enough = least_agreeing(threshold, bands * rows_per_band, tolerance)
 
     def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _groups(batches, ["bucket", "x", "y"]):
             n = table.num_rows
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(n, -1)
-            whole = sig.view(np.uint32) if rows_per_band == 4 else None
+            hashes = table["bands"].combine_chunks().flatten().to_numpy().reshape(n, -1)
             band, own = table["band"].to_numpy(), table["own"].to_numpy()
             across = table["x"].to_numpy() != table["y"].to_numpy()
             labels = np.arange(n)
             for a, b in _pairs(starts, n):
                 apart = across[a] & (own[a] == own[b])
                 a, b = a[~apart], b[~apart]
-                if whole is not None:  # bands are 4 bytes: keep pairs that share none before
-                    same = whole[a] == whole[b]
-                    earlier = same.argmax(1) < band[a]
-                    a, b = a[~earlier], b[~earlier]
+                # pairs that share an earlier bucket were compared there
+                earlier = (hashes[a] == hashes[b]).argmax(1) < band[a]
+                a, b = a[~earlier], b[~earlier]
                 agree = np.zeros(len(a), np.int64)
                 for done in range(STEP, sig.shape[1] + 1, STEP):
                     agree += (sig[a, done - STEP : done] == sig[b, done - STEP : done]).sum(1)
