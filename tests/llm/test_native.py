@@ -110,3 +110,14 @@ def test_next_over_many_ranges(spark):
 
 def test_words_match_the_contract():
     assert words("Été FOO-bar_9") == re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "Été foo-bar_9")
+
+
+def test_texts_of_few_words_have_a_fingerprint(spark):
+    """Five and six words may hold no anchor of their own; the whole text is one then."""
+    texts = [(100 * n + i, " ".join(f"t{n}x{i}y{j}" for j in range(n))) for n in range(1, 10) for i in range(60)]
+    df = spark.createDataFrame([*texts, (0, " .,")], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in syncmers.compare_with_edits(df).collect()}
+    assert rows[0].fingerprint == ""
+    prints = [r.fingerprint for i, r in rows.items() if i]
+    assert all(prints) and len(set(prints)) == len(texts)
+    assert all(r.near_next == 0 for r in rows.values())

@@ -6,9 +6,10 @@ depends on its own words only, so an edit changes no anchor beyond the runs it
 touches, and anchors of two texts can be matched by value and then by place.
 
 Everything is Column expressions. Defined cases: a null text is an empty one;
-an empty or wordless text has no anchors and an empty fingerprint; a text of 1
-to k-1 words is one anchor, the hash of all its words; two texts with equal
-fingerprints, empty ones too, are wholly alike; rows with equal or null ids
+an empty or wordless text has no anchors and an empty fingerprint; a text with
+words but without such a run (always below k words, possible below 2k-s-1) is
+one anchor, the hash of all its words; two texts with equal fingerprints, empty
+ones too, are wholly alike; rows with equal or null ids
 keep a row each (nulls come last, ties go by the text's hash).
 """
 
@@ -42,7 +43,7 @@ def with_anchors(df: DataFrame, text: str, name: str, k: int = K, s: int = S) ->
     df = df.withColumn(f"{p}_all", F.array_compact(F.transform(f"{p}_run", anchor)))
     whole = F.xxhash64(f"{p}_words").bitwiseAND(LOW_32)
     short = F.array(F.struct(F.lit(0).alias("at"), whole.alias("hash")))
-    return df.withColumn(name, F.when((n > 0) & (n < k), short).otherwise(F.col(f"{p}_all"))).select(*keep, name)
+    return df.withColumn(name, F.when((n > 0) & (F.size(f"{p}_all") == 0), short).otherwise(F.col(f"{p}_all"))).select(*keep, name)
 
 
 def fingerprint(anchors: str) -> Column:
