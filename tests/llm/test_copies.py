@@ -199,3 +199,45 @@ def test_isolated_pairs_are_all_found(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
     found = jaccard.near_classes(df)
     assert found.where("n_links = 1 and class_id = doc_id - doc_id % 2").count() == want
+
+
+def shared_passage_rows(n):
+    """Texts round one passage: no two have the same edges, some share a longer head or tail."""
+    passage = prose(70, 30)
+    return [(i, prose(1000 + i // 2, 12) + passage + prose(5000 + i // 3, 12) + f" {i}") for i in range(n)]
+
+
+def test_groups_in_slices_against_brute_force(spark, monkeypatch):
+    """Groups of one gram cut into slices and parts dealt to tasks by run give the same cuts."""
+    monkeypatch.setattr(suffixes, "RUN_BYTES", 3000)
+    rows = shared_passage_rows(60)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = brute_cut([(i, t.encode()) for i, t in rows], 100)
+    for window_bytes, part_bytes in ((500, 64 << 20), (4 << 20, 1000), (500, 1000)):
+        monkeypatch.setattr(suffixes, "WINDOW_BYTES", window_bytes)
+        monkeypatch.setattr(suffixes, "MOST_PART_BYTES", part_bytes, raising=False)
+        assert cuts(df, 100) == want
+
+
+def test_no_group_is_compared_as_a_whole(monkeypatch):
+    """What is compared at once stays near WINDOW_BYTES, however many texts share a passage."""
+    from types import SimpleNamespace
+
+    from vouchermill.llm import textbytes as tb
+
+    monkeypatch.setattr(suffixes, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(suffixes._write_run, "number", 0, raising=False)
+    judge, sizes = suffixes._judge, []
+    monkeypatch.setattr(suffixes, "_judge", lambda m, x: sizes.append(sum(len(e[0]) + len(e[1]) for e in m)) or judge(m, x))
+    passage, entries = prose(71, 60), []
+    own = lambda i: hashlib.sha512(str(i).encode()).hexdigest()
+    texts = pa.array([own(i) + own(-i) + passage + own(i + 0.5) + own(-i - 0.5) for i in range(60_000)])
+    for _, _, data, offsets in tb.slices(texts):
+        row, place, start, last, hashes = suffixes.anchors(data, offsets, 200)
+        hot = np.isin(hashes, [h for h, n in collections.Counter(hashes.tolist()).items() if n > 100])
+        row, place, start, last, hashes = (x[hot] for x in (row, place, start, last, hashes))
+        n = last + 200 - start
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        entries.append((np.zeros(len(row), "V16"), start, place - start, last + 200 - place, hashes, data[at]))
+    rows = suffixes._write_run(entries, 200, 1).to_pylist()
+    assert len(list(suffixes._merged(rows, 200))) and max(sizes) < 2.1 * suffixes.WINDOW_BYTES

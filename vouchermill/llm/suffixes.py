@@ -15,7 +15,12 @@ with the same gram, and nothing is lost by the sampling.
    is one entry, however many of its texts have it.
 3. The runs of a part are merged by a loser tree that never compares a known
    prefix again. Neighbours that share less than a gram end a group; within a
-   group the windows of different entries are compared.
+   group the windows of different entries are compared. A part that a very
+   common gram makes larger than MOST_PART_BYTES is dealt to several tasks by
+   run, and no group of WINDOW_BYTES or more is held: such groups are cut into
+   slices. A slice counts its own windows and passes on the hash of each with
+   its count, the counts of all slices are added up in a second shuffle, and
+   the windows that repeat elsewhere go back to their entries.
 4. The verdicts go back to the runs, which know the places, and from there to
    the texts.
 
@@ -48,7 +53,8 @@ PLACE_BITS = 28  # of the low bits of a gram's hash, which hold its place: texts
 SPARE, MOST_BITS, SEGMENT_BITS = 16, 30, 10
 #: bytes of entries that a task sorts as one run; bytes of a part to aim at
 RUN_BYTES, PART_BYTES = 16 << 20, 16 << 20
-WINDOW_BYTES = 4 << 20
+#: entries whose windows are compared at once; bytes of a part that one task merges
+WINDOW_BYTES, MOST_PART_BYTES = 4 << 20, 64 << 20
 
 
 def gram_size(length: int) -> int:
@@ -186,13 +192,21 @@ def _write_run(entries: list, length: int, parts: int) -> pa.RecordBatch | None:
         head = np.stack([r, lf, lcp[a:b], times[a:b] > 1], 1).astype(np.uint16)
         seen = order[occurrence[a] : occurrence[b]]
         out.append({
-            "part": int(p), "run": run, "head": head.tobytes(), "keys": b"".join(keys), "times": times[a:b].astype(np.int32).tobytes(),
+            "part": int(p), "run": run, "bytes": int((r + lf).sum()), "head": head.tobytes(), "keys": b"".join(keys), "times": times[a:b].astype(np.int32).tobytes(),
             "owners": key16[seen].tobytes(), "starts": start[seen].astype(np.int64).tobytes(),
         })
     return pa.RecordBatch.from_pylist(out, _RUN)
 
 
-_RUN = pa.schema([("part", pa.int32()), ("run", pa.int64()), *[(c, pa.binary()) for c in ("head", "keys", "times", "owners", "starts")]])
+_RUN = pa.schema([("part", pa.int32()), ("run", pa.int64()), ("bytes", pa.int64()), *[(c, pa.binary()) for c in ("head", "keys", "times", "owners", "starts")]])
+
+
+_MERGED = pa.schema(
+    [("part", pa.int32()), ("run", pa.int64()), ("verdicts", pa.binary()), ("left", pa.int32()), ("value", pa.int64()),
+     ("item", pa.int32()), ("window", pa.int32()), ("times", pa.int32())]
+)
+#: verdicts, or windows asked about, in one batch
+MOST_VERDICTS = 1 << 18
 
 
 def _sorted_run(head: np.ndarray, keys: bytes, at: int) -> tuple[Run, list[int]]:
@@ -206,9 +220,10 @@ def _sorted_run(head: np.ndarray, keys: bytes, at: int) -> tuple[Run, list[int]]
     return Run(texts, ties, head[:, 2].tolist()), head[:, 3].tolist()
 
 
-def _judge(members: list[tuple[bytes, bytes, int, list]], length: int):
-    """Which windows repeat: (owners, first, last window) for each run of windows of
-    an entry. A member is left bytes, right bytes, whether it occurs more than once, its owners."""
+def _windows(members: list[tuple[bytes, bytes, int, list]], length: int):
+    """The windows of members one after another: their hashes, how many start
+    before each member's, how many it has, and whether each is in several places here.
+    A member is left bytes, right bytes, whether it occurs more than once, its owners."""
     body = np.frombuffer(b"".join(m[0] + m[1] for m in members), np.uint8)
     size = np.array([len(m[0]) + len(m[1]) for m in members])
     many = np.array([m[2] for m in members])
@@ -219,7 +234,13 @@ def _judge(members: list[tuple[bytes, bytes, int, list]], length: int):
     start = np.repeat(np.cumsum(size) - size - first, count) + np.arange(count.sum())
     value = tb.mix((sums[start + length] - sums[start]) * tb.inverse_powers(len(body) + 1)[start])
     _, back, times = np.unique(value, return_inverse=True, return_counts=True)
-    again = (times[back] > 1) | np.repeat(many, count)
+    return value, first, count, (times[back] > 1) | np.repeat(many, count).astype(bool)
+
+
+def _judge(members: list[tuple[bytes, bytes, int, list]], windows):
+    """Which windows repeat: (owners, first, last window) for each run of windows of
+    an entry."""
+    _, first, count, again = windows
     edge = again.copy()
     edge[1:] &= ~again[:-1]
     edge[first] = again[first]
@@ -232,8 +253,22 @@ def _judge(members: list[tuple[bytes, bytes, int, list]], length: int):
         yield members[i][3], x, y
 
 
-def _merged(rows: list[dict], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(row, item, first and last repeated window) over the runs of one part."""
+def _asked(members: list[tuple[bytes, bytes, int, list]], windows):
+    """Of a slice of a group, each different window: left bytes in it, hash, row
+    and item of its entry, window of the entry, and 1, or 2 if it repeats here."""
+    value, first, count, again = windows
+    value, at = np.unique(value, return_index=True)
+    owner = np.searchsorted(first, at, "right") - 1
+    window = at - first[owner]
+    row, item = np.array([m[3][0] for m in members]).T
+    left = np.array([len(m[0]) for m in members])
+    return left[owner] - window, value.view(np.int64), row[owner], item[owner], window, np.where(again[at], 2, 1)
+
+
+def _merged(rows: list[dict], length: int, sliced: bool = False, most: int = WINDOW_BYTES):
+    """Over the runs of one part: (row, item, first and last repeated window), and
+    an `_asked` tuple of arrays for each slice of a group that goes on elsewhere:
+    of a group of more than `most` bytes, or of all if the part is `sliced`."""
     gram = gram_size(length)
     runs, many = [], []
     for row in rows:
@@ -242,36 +277,48 @@ def _merged(rows: list[dict], length: int) -> Iterator[tuple[int, int, int, int]
         many.append(more)
     group: list[tuple[bytes, bytes, int, list]] = []
     pending: list[tuple[bytes, bytes, int, list]] = []
-    held = 0
+    held = size = 0
+    cut = False  # whether slices of `group` have been told already
 
-    def told(found):
-        for owners, a, b in found:
+    def told(members, ask: bool):
+        windows = _windows(members, length)
+        for owners, a, b in _judge(members, windows):
             for r, i in owners:
                 yield r, i, a, b
+        if ask:
+            yield _asked(members, windows)
+
+    def ended():
+        nonlocal held, pending
+        if cut:
+            yield from told(group, True)
+        elif sliced or len(group) > 1:
+            pending += group
+            held += size
+            if held > most:
+                yield from told(pending, sliced)
+                pending, held = [], 0
+        elif group[0][2]:
+            yield from ((r, i, 0, len(group[0][0]) + len(group[0][1]) - length) for r, i in group[0][3])
 
     for r, i, shared in merge_runs(runs):
         key, tie = runs[r].keys[i], runs[r].ties[i]
         if group and shared < gram:
-            if len(group) > 1:
-                pending += group
-                held += sum(len(m[0]) + len(m[1]) for m in group)
-                if held > WINDOW_BYTES:
-                    yield from told(_judge(pending, length))
-                    pending, held = [], 0
-            elif group[0][2]:
-                yield from told([(group[0][3], 0, len(group[0][0]) + len(group[0][1]) - length)])
-            group = []
+            yield from ended()
+            group, size, cut = [], 0, False
         if group and group[-1][1] == key and group[-1][0] == tie:  # the same entry in another run
             group[-1][3].append((r, i))
             group[-1] = (tie, key, 1, group[-1][3])
-        else:
-            group.append((tie, key, many[r][i], [(r, i)]))
-    if len(group) > 1:
-        pending += group
-    elif group and group[0][2]:
-        yield from told([(group[0][3], 0, len(group[0][0]) + len(group[0][1]) - length)])
+            continue
+        if size > most:  # the group goes on in another slice
+            yield from told(group, True)
+            group, size, cut = [], 0, True
+        group.append((tie, key, many[r][i], [(r, i)]))
+        size += len(key) + len(tie)
+    if group:
+        yield from ended()
     if pending:
-        yield from told(_judge(pending, length))
+        yield from told(pending, sliced)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -310,33 +357,87 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     folder = shared_folder(spark, "suffix-runs")
     texts.mapInArrow(
-        sorted_runs, "part int, run bigint, head binary, keys binary, times binary, owners binary, starts binary"
+        sorted_runs, "part int, run bigint, bytes bigint, head binary, keys binary, times binary, owners binary, starts binary"
     ).write.option("compression", "zstd").parquet(folder)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part: int, rows: list[dict]):
-            found: dict[int, list] = {}
-            for r, i, a, b in _merged(rows, length):
-                found.setdefault(r, []).append((i, a, b))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(found), pa.int32()), pa.array([rows[r]["run"] for r in found], pa.int64()),
-                 pa.array([np.array(v, np.int32).tobytes() for v in found.values()], pa.binary())], ["part", "run", "verdicts"],
-            )
+        def out(rows: list[dict]):
+            part, found, n = rows[0]["part"], {}, 0
 
-        now, rows = None, []
+            def verdicts():
+                return pa.RecordBatch.from_pylist(
+                    [{"part": part, "run": rows[r]["run"], "verdicts": np.array(v, np.int32).tobytes()} for r, v in found.items()], _MERGED
+                )
+
+            for got in _merged(rows, length, rows[0]["slices"] > 1, most):
+                if len(got) == 4:
+                    r, i, a, b = got
+                    found.setdefault(r, []).append((i, a, b))
+                    n += 1
+                    if n >= MOST_VERDICTS:
+                        yield verdicts()
+                        found, n = {}, 0
+                    continue
+                run = np.array([row["run"] for row in rows])
+                left, value, row, item, window, times = got
+                for a in range(0, len(value), MOST_VERDICTS):
+                    s = slice(a, a + MOST_VERDICTS)
+                    k = len(value[s])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(k, part, np.int32)), pa.array(run[row[s]]), pa.nulls(k, pa.binary()), pa.array(left[s].astype(np.int32)),
+                         pa.array(value[s]), pa.array(item[s].astype(np.int32)), pa.array(window[s].astype(np.int32)),
+                         pa.array(times[s].astype(np.int32))], schema=_MERGED,
+                    )
+            if found:
+                yield verdicts()
+
+        rows = []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["part"] != now and rows:
-                    yield out(now, rows)
+                if rows and (row["part"], row["slice"]) != (rows[0]["part"], rows[0]["slice"]):
+                    yield from out(rows)
                     rows = []
-                now = row["part"]
                 rows.append(row)
         if rows:
-            yield out(now, rows)
+            yield from out(rows)
+
+    runs, most = spark.read.parquet(folder), WINDOW_BYTES
+    # at most one row for every MOST_PART_BYTES of entries
+    large = runs.groupBy("part").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > MOST_PART_BYTES)
+    large = large.select("part", F.ceil(F.col("bytes") / (MOST_PART_BYTES // 2)).cast("int").alias("slices"))
+    dealt = runs.select("part", "run", "head", "keys").join(F.broadcast(large), "part", "left")
+    dealt = dealt.withColumn("slices", F.coalesce("slices", F.lit(1)))
+    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("run"), F.col("slices")).cast("int"))
+    dealt = dealt.repartition("part", "slice").sortWithinPartitions("part", "slice", "run")
+    found = shared_folder(spark, "suffix-verdicts")
+    dealt.mapInArrow(
+        merged, "part int, run bigint, verdicts binary, left int, value bigint, item int, window int, times int"
+    ).write.option("compression", "zstd").parquet(found)
+    found = spark.read.parquet(found)
+
+    # windows of groups in slices: the counts of all slices together
+    asked = found.where("value is not null").drop("verdicts")
+    repeated = asked.groupBy("part", "left", "value").agg(F.sum("times").alias("total")).where("total > 1").drop("total")
+    back = asked.where("times = 1").join(repeated, ["part", "left", "value"]).select("part", "run", "item", "window")
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows that follow one another in an entry as one verdict."""
+        for batch in batches:
+            part, run, item, window = (c.to_numpy().astype(np.int64) for c in batch.columns)
+            step = np.zeros(len(part) + 1, bool)
+            step[1:-1] = (np.diff(part) == 0) & (np.diff(run) == 0) & (np.diff(item) == 0) & (np.diff(window) == 1)
+            a, b = np.flatnonzero(~step[:-1]), np.flatnonzero(~step[1:])
+            lines = np.stack([item[a], window[a], window[b]], 1).astype(np.int32)
+            cut = np.flatnonzero(np.append(True, (np.diff(part[a]) != 0) | (np.diff(run[a]) != 0))) if len(a) else a
+            ends = np.append(cut[1:], len(a))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[a][cut].astype(np.int32)), pa.array(run[a][cut]),
+                 pa.array([lines[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary())], ["part", "run", "verdicts"],
+            )
 
-    runs = spark.read.parquet(folder)
-    verdicts = runs.select("part", "run", "head", "keys").repartition("part").sortWithinPartitions("part", "run")
-    verdicts = verdicts.mapInArrow(merged, "part int, run bigint, verdicts binary")
+    back = back.repartition("part", "run").sortWithinPartitions("part", "run", "item", "window")
+    back = back.mapInArrow(gathered, "part int, run bigint, verdicts binary")
+    verdicts = found.where("verdicts is not null").select("part", "run", "verdicts").unionByName(back)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
