@@ -206,3 +206,15 @@ def test_root_covers_every_record(spark):
         assert len(top) == 1
         roots.add(top[0].digest)
     assert len(roots) == 4
+
+
+def test_report_of_added_records_and_archives(spark):
+    """Archives that only the right replica has are told, and extra records counted."""
+    kind = "page_id bigint, url string, html string"
+    left = [(i, f"u{i}", f"body {i}") for i in range(4)]
+    right = [*left, (9, "u9", "added"), (25, "u25", "new archive"), (26, "u26", "new archive")]
+    trees = fixity.build_trees([spark.createDataFrame(x, kind) for x in (left, right)], per_archive=10)
+    rows = {r.archive: r for r in fixity.report(*trees, spark).collect()}
+    assert [(a, r.n_records, r.intact, r.n_extra, r.bad_records) for a, r in sorted(rows.items())] == [
+        (1, 4, False, 1, "9:extra"), (3, 0, False, 2, "25:extra,26:extra"),
+    ]

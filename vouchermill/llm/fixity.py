@@ -136,21 +136,21 @@ def audit(left: Tree, right: Tree, spark: SparkSession) -> DataFrame:
 
 
 def report(left: Tree, right: Tree, spark: SparkSession) -> DataFrame:
-    """One row per archive of the left replica: archive, n_records, n_bytes,
-    intact, n_altered, n_missing, n_moved, bad_records (page:status, comma-joined)."""
+    """One row per archive of either replica: archive, n_records, n_bytes (both of
+    the left one, 0 if only the right has it), intact, n_altered, n_missing, n_moved,
+    n_extra, bad_records (page:status, comma-joined)."""
     totals = left.leaves(spark).groupBy("archive").agg(F.count(F.lit(1)).alias("n_records"), F.sum("size").alias("n_bytes"))
     bad = audit(left, right, spark)
     counts = bad.groupBy(F.col("archive").alias("bad")).agg(
-        *[F.sum((F.col("status") == s).cast("bigint")).alias(f"n_{s}") for s in ("altered", "missing", "moved")],
+        *[F.sum((F.col("status") == s).cast("bigint")).alias(f"n_{s}") for s in ("altered", "missing", "moved", "extra")],
         F.sort_array(F.collect_list(F.struct("page_id", "copy", "status"))).alias("list"),
     )
-    rows = totals.join(counts, F.col("archive") == F.col("bad"), "left")
+    rows = totals.join(counts, F.col("archive") == F.col("bad"), "full_outer")
     none = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     listed = F.array_join(F.transform("list", lambda r: F.concat(F.coalesce(r["page_id"].cast("string"), F.lit("")), F.lit(":"), r["status"])), ",")
     return rows.select(
-        F.col("archive").cast("bigint").alias("archive"), F.col("n_records").cast("bigint").alias("n_records"),
-        F.col("n_bytes").cast("bigint").alias("n_bytes"), F.col("bad").isNull().alias("intact"), none("n_altered"), none("n_missing"),
-        none("n_moved"), F.coalesce(listed, F.lit("")).alias("bad_records"),
+        F.coalesce("archive", "bad").cast("bigint").alias("archive"), none("n_records"), none("n_bytes"),
+        F.col("bad").isNull().alias("intact"), none("n_altered"), none("n_missing"), none("n_moved"), none("n_extra"), F.coalesce(listed, F.lit("")).alias("bad_records"),
     )
 
 
