@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouchermill.llm import chat, decontaminate, fixity, jaccard, pieces, quality, suffixes, syncmers, token_files, toxicity
+from vouchermill.llm import centroids, chat, decontaminate, fixity, jaccard, pieces, quality, secret_scan, suffixes, syncmers, token_files, toxicity
+from vouchermill.llm import turn_repair
 from vouchermill.llm.words import table
 from vouchermill.session import shared_folder
 
@@ -69,5 +70,23 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.report(secret_scan.secret_spans(table(spark, folder, "documents")))
+
+
+def op12_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.report(turn_repair.damage(turn_repair.rows_of(table(spark, folder, "conversations"))))
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.report(*centroids.cluster(table(spark, folder, "embeddings")))
+
+
+QUERIES = (
+    op1_fingerprints, op2_decontamination, op3_chat_windows, op4_fixity, op5_token_files, op6_quality, op7_pieces, op8_suffix_dedup,
+    op9_jaccard_join, op10_toxicity, op11_secret_scan, op12_turn_repair, op13_centroids,
+)
+
+
 def registry():
-    return {f.__name__: f for f in (op1_fingerprints, op2_decontamination, op3_chat_windows, op4_fixity, op5_token_files, op6_quality, op7_pieces, op8_suffix_dedup, op9_jaccard_join, op10_toxicity)}
+    return {f.__name__: f for f in QUERIES}

@@ -1,5 +1,8 @@
 """SQL of the queries that SQL can express; written apart from the operators."""
 
+from vouchermill.llm.repair_statement import REPAIR
+from vouchermill.llm.scan_statements import CLUSTERS, SECRETS
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -70,4 +73,7 @@ FROM s GROUP BY archive"""
 
 
 def statements() -> dict[str, str]:
-    return {"op2_decontamination": CONTAMINATION, "op3_chat_windows": CHAT, "op4_fixity": FIXITY}
+    return {
+        "op2_decontamination": CONTAMINATION, "op3_chat_windows": CHAT, "op4_fixity": FIXITY,
+        "op11_secret_scan": SECRETS, "op12_turn_repair": REPAIR, "op13_centroids": CLUSTERS,
+    }
