@@ -15,7 +15,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 
 def test_registered():
     names = set(driver.queries())
-    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == set(map(str, range(1, 11)))
+    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == set(map(str, range(1, 14)))
     assert "pipeline" in names and set(registry()) < names
 
 
