@@ -14,27 +14,35 @@ with the same gram, and nothing is lost by the sampling.
    front coding, cut by the hash of the gram. What a task holds of one passage
    is one entry, however many of its texts have it.
 3. The runs of a part are merged by a loser tree that never compares a known
-   prefix again. Neighbours that share less than a gram end a group; within a
-   group the windows of different entries are compared. A part that a very
-   common gram makes larger than MOST_PART_BYTES is dealt to several tasks by
-   run, and no group of WINDOW_BYTES or more is held: such groups are cut into
-   slices. A slice counts its own windows and passes on the hash of each with
-   its count, the counts of all slices are added up in a second shuffle, and
-   the windows that repeat elsewhere go back to their entries.
+   prefix again. Neighbours that share less than a gram end a group. Two windows
+   are equal if their entries share the bytes from the anchor on and those before
+   it: the first follows from the prefixes that the merge knows, the second from
+   the entries sorted by the bytes before the anchor, so no window is hashed or
+   read. A part that a very common gram makes larger than MOST_PART_BYTES is
+   dealt to several tasks by run, and no group of WINDOW_BYTES or more is held:
+   such groups are cut into slices. A slice judges its own windows and passes on
+   two 61-bit hashes of each different one with its count, the counts of all
+   slices are added up in a second shuffle, and the windows that repeat elsewhere
+   go back to their entries. The hashes are polynomials modulo 2**61 - 1 at bases
+   drawn for each job, so no text can be made to collide.
 4. The verdicts go back to the runs, which know the places, and from there to
    the texts.
 
 Defined cases: null texts are empty and have nothing to remove; texts shorter
-than LENGTH have no window; rows that repeat in id and text are different
-documents, so all their windows repeat; an empty table stays empty; cutting
-bytes can split a character of several bytes, which `remove_repeats` decodes
-with replacement; other columns are left alone.
+than LENGTH have no window; texts of any length are read in pieces that overlap
+by LENGTH - 1 bytes; rows that repeat in id and text are different documents, so
+all their windows repeat, and their spans are kept once; an empty table stays
+empty; cutting bytes can split a character of several bytes, which
+`remove_repeats` decodes with replacement; other columns are left alone,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,23 +52,39 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from vouchermill.llm import batches, textbytes as tb
 from vouchermill.llm.merge import Run, merge_runs
-from vouchermill.llm.words import row_key
+from vouchermill.llm.words import free_name, row_key
 from vouchermill.session import shared_folder
 
 LENGTH = 200
-PLACE_BITS = 28  # of the low bits of a gram's hash, which hold its place: texts of up to 256 MB
+PLACE_BITS = 28  # of the low bits of a gram's hash, which hold its place in a piece of text
+#: bytes of texts whose anchors are looked for at once
+PIECE_BYTES = 1 << 18
 #: bits of the filter per expected anchor, and the most (128 MB)
 SPARE, MOST_BITS, SEGMENT_BITS = 16, 30, 10
 #: bytes of entries that a task sorts as one run; bytes of a part to aim at
-RUN_BYTES, PART_BYTES = 16 << 20, 16 << 20
+RUN_BYTES, PART_BYTES = 8 << 20, 8 << 20
 #: entries whose windows are compared at once; bytes of a part that one task merges
-WINDOW_BYTES, MOST_PART_BYTES = 4 << 20, 64 << 20
+WINDOW_BYTES, MOST_PART_BYTES = 2 << 20, 32 << 20
+#: rows of bytes gathered at once
+ROWS = 2048
 
 
 def gram_size(length: int) -> int:
     return max(2, min(24, length // 4))
 
 
+def pieces(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """(first row, end row, bytes, offsets, place of the piece in its text). Every
+    window of LENGTH bytes lies in one piece; only a long text has several."""
+    for first, end, data, offsets in tb.slices(column, PIECE_BYTES):
+        if len(data) <= 2 * PIECE_BYTES:
+            yield first, end, data, offsets, 0
+            continue
+        for a in range(0, len(data) - length + 1, PIECE_BYTES):
+            piece = data[a : a + PIECE_BYTES + length - 1]
+            yield first, end, piece, np.array([0, len(piece)]), a
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     """For each anchor with its consecutive windows: row, place, first and last
     start of its windows, and the gram's hash. Places count in `data`."""
@@ -111,12 +135,12 @@ def repeated_grams(texts: DataFrame, length: int, bits: int) -> np.ndarray:
             )
 
         for batch in batches:
-            for _, _, data, offsets in tb.slices(batch.column(0)):
+            for _, _, data, offsets, _ in pieces(batch.column(0), length):
                 found = _buckets(anchors(data, offsets, length)[4], bits)
                 if len(found):
                     held.append(found)
                     size += len(found)
-                if size > 1 << 22:
+                if size > 1 << 20:
                     yield out()
                     held, size = [], 0
         if held:
@@ -148,6 +172,12 @@ def repeated_grams(texts: DataFrame, length: int, bits: int) -> np.ndarray:
     return table.ravel()
 
 
+def _gather(data: np.ndarray, first: np.ndarray, count: np.ndarray, span: np.ndarray, out: np.ndarray) -> None:
+    """Bytes at first + span, of each row as many as `count`; the rest stays zero."""
+    at = np.minimum(first.astype(np.int32)[:, None] + span, np.int32(len(data) - 1))
+    np.copyto(out, data[at], where=span < count.astype(np.int32)[:, None])
+
+
 def _write_run(entries: list, length: int, parts: int) -> pa.RecordBatch | None:
     """Sort, collapse and front-code entries; one row for each part. An entry's
     key is the bytes from its anchor on, its tie those before it."""
@@ -162,19 +192,25 @@ def _write_run(entries: list, length: int, parts: int) -> pa.RecordBatch | None:
     # fixed-width rows: part, key, tie, and both lengths (so padding never matters for equality)
     matrix = np.zeros((n, 4 + 2 * length + 4), np.uint8)
     matrix[:, :4] = part.astype(">u4").view(np.uint8).reshape(n, 4)
-    span = np.arange(length)
+    span = np.arange(length, dtype=np.int32)
     for first, count, to in ((begin + left, right, 4), (begin, left, 4 + length)):
-        inside = span < count[:, None]
-        at = np.minimum(first[:, None] + span, len(data) - 1)
-        matrix[:, to : to + length] = np.where(inside, data[at], 0)
+        for c in range(0, n, ROWS):
+            _gather(data, first[c : c + ROWS], count[c : c + ROWS], span, matrix[c : c + ROWS, to : to + length])
     matrix[:, -4:] = np.stack([right + 257, left + 257], 1).astype(">u2").view(np.uint8).reshape(n, 4)
     order = np.argsort(matrix.view(f"S{matrix.shape[1]}").ravel(), kind="stable")
     matrix = matrix[order]
     differs = matrix[1:] != matrix[:-1]
     fresh = np.append(True, differs.any(1))
     kept = order[fresh]
-    times = np.diff(np.append(np.flatnonzero(fresh), n))
+    many = np.diff(np.append(np.flatnonzero(fresh), n)) > 1
+    # the places of each entry; those of rows that repeat in id and text are one
+    item, owner = np.cumsum(fresh) - 1, key16[order].view(np.uint64).reshape(n, 2)
+    place = np.lexsort((start[order], owner[:, 1], owner[:, 0], item))
+    told = np.stack([item[place].astype(np.uint64), owner[place, 0], owner[place, 1], start[order][place].astype(np.uint64)], 1)
+    once = np.append(True, (told[1:] != told[:-1]).any(1))
+    seen, times = order[place][once], np.bincount(item[place][once], minlength=len(kept))
     rows = matrix[fresh]
+    del matrix, told
     differs = rows[1:, 4 : 4 + length] != rows[:-1, 4 : 4 + length]
     lcp = np.where(differs.any(1), differs.argmax(1), length)
     lcp = np.append(0, np.minimum(lcp, np.minimum(right[kept][1:], right[kept][:-1])))
@@ -189,11 +225,11 @@ def _write_run(entries: list, length: int, parts: int) -> pa.RecordBatch | None:
         lcp[a] = 0
         r, lf = right[kept[a:b]], left[kept[a:b]]
         keys = [rows[a + i, 4 + lcp[a + i] : 4 + r[i]].tobytes() + rows[a + i, 4 + length : 4 + length + lf[i]].tobytes() for i in range(b - a)]
-        head = np.stack([r, lf, lcp[a:b], times[a:b] > 1], 1).astype(np.uint16)
-        seen = order[occurrence[a] : occurrence[b]]
+        head = np.stack([r, lf, lcp[a:b], many[a:b]], 1).astype(np.uint16)
+        own = seen[occurrence[a] : occurrence[b]]
         out.append({
             "part": int(p), "run": run, "bytes": int((r + lf).sum()), "head": head.tobytes(), "keys": b"".join(keys), "times": times[a:b].astype(np.int32).tobytes(),
-            "owners": key16[seen].tobytes(), "starts": start[seen].astype(np.int64).tobytes(),
+            "owners": key16[own].tobytes(), "starts": start[own].astype(np.int64).tobytes(),
         })
     return pa.RecordBatch.from_pylist(out, _RUN)
 
@@ -202,11 +238,13 @@ _RUN = pa.schema([("part", pa.int32()), ("run", pa.int64()), ("bytes", pa.int64(
 
 
 _MERGED = pa.schema(
-    [("part", pa.int32()), ("run", pa.int64()), ("verdicts", pa.binary()), ("left", pa.int32()), ("value", pa.int64()),
+    [("part", pa.int32()), ("run", pa.int64()), ("verdicts", pa.binary()), ("left", pa.int32()), ("value", pa.int64()), ("check", pa.int64()),
      ("item", pa.int32()), ("window", pa.int32()), ("times", pa.int32())]
 )
-#: verdicts, or windows asked about, in one batch
+#: verdicts in one batch
 MOST_VERDICTS = 1 << 18
+#: windows asked about in one batch
+MOST_ASKED = 1 << 16
 
 
 def _sorted_run(head: np.ndarray, keys: bytes, at: int) -> tuple[Run, list[int]]:
@@ -220,105 +258,165 @@ def _sorted_run(head: np.ndarray, keys: bytes, at: int) -> tuple[Run, list[int]]
     return Run(texts, ties, head[:, 2].tolist()), head[:, 3].tolist()
 
 
-def _windows(members: list[tuple[bytes, bytes, int, list]], length: int):
-    """The windows of members one after another: their hashes, how many start
-    before each member's, how many it has, and whether each is in several places here.
-    A member is left bytes, right bytes, whether it occurs more than once, its owners."""
-    body = np.frombuffer(b"".join(m[0] + m[1] for m in members), np.uint8)
-    size = np.array([len(m[0]) + len(m[1]) for m in members])
-    many = np.array([m[2] for m in members])
-    sums = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * tb.powers(len(body)), out=sums[1:])
-    count = size - length + 1
-    first = np.cumsum(count) - count
-    start = np.repeat(np.cumsum(size) - size - first, count) + np.arange(count.sum())
-    value = tb.mix((sums[start + length] - sums[start]) * tb.inverse_powers(len(body) + 1)[start])
-    _, back, times = np.unique(value, return_inverse=True, return_counts=True)
-    return value, first, count, (times[back] > 1) | np.repeat(many, count).astype(bool)
-
-
-def _judge(members: list[tuple[bytes, bytes, int, list]], windows):
-    """Which windows repeat: (owners, first, last window) for each run of windows of
-    an entry."""
-    _, first, count, again = windows
-    edge = again.copy()
-    edge[1:] &= ~again[:-1]
-    edge[first] = again[first]
-    stop = again.copy()
-    stop[:-1] &= ~again[1:]
-    stop[first + count - 1] = again[first + count - 1]
-    a, b = np.flatnonzero(edge), np.flatnonzero(stop)
-    owner = np.searchsorted(first, a, "right") - 1
-    for i, x, y in zip(owner.tolist(), (a - first[owner]).tolist(), (b - first[owner]).tolist()):
-        yield members[i][3], x, y
-
-
-def _asked(members: list[tuple[bytes, bytes, int, list]], windows):
-    """Of a slice of a group, each different window: left bytes in it, hash, row
-    and item of its entry, window of the entry, and 1, or 2 if it repeats here."""
-    value, first, count, again = windows
-    value, at = np.unique(value, return_index=True)
-    owner = np.searchsorted(first, at, "right") - 1
-    window = at - first[owner]
-    row, item = np.array([m[3][0] for m in members]).T
-    left = np.array([len(m[0]) for m in members])
-    return left[owner] - window, value.view(np.int64), row[owner], item[owner], window, np.where(again[at], 2, 1)
-
-
-def _merged(rows: list[dict], length: int, sliced: bool = False, most: int = WINDOW_BYTES):
-    """Over the runs of one part: (row, item, first and last repeated window), and
-    an `_asked` tuple of arrays for each slice of a group that goes on elsewhere:
-    of a group of more than `most` bytes, or of all if the part is `sliced`."""
+class Member(NamedTuple):
+    """An entry of a group: bytes before the anchor and from it on, whether it occurs
+    more than once, its (run, item)s, and the prefix of `right` that the entry before it has."""
+
+    left: bytes
+    right: bytes
+    many: int
+    owners: list[tuple[int, int]]
+    shared: int
+
+
+def _judge(members: list[Member], length: int):
+    """For each number of bytes before the anchor that a window can have: that
+    number, the members with such a window, and which windows are equal (by class).
+
+    The bytes from the anchor on are equal as long as the shared prefixes of the
+    members between reach; those before it are compared by sorting them backwards.
+    """
+    n, width = len(members), length - gram_size(length)
+    left, right, shared = (np.array(x, np.int32) for x in zip(*((len(m.left), len(m.right), m.shared) for m in members)))
+    body = np.frombuffer(b"".join(m.left for m in members) or b"\0", np.uint8)
+    mirror, span, end = np.zeros((n, width), np.uint8), -np.arange(1, width + 1, dtype=np.int32), np.cumsum(left)
+    for c in range(0, n, ROWS):
+        at = np.maximum(end[c : c + ROWS, None].astype(np.int32) + span, 0)
+        np.copyto(mirror[c : c + ROWS], body[at], where=-span <= left[c : c + ROWS, None])
+    order = np.argsort(mirror.view(f"S{width}").ravel(), kind="stable")
+    mirror = mirror[order]
+    differs = mirror[1:] != mirror[:-1]
+    alike = np.append(width, np.where(differs.any(1), differs.argmax(1), width))
+    before = np.empty(n, np.int64)
+    for k in range(width + 1):
+        has = np.flatnonzero((left >= k) & (right >= length - k))
+        if len(has):
+            before[order] = np.cumsum(alike < k)
+            yield k, has, np.cumsum(shared < length - k)[has] * (n + 1) + before[has]
+
+
+_PRIME = np.uint64((1 << 61) - 1)
+_U = [np.uint64(i) for i in range(65)]
+
+
+def _reduced(a: np.ndarray) -> np.ndarray:
+    """a modulo 2**61 - 1."""
+    a = (a >> _U[61]) + (a & _PRIME)
+    return np.where(a >= _PRIME, a - _PRIME, a)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1."""
+    low, a1, b1 = np.uint64((1 << 32) - 1), a >> _U[32], b >> _U[32]
+    a0, b0 = a & low, b & low
+    middle, small = a1 * b0 + a0 * b1, a0 * b0
+    return _reduced((a1 * b1 << _U[3]) + (middle >> _U[29]) + ((middle & np.uint64((1 << 29) - 1)) << _U[32]) + (small >> _U[61]) + (small & _PRIME))
+
+
+class _Hashes:
+    """Polynomials modulo 2**61 - 1 of strings within members, from sums over all their bytes."""
+
+    def __init__(self, members: list[Member], base: int, length: int):
+        body = np.frombuffer(b"".join(m.left + m.right for m in members), np.uint8)
+        size = np.array([len(m.left) + len(m.right) for m in members])
+        self.begin = np.cumsum(size) - size
+        powers = [1]
+        while len(powers) <= 2 * length:  # an entry's bytes; the same for all slices
+            powers.append(powers[-1] * base % int(_PRIME))
+        self.powers = np.array(powers, np.uint64)
+        self.high, self.low = np.zeros(len(body) + 1, np.uint64), np.zeros(len(body) + 1, np.uint64)
+        place = np.arange(len(body), dtype=np.int32) - np.repeat(self.begin.astype(np.int32), size)
+        term = _times(self.powers[place], body.astype(np.uint64) + _U[1])
+        np.cumsum(term >> _U[32], out=self.high[1:])
+        np.cumsum(term & np.uint64((1 << 32) - 1), out=self.low[1:])
+
+    def at(self, member: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+        """Of the strings of one length that start at places of members."""
+        a = self.begin[member] + place
+        high, low = self.high[a + length] - self.high[a], self.low[a + length] - self.low[a]
+        total = _reduced((high >> _U[29]) + ((high & np.uint64((1 << 29) - 1)) << _U[32]) + low)
+        return _times(total, self.powers[len(self.powers) - 1 - place]).view(np.int64)
+
+
+def _told(members: list[Member], length: int, bases: tuple[int, int] | None):
+    """(run, item, first and last window) of the windows that repeat among the members. With
+    bases, also arrays of each different window: bytes before the anchor, both hashes,
+    run, item, window of the entry, and 1, or 2 if it repeats here."""
+    many = np.array([m.many for m in members], bool)
+    left = np.array([len(m.left) for m in members])
+    again = np.zeros((len(members), length - gram_size(length) + 3), bool)  # by bytes before the anchor, plus one
+    hashes = [_Hashes(members, b, length) for b in bases or ()]
+    run, item = np.array([m.owners[0] for m in members]).T
+    asked, size = [], 0
+    for k, has, code in _judge(members, length):
+        _, first, back, times = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        hit = times > 1
+        again[has, k + 1] = hit[back] | many[has]
+        if bases:
+            own = has[first]
+            window = left[own] - k
+            asked.append((np.full(len(own), k), *(h.at(own, window, length) for h in hashes), run[own], item[own], window, np.where(hit | many[own], 2, 1)))
+            size += len(own)
+            if size > MOST_ASKED:
+                yield tuple(map(np.concatenate, zip(*asked)))
+                asked, size = [], 0
+    if asked:
+        yield tuple(map(np.concatenate, zip(*asked)))
+    # windows that follow one another, from the leftmost
+    row, most = np.nonzero(again[:, 1:-1] & ~again[:, 2:])
+    _, least = np.nonzero(again[:, 1:-1] & ~again[:, :-2])
+    for i, a, b in zip(row.tolist(), most.tolist(), least.tolist()):
+        for r, own in members[i].owners:
+            yield r, own, int(left[i]) - a, int(left[i]) - b
+
+
+def _merged(rows: list[dict], length: int, sliced: bool = False, most: int = WINDOW_BYTES, bases: tuple[int, int] = (2, 3)):
+    """Over the runs of one part: what `_told` gives of its groups; windows are asked
+    about where a group goes on elsewhere: if it has more than `most` bytes, or in
+    all groups if the part is `sliced`."""
     gram = gram_size(length)
     runs, many = [], []
     for row in rows:
         run, more = _sorted_run(np.frombuffer(row["head"], np.uint16).reshape(-1, 4), row["keys"], 0)
+        row["keys"] = None
         runs.append(run)
         many.append(more)
-    group: list[tuple[bytes, bytes, int, list]] = []
-    pending: list[tuple[bytes, bytes, int, list]] = []
+    group: list[Member] = []
+    pending: list[Member] = []
     held = size = 0
     cut = False  # whether slices of `group` have been told already
 
-    def told(members, ask: bool):
-        windows = _windows(members, length)
-        for owners, a, b in _judge(members, windows):
-            for r, i in owners:
-                yield r, i, a, b
-        if ask:
-            yield _asked(members, windows)
-
     def ended():
         nonlocal held, pending
         if cut:
-            yield from told(group, True)
+            yield from _told(group, length, bases)
         elif sliced or len(group) > 1:
             pending += group
             held += size
             if held > most:
-                yield from told(pending, sliced)
+                yield from _told(pending, length, bases if sliced else None)
                 pending, held = [], 0
-        elif group[0][2]:
-            yield from ((r, i, 0, len(group[0][0]) + len(group[0][1]) - length) for r, i in group[0][3])
+        elif group[0].many:
+            yield from ((r, i, 0, len(group[0].left) + len(group[0].right) - length) for r, i in group[0].owners)
 
     for r, i, shared in merge_runs(runs):
         key, tie = runs[r].keys[i], runs[r].ties[i]
         if group and shared < gram:
             yield from ended()
             group, size, cut = [], 0, False
-        if group and group[-1][1] == key and group[-1][0] == tie:  # the same entry in another run
-            group[-1][3].append((r, i))
-            group[-1] = (tie, key, 1, group[-1][3])
+        if group and group[-1].right == key and group[-1].left == tie:  # the same entry in another run
+            group[-1].owners.append((r, i))
+            group[-1] = group[-1]._replace(many=1)
             continue
         if size > most:  # the group goes on in another slice
-            yield from told(group, True)
+            yield from _told(group, length, bases)
             group, size, cut = [], 0, True
-        group.append((tie, key, many[r][i], [(r, i)]))
+        group.append(Member(tie, key, many[r][i], [(r, i)], shared))
         size += len(key) + len(tie)
     if group:
         yield from ended()
     if pending:
-        yield from told(pending, sliced)
+        yield from _told(pending, length, bases if sliced else None)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -334,20 +432,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES + 1)
 
     def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, size = shared.value, [], 0
+        table, held, size = shared.value, [], 0  # the entries of a run, and their bytes
         _write_run.number = 0
         for batch in batches:
-            for first, end, data, offsets in tb.slices(batch.column(1)):
+            for first, end, data, offsets, base in pieces(batch.column(1), length):
                 row, place, start, last, hashes = anchors(data, offsets, length)
                 bucket = _buckets(hashes, bits)
                 again = (table[bucket >> 3] >> (7 - (bucket & 7))) & 1 == 1
                 row, place, start, last, hashes = (x[again] for x in (row, place, start, last, hashes))
                 keys = np.frombuffer(b"".join(batch.column(0).slice(first, end - first).to_pylist()), "V16")
                 n = last + length - start
-                for a in range(0, len(row), 1 << 14):  # entries of a few MB
-                    s = slice(a, a + (1 << 14))
+                for a in range(0, len(row), ROWS):
+                    s = slice(a, a + ROWS)
                     at = np.repeat(start[s] - (np.cumsum(n[s]) - n[s]), n[s]) + np.arange(n[s].sum())
-                    held.append((keys[row[s]], start[s] - offsets[row[s]], (place - start)[s], (last + length - place)[s], hashes[s], data[at]))
+                    held.append((keys[row[s]], start[s] - offsets[row[s]] + base, (place - start)[s], (last + length - place)[s], hashes[s], data[at]))
                     size += len(at)
                     if size > RUN_BYTES:
                         yield _write_run(held, length, parts)
@@ -369,7 +467,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     [{"part": part, "run": rows[r]["run"], "verdicts": np.array(v, np.int32).tobytes()} for r, v in found.items()], _MERGED
                 )
 
-            for got in _merged(rows, length, rows[0]["slices"] > 1, most):
+            run = np.array([row["run"] for row in rows])
+            for got in _merged(rows, length, rows[0]["slices"] > 1, most, bases):
                 if len(got) == 4:
                     r, i, a, b = got
                     found.setdefault(r, []).append((i, a, b))
@@ -378,16 +477,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         yield verdicts()
                         found, n = {}, 0
                     continue
-                run = np.array([row["run"] for row in rows])
-                left, value, row, item, window, times = got
-                for a in range(0, len(value), MOST_VERDICTS):
-                    s = slice(a, a + MOST_VERDICTS)
-                    k = len(value[s])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, part, np.int32)), pa.array(run[row[s]]), pa.nulls(k, pa.binary()), pa.array(left[s].astype(np.int32)),
-                         pa.array(value[s]), pa.array(item[s].astype(np.int32)), pa.array(window[s].astype(np.int32)),
-                         pa.array(times[s].astype(np.int32))], schema=_MERGED,
-                    )
+                left, value, check, row, item, window, times = got
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(value), part, np.int32)), pa.array(run[row]), pa.nulls(len(value), pa.binary()), pa.array(left.astype(np.int32)),
+                     pa.array(value), pa.array(check), *(pa.array(x.astype(np.int32)) for x in (item, window, times))], schema=_MERGED,
+                )
             if found:
                 yield verdicts()
 
@@ -402,6 +496,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield from out(rows)
 
     runs, most = spark.read.parquet(folder), WINDOW_BYTES
+    bases = (secrets.randbelow(1 << 60) + (1 << 59), secrets.randbelow(1 << 60) + (1 << 59))
     # at most one row for every MOST_PART_BYTES of entries
     large = runs.groupBy("part").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > MOST_PART_BYTES)
     large = large.select("part", F.ceil(F.col("bytes") / (MOST_PART_BYTES // 2)).cast("int").alias("slices"))
@@ -411,14 +506,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     dealt = dealt.repartition("part", "slice").sortWithinPartitions("part", "slice", "run")
     found = shared_folder(spark, "suffix-verdicts")
     dealt.mapInArrow(
-        merged, "part int, run bigint, verdicts binary, left int, value bigint, item int, window int, times int"
+        merged, "part int, run bigint, verdicts binary, left int, value bigint, check bigint, item int, window int, times int"
     ).write.option("compression", "zstd").parquet(found)
     found = spark.read.parquet(found)
 
     # windows of groups in slices: the counts of all slices together
     asked = found.where("value is not null").drop("verdicts")
-    repeated = asked.groupBy("part", "left", "value").agg(F.sum("times").alias("total")).where("total > 1").drop("total")
-    back = asked.where("times = 1").join(repeated, ["part", "left", "value"]).select("part", "run", "item", "window")
+    repeated = asked.groupBy("part", "left", "value", "check").agg(F.sum("times").alias("total")).where("total > 1").drop("total")
+    back = asked.where("times = 1").join(repeated, ["part", "left", "value", "check"]).select("part", "run", "item", "window")
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows that follow one another in an entry as one verdict."""
@@ -458,7 +553,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     owners = runs.select("part", "run", "times", "owners", "starts").join(verdicts, ["part", "run"])
     spans = owners.select("verdicts", "times", "owners", "starts").mapInArrow(placed, "key binary, start bigint, end bigint")
-    return spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # rows that repeat in id and text have the same spans: each is kept once
+    return spans.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def _cut(raw: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
@@ -477,9 +573,11 @@ def _cut(raw: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    spans = repeated_spans(docs, length).withColumnRenamed("key", "__key").withColumnRenamed("spans", "__spans")
-    rows = docs.withColumn("__key", F.unhex(row_key(docs["doc_id"], docs["text"])))
-    return rows.join(spans, "__key", "left").drop("__key")
+    """The documents with their spans in a last column."""
+    key, last = free_name(docs, "key"), free_name(docs, "spans")
+    spans = repeated_spans(docs, length).withColumnsRenamed({"key": key, "spans": last})
+    rows = docs.withColumn(key, F.unhex(row_key(docs["doc_id"], docs["text"])))
+    return rows.join(spans, key, "left").select(*docs.columns, last)
 
 
 def report_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -496,11 +594,10 @@ def report_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             n = [pa.array([o[i] for o in out], pa.string() if i == 3 else pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *n], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _with_spans(docs.select("doc_id", "text"), length).select("doc_id", "text", "__spans")
+    rows = _with_spans(docs.select("doc_id", "text"), length)
     return rows.mapInArrow(told, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents, all their columns, without the repeated bytes of `text`."""
     at = docs.columns.index("text")

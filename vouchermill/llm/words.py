@@ -13,6 +13,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the table does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """Words of a text with A-Z in lower case; null has none."""
     parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAK)
