@@ -11,6 +11,12 @@ def prose(seed: int, n: int) -> str:
     return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(n))
 
 
+def twins(n: int) -> tuple[str, str]:
+    """A Thue-Morse string and its complement: sums of powers modulo 2**64 do not tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 @pytest.fixture(scope="session")
 def edge_docs(spark):
     """Nulls in every column, empty, blank, long and repeated texts, equal and null
@@ -23,6 +29,7 @@ def edge_docs(spark):
         (9, prose(2, 60), "en", "k", 1.0, "w"), (9, prose(2, 60), "en", "k", 1.0, "w"), (9, prose(3, 60), "en", "k", 1.0, "w"),
         (None, prose(4, 60), "en", "k", 1.0, "w"), (None, None, "en", "k", 1.0, "w"), (10, "x" * 900, "en", "k", 1.0, "w"),
         (11, "a\x00b c\x00d", "en", "k", 1.0, "w"), (12, "one", "en", "k", 1.0, "w"),
+        *((13 + i, twins(1024)[i], "en", "k", 1.0, "w") for i in range(2)),
     ]
     return spark.createDataFrame(rows, DOCS)
 

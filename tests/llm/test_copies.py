@@ -10,7 +10,7 @@ from vouchermill.llm import jaccard, suffixes
 from vouchermill.llm.components import components
 from vouchermill.llm.merge import Run, common, merge_runs
 
-from .conftest import prose
+from .conftest import prose, twins
 from .helpers import words
 
 
@@ -241,3 +241,59 @@ def test_no_group_is_compared_as_a_whole(monkeypatch):
         entries.append((np.zeros(len(row), "V16"), start, place - start, last + 200 - place, hashes, data[at]))
     rows = suffixes._write_run(entries, 200, 1).to_pylist()
     assert len(list(suffixes._merged(rows, 200))) and max(sizes) < 2.1 * suffixes.WINDOW_BYTES
+
+
+def test_hashes_of_slices_tell_regular_strings_apart():
+    """Windows that a sum of powers modulo 2**64 would take for one; equal ones agree in any slice."""
+    a, b = (t.encode() for t in twins(2048))
+    rng = random.Random(4)
+    texts = [a, b, *(bytes(rng.choice(b"ab") for _ in range(2048)) for _ in range(5))]
+    members = [suffixes.Member(t[:1000], t[1000:], 0, [(0, i)], 0) for i, t in enumerate(texts)]
+    for base in (2**59 + 12345, 2**60 + 7):
+        hashes = suffixes._Hashes(members, base, 1024)
+        got = {}
+        for place in range(0, 1025, 16):
+            for i, h in enumerate(hashes.at(np.arange(len(texts)), np.full(len(texts), place), 1024).tolist()):
+                got.setdefault(h, set()).add(texts[i][place : place + 1024])
+        assert all(len(strings) == 1 for strings in got.values())
+        want = sum(texts[0][1024 + i] * 0 + (c + 1) * pow(base, i, 2**61 - 1) for i, c in enumerate(texts[0][:1024]))
+        assert hashes.at(np.array([0]), np.array([0]), 1024)[0] == want * pow(base, 2048, 2**61 - 1) % (2**61 - 1)
+
+
+def test_many_equal_rows_keep_their_spans_once(spark):
+    """A third of all rows with one id and text: as many spans as one of them has."""
+    text = prose(31, 60)
+    rows = [(None, text)] * 2000 + [(i, prose(400 + i, 40)) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    spans = suffixes.repeated_spans(df).collect()
+    assert len(spans) == 1 and len(spans[0].spans) <= len(text.encode())
+    assert len({(s.start, s.end) for s in spans[0].spans}) == len(spans[0].spans)
+    got = cuts(df, 200)
+    assert [r for r in got if r[0] is None] == [(None, len(text.encode()), len(text.encode()), 1, hashlib.sha256(b"").hexdigest())] * 2000
+    assert sum(r[2] for r in got if r[0] is not None) == 0
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    """Texts longer than a piece: no window is lost where pieces meet."""
+    texts = [prose(60, 400), prose(61, 400)]
+    rows = [(0, texts[0] + texts[1]), (1, texts[1][500:900] + texts[0][300:2000]), (2, prose(62, 500)), (3, "short")]
+    want = [w for _, t in rows for w in range(max(0, len(t.encode()) - 199))]
+    monkeypatch.setattr(suffixes, "PIECE_BYTES", 300)
+    seen = []
+    for first, end, data, offsets, base in suffixes.pieces(pa.array([t for _, t in rows]), 200):
+        row, _, start, last, _ = suffixes.anchors(data, offsets, 200)
+        seen += [w - offsets[r] + base for r, a, b in zip(row, start, last) for w in range(a, b + 1)]
+    assert seen == want
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert cuts(df, 200) == brute_cut([(i, t.encode()) for i, t in rows], 200)
+
+
+def test_columns_of_any_name_stay(spark):
+    long = prose(41, 80)
+    names = ["key", "spans", "__key", "__spans", "first_id", "first_text", "rows_like_first", "__id", "__text", "__same"]
+    rows = [(1, long, *map(str, range(10))), (2, long, *map(str, range(10, 20))), (3, prose(42, 80), *["x"] * 10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = suffixes.remove_repeats(df)
+    assert kept.columns == df.columns and {tuple(r)[2:] for r in kept.collect()} == {r[2:] for r in rows}
+    one = jaccard.keep_one(df)
+    assert one.columns == df.columns and {tuple(r) for r in one.collect()} == {rows[0], rows[2]}

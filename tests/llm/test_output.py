@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vouchermill.llm import chat, fixity, huffman, pieces, textbytes as tb, token_files, tokens
 from vouchermill.session import shared_folder
 
-from .conftest import prose
+from .conftest import prose, twins
 
 public = pytest.importorskip("public_tokenizers")
 BPE, PIECES = public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model")
@@ -218,3 +218,26 @@ def test_report_of_added_records_and_archives(spark):
     assert [(a, r.n_records, r.intact, r.n_extra, r.bad_records) for a, r in sorted(rows.items())] == [
         (1, 4, False, 1, "9:extra"), (3, 0, False, 2, "25:extra,26:extra"),
     ]
+
+
+def test_codes_of_more_ids_than_the_narrow_table_has():
+    rng = np.random.default_rng(6)
+    ids = np.concatenate([np.arange(100_000), rng.integers(0, 50, 50_000)]).astype(np.uint32)
+    counts = np.array([1, 70_000, len(ids) - 70_001])
+    lengths = huffman.code_lengths(np.bincount(ids))
+    assert lengths.max() > 16 and (2.0 ** -lengths.astype(float)).sum() <= 1
+    data, byte, marks = huffman.encode(ids, counts, lengths, huffman.codes(lengths))
+    assert (huffman.decode(data, byte[:-1], counts, marks, huffman.decoding_table(lengths)) == ids).all()
+
+
+def test_runs_of_equal_hash_are_told_apart(monkeypatch):
+    a, b = twins(1024)
+    data = np.frombuffer((a + b + a + "x").encode(), np.uint8)
+    starts, ends = np.array([0, 1024, 2048, 3072]), np.array([1024, 2048, 3072, 3073])
+    hashes = tb.run_hashes(data, starts, ends)
+    assert hashes[0] == hashes[2] != hashes[1]
+    for _ in range(2):
+        sample, kind = tb.distinct_runs(data, starts, ends)
+        assert kind[0] == kind[2] and len(set(kind.tolist())) == 3 == len(sample)
+        assert all(data[starts[sample[k]] : ends[sample[k]]].tobytes() == data[s:e].tobytes() for k, s, e in zip(kind, starts, ends))
+        monkeypatch.setattr(tb, "run_hashes", lambda d, s, e: np.zeros(len(s), np.uint64))  # then with one hash for all

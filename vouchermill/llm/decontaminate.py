@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vouchermill.llm.words import hashes, row_key, with_grams, words
+from vouchermill.llm.words import free_name, hashes, row_key, with_grams, words
 from vouchermill.session import shared_folder
 
 WINDOW = 13
@@ -123,9 +123,10 @@ def contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark, **options).where("contaminated").select(F.col("key").alias("__key")).distinct()
-    rows = docs.withColumn("__key", row_key(docs["doc_id"], docs["text"]))
-    return rows.join(bad, "__key", "left_anti").drop("__key")
+    name = free_name(docs, "key")
+    bad = contamination(docs, benchmark, **options).where("contaminated").select(F.col("key").alias(name)).distinct()
+    rows = docs.withColumn(name, row_key(docs["doc_id"], docs["text"]))
+    return rows.join(bad, name, "left_anti").drop(name)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -133,15 +134,16 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     before it. Texts without a hit stay as they are."""
     hits = find_hits(docs, benchmark_windows(benchmark, window), window, block).where("size > 0")
     spots = hits.select("key", F.explode(F.expr("sequence(at, at + size - 1)")).alias("at")).distinct()
-    spots = spots.groupBy(F.col("key").alias("__key")).agg(F.collect_list("at").alias("__spots"))
-    rows = docs.withColumn("__key", row_key(docs["doc_id"], docs["text"])).join(spots, "__key", "left")
-    rows = rows.withColumn("__map", F.map_from_arrays("__spots", F.transform("__spots", lambda _: F.lit(True))))
+    key, places, known = (free_name(docs, n) for n in ("hit_key", "hit_places", "hit_map"))
+    spots = spots.groupBy(F.col("key").alias(key)).agg(F.collect_list("at").alias(places))
+    rows = docs.withColumn(key, row_key(docs["doc_id"], docs["text"])).join(spots, key, "left")
+    rows = rows.withColumn(known, F.map_from_arrays(places, F.transform(places, lambda _: F.lit(True))))
     word = BREAKS_AND_WORD
     pieces = F.regexp_extract_all(F.col("text"), F.lit(word), F.lit(0))
     tail = F.regexp_extract(F.col("text"), r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
-    kept = F.filter(pieces, lambda p, i: F.col("__map")[i + 1].isNull())
+    kept = F.filter(pieces, lambda p, i: F.col(known)[i + 1].isNull())
     cut = F.concat(F.array_join(kept, ""), tail)
-    return rows.withColumn("text", F.when(F.col("__spots").isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
+    return rows.withColumn("text", F.when(F.col(places).isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
 
 
 #: the breaks before a word and the word, in the text as it is (capitals are word characters)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 
-#: longest code in bits, which is also the index width of the decoding table
-LONGEST = 16
+#: longest code in bits, which is also the index width of the decoding table; more
+#: than 2**LONGEST occurring ids make both as wide as they need, up to WIDEST bits
+LONGEST, WIDEST = 16, 24
 #: ids between two checkpoints
 EVERY = 256
 
 
-def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
+def code_lengths(counts: np.ndarray, longest: int | None = None) -> np.ndarray:
     """Bits of each id's code; 0 for ids that do not occur. Package-merge."""
     used = np.flatnonzero(counts)
+    longest = longest or min(WIDEST, max(LONGEST, (max(len(used), 1) - 1).bit_length()))
     lengths = np.zeros(len(counts), np.uint8)
     if len(used) < 2:
         lengths[used] = 1
@@ -51,12 +53,13 @@ def codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def decoding_table(lengths: np.ndarray) -> np.ndarray:
-    """For every run of LONGEST bits, the id that it starts with and the bits of its code (id << 5 | bits)."""
+    """For every run of LONGEST bits (or more, if a code has more), the id that it starts with and the bits of its code (id << 5 | bits)."""
     used = np.flatnonzero(lengths)
     order = used[np.argsort(lengths[used], kind="stable")]
     n = lengths[order].astype(np.int64)
-    table = np.repeat(order << 5 | n, np.left_shift(1, LONGEST - n))
-    return np.concatenate([table, np.zeros((1 << LONGEST) - len(table), np.int64)]).astype(np.uint32)
+    width = max(LONGEST, int(n.max(initial=0)))
+    table = np.repeat(order << 5 | n, np.left_shift(1, width - n))
+    return np.concatenate([table, np.zeros((1 << width) - len(table), np.int64)]).astype(np.uint32)
 
 
 def encode(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, code: np.ndarray):
@@ -88,6 +91,8 @@ def decode(data: np.ndarray, byte: np.ndarray, counts: np.ndarray, marks: np.nda
     """The ids. Every checkpoint starts a segment of its own, and all segments
     are read in step, one table lookup per id."""
     data = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint32)
+    width = len(table).bit_length() - 1
+    index = np.uint32(len(table) - 1)
     segments = -(-counts // EVERY)
     text = np.repeat(np.arange(len(counts)), segments)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(segments) - segments, segments)
@@ -101,7 +106,10 @@ def decode(data: np.ndarray, byte: np.ndarray, counts: np.ndarray, marks: np.nda
         live = int(np.searchsorted(-size, -t, "left"))  # segments with more than t ids
         a = at[:live]
         b = a >> 3
-        seen = (data[b] << 16 | data[b + 1] << 8 | data[b + 2]) >> (8 - (a & 7)).astype(np.uint32) & 0xFFFF
+        if width <= 16:
+            seen = (data[b] << 16 | data[b + 1] << 8 | data[b + 2]) >> (24 - width - (a & 7)).astype(np.uint32) & index
+        else:
+            seen = (data[b] << 24 | data[b + 1] << 16 | data[b + 2] << 8 | data[b + 3]) >> (32 - width - (a & 7)).astype(np.uint32) & index
         entry = table[seen]
         out[to[:live] + t] = entry >> 5
         a += (entry & 31).astype(np.int64)

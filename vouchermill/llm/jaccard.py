@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vouchermill.llm import batches, textbytes as tb
 from vouchermill.llm.components import components
+from vouchermill.llm.words import free_name
 from vouchermill.session import shared_folder
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -332,13 +333,14 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each class of near copies, with all its columns: that of
     the least id (null last)."""
     found = near_classes(docs, **options)
-    lead = found.groupBy(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__text")).agg(
+    first, text, many = (free_name(docs, n) for n in ("first_id", "first_text", "rows_like_first"))
+    lead = found.groupBy(F.col("first.doc_id").alias(first), F.col("first.text_key").alias(text)).agg(
         F.sum(
             (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).cast("int")
-        ).alias("__same")
+        ).alias(many)
     )
     key = F.md5(F.coalesce(docs["text"], F.lit("")))
-    rows = docs.join(lead, docs["doc_id"].eqNullSafe(F.col("__id")) & (key == F.col("__text")))
-    single = rows.where("__same = 1").select(*docs.columns)
-    several = rows.where("__same > 1").dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    rows = docs.join(lead, docs["doc_id"].eqNullSafe(F.col(first)) & (key == F.col(text)))
+    single = rows.where(F.col(many) == 1).select(*docs.columns)
+    several = rows.where(F.col(many) > 1).dropDuplicates([first, text]).select(*docs.columns)
     return single.unionByName(several)

@@ -139,7 +139,7 @@ class Model:
         stop = np.append(start[1:], len(text))
         text_of = np.searchsorted(begin, start, "right") - 1
         row, nth = full[text_of], np.arange(len(start)) - np.searchsorted(start, begin)[text_of]
-        _, sample, kind = np.unique(tb.run_hashes(text, start, stop), return_index=True, return_inverse=True)
+        sample, kind = tb.distinct_runs(text, start, stop)
         # the different segments one after another; place i of a segment is the end of its byte i
         size = (stop - start)[sample]
         ends = np.cumsum(size)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -73,11 +74,35 @@ def tokens(kinds: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+#: longest run that is hashed by a sum of powers. Modulo 2**64, sums of longer runs can be equal
+#: for regular strings: those of a Thue-Morse string and its complement are from 1,024 bytes on
+SUMMED = 128
+
+
 def run_hashes(kinds: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each run of bytes, whatever its place."""
     sums = np.zeros(len(kinds) + 1, np.uint64)
     np.cumsum((kinds.astype(np.uint64) + np.uint64(1)) * powers(len(kinds)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse_powers(len(kinds) + 1)[starts] + length_salt(ends - starts))
+    out = mix((sums[ends] - sums[starts]) * inverse_powers(len(kinds) + 1)[starts] + length_salt(ends - starts))
+    for i in np.flatnonzero(ends - starts > SUMMED):
+        out[i] = int.from_bytes(blake2b(kinds[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A run of each kind, and the kind of every run. Runs of a kind have the same bytes, not just the same hash."""
+    _, sample, kind = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    other = size != size[sample[kind]]
+    if not other.any():
+        differs = data[np.repeat(starts, size) + at] != data[np.repeat(starts[sample[kind]], size) + at]
+        other[np.repeat(np.arange(len(starts)), size)[differs]] = True
+    if other.any():  # a hash that several strings share
+        known: dict[bytes, int] = {}
+        kind = np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(starts, ends)], np.int64)
+        sample = np.unique(kind, return_index=True)[1]
+    return sample, kind
 
 
 def length_salt(length: np.ndarray | int) -> np.ndarray:

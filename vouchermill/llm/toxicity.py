@@ -25,8 +25,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from vouchermill.llm import batches, textbytes as tb
 from vouchermill.llm.labelled import MOST_LABELLED, held_out, labelled_texts
+from vouchermill.llm.words import free_name
 
-WINDOW, STRIDE = 40, 30
+WINDOW, STRIDE = 40, 20
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 4, 8
 CHAR_BITS = 12
 #: words with a vector of their own: in at least so many training texts, at most so many
@@ -288,5 +289,6 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED) -> DataFrame:
     """The documents below the threshold, with all their columns."""
-    rows = with_scores(docs, labels, label, most, "__toxic")
-    return rows.where(F.col("__toxic") < THRESHOLD).select(*docs.columns)
+    name = free_name(docs, "toxic_score")
+    rows = with_scores(docs, labels, label, most, name)
+    return rows.where(F.col(name) < THRESHOLD).select(*docs.columns)
