@@ -209,7 +209,7 @@ def near_classes(
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in tb.slices(batch.column(2)):
+            for first, end, data, offsets in tb.slices(batch.column(2), tb.SLICE // 4):
                 names, counts, band, sig = sketch(data, offsets, size, bands, rows_per_band)
                 own = batch.slice(first, end - first)
                 spread = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, bands, dtype=np.int32)), pa.array(band.ravel()))
@@ -222,7 +222,7 @@ def near_classes(
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.md5(text).alias("text_key"), text.alias("text"))
     sketches = written(
-        rows.mapInArrow(sketched, f"doc_id {kind}, text_key string, key binary, n int, bands array<int>, sig binary"), "sketches"
+        rows.mapInArrow(batches.tidy(sketched), f"doc_id {kind}, text_key string, key binary, n int, bands array<int>, sig binary"), "sketches"
     )
     first = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")
     classes = written(sketches.groupBy("key").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("members")), "classes")
@@ -263,7 +263,7 @@ def near_classes(
             yield pa.RecordBatch.from_arrays([key.take(pa.array(moved)), key.take(pa.array(labels[moved]))], ["a", "b"])
 
     buckets = _in_blocks(meeting, "bucket", F.col("size"))
-    groups = written(components(buckets.mapInArrow(pruned, "a binary, b binary")), "groups")
+    groups = written(components(buckets.mapInArrow(batches.tidy(pruned), "a binary, b binary")), "groups")
 
     # exact verification within the groups
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
@@ -280,7 +280,7 @@ def near_classes(
             yield from pa.concat_tables(found).to_batches()
 
     links = written(
-        _in_blocks(texts, "root", F.col("size")).mapInArrow(verified, "key binary, low binary, links bigint"), "links"
+        _in_blocks(texts, "root", F.col("size")).mapInArrow(batches.tidy(verified), "key binary, low binary, links bigint"), "links"
     )
     together = components(links.select(F.col("key").alias("a"), F.col("low").alias("b")))
     counts = links.groupBy("key").agg(F.sum("links").alias("links"))

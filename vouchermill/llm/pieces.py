@@ -208,6 +208,8 @@ class Model:
         return [raw[a + 1 : b] if b > a else b"" for a, b in zip(begins.tolist(), ends.tolist())]
 
 
+#: bytes of text whose lattices are built at once
+SLICE = 1 << 18
 _models: dict[tuple, Model] = {}
 
 
@@ -217,24 +219,31 @@ def model(file: str, alpha: float = ALPHA) -> Model:
     return _models[file, alpha]
 
 
+def _encoded(stream: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
+    """doc_id and ids of batches of doc_id, seed and text."""
+    for batch in stream:
+        seeds = batch.column(1).to_numpy().view(np.uint64)
+        for first, end, data, offsets in tb.slices(batch.column(2), SLICE):
+            ids, counts = m.encode(data, offsets, seeds[first:end])
+            ends = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(ends, pa.array(ids))], ["doc_id", "ids"]
+            )
+
+
+def _seeded(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("seed"), "text")
+
+
 def encode_texts(docs: DataFrame, file: str, seed: int = 0, alpha: float = ALPHA) -> DataFrame:
     """One row per document: doc_id, ids (array<int>)."""
     batches.for_texts(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(file, alpha)
-        for batch in batches:
-            seeds = batch.column(1).to_numpy().view(np.uint64)
-            for first, end, data, offsets in tb.slices(batch.column(2)):
-                ids, counts = m.encode(data, offsets, seeds[first:end])
-                ends = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.ListArray.from_arrays(ends, pa.array(ids))], ["doc_id", "ids"]
-                )
+    def encoded(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _encoded(stream, model(file, alpha))
 
-    key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")).alias("seed")
-    return docs.select("doc_id", key, "text").mapInArrow(encoded, f"doc_id {kind}, ids array<int>")
+    return _seeded(docs, seed).mapInArrow(batches.tidy(encoded), f"doc_id {kind}, ids array<int>")
 
 
 def decode_ids(rows: DataFrame, file: str) -> DataFrame:
@@ -251,17 +260,19 @@ def decode_ids(rows: DataFrame, file: str) -> DataFrame:
                 texts = m.decode(ids.flatten().to_numpy(), counts)
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([t.decode() for t in texts], pa.string())], ["doc_id", "ids", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(decoded, f"doc_id {kind}, ids array<int>, text string")
+    return rows.select("doc_id", "ids").mapInArrow(batches.tidy(decoded), f"doc_id {kind}, ids array<int>, text string")
 
 
 def piece_report(docs: DataFrame, file: str, seed: int = 0, alpha: float = ALPHA) -> DataFrame:
     """One row per document: doc_id, n_pieces, ids, ids_crc32 (of little-endian
     32-bit ids), text_sha256 (of the text decoded from the ids)."""
+    batches.for_texts(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(file)
-        for batch in batches:
+        # encoded and read back in one worker, which is half the workers of `encode_texts` and a reader of its rows
+        for batch in _encoded(stream, model(file, alpha)):
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 ids = part.column(1)
@@ -275,5 +286,4 @@ def piece_report(docs: DataFrame, file: str, seed: int = 0, alpha: float = ALPHA
                     ["doc_id", "n_pieces", "ids", "ids_crc32", "text_sha256"],
                 )
 
-    rows = encode_texts(docs, file, seed, alpha)
-    return rows.mapInArrow(told, f"doc_id {kind}, n_pieces bigint, ids array<int>, ids_crc32 bigint, text_sha256 string")
+    return _seeded(docs, seed).mapInArrow(batches.tidy(told), f"doc_id {kind}, n_pieces bigint, ids array<int>, ids_crc32 bigint, text_sha256 string")

@@ -164,8 +164,8 @@ def repeated_grams(texts: DataFrame, length: int, bits: int) -> np.ndarray:
         if now is not None:
             yield out()
 
-    rows = texts.select("text").mapInArrow(counted, "segment int, once binary, more binary")
-    rows = rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(joined, "segment int, bits binary")
+    rows = texts.select("text").mapInArrow(batches.tidy(counted), "segment int, once binary, more binary")
+    rows = rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(batches.tidy(joined), "segment int, bits binary")
     table = np.zeros((1 << SEGMENT_BITS, (1 << low) // 8), np.uint8)
     for r in rows.toLocalIterator():
         table[r.segment] = np.frombuffer(r.bits, np.uint8)
@@ -455,7 +455,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     folder = shared_folder(spark, "suffix-runs")
     texts.mapInArrow(
-        sorted_runs, "part int, run bigint, bytes bigint, head binary, keys binary, times binary, owners binary, starts binary"
+        batches.tidy(sorted_runs), "part int, run bigint, bytes bigint, head binary, keys binary, times binary, owners binary, starts binary"
     ).write.option("compression", "zstd").parquet(folder)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,7 +506,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     dealt = dealt.repartition("part", "slice").sortWithinPartitions("part", "slice", "run")
     found = shared_folder(spark, "suffix-verdicts")
     dealt.mapInArrow(
-        merged, "part int, run bigint, verdicts binary, left int, value bigint, check bigint, item int, window int, times int"
+        batches.tidy(merged), "part int, run bigint, verdicts binary, left int, value bigint, check bigint, item int, window int, times int"
     ).write.option("compression", "zstd").parquet(found)
     found = spark.read.parquet(found)
 
@@ -531,7 +531,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             )
 
     back = back.repartition("part", "run").sortWithinPartitions("part", "run", "item", "window")
-    back = back.mapInArrow(gathered, "part int, run bigint, verdicts binary")
+    back = back.mapInArrow(batches.tidy(gathered), "part int, run bigint, verdicts binary")
     verdicts = found.where("verdicts is not null").select("part", "run", "verdicts").unionByName(back)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -552,7 +552,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 )
 
     owners = runs.select("part", "run", "times", "owners", "starts").join(verdicts, ["part", "run"])
-    spans = owners.select("verdicts", "times", "owners", "starts").mapInArrow(placed, "key binary, start bigint, end bigint")
+    spans = owners.select("verdicts", "times", "owners", "starts").mapInArrow(batches.tidy(placed), "key binary, start bigint, end bigint")
     # rows that repeat in id and text have the same spans: each is kept once
     return spans.distinct().groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -595,7 +595,7 @@ def report_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *n], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _with_spans(docs.select("doc_id", "text"), length)
-    return rows.mapInArrow(told, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return rows.mapInArrow(batches.tidy(told), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -613,4 +613,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
     fields = [StructField(f.name, StringType()) if f.name == "text" else f for f in docs.schema.fields]
-    return _with_spans(docs, length).mapInArrow(cut, StructType(fields))
+    return _with_spans(docs, length).mapInArrow(batches.tidy(cut), StructType(fields))

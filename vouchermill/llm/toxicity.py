@@ -275,7 +275,7 @@ def with_scores(
             found = score_column(batch.column(at), shared.value) if shared.value else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.mapInArrow(batches.tidy(scored), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED) -> DataFrame:
