@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ def test_ingest_in_steps(spark, tmp_path):
     assert [(str(r["txn_date"]), r["vch_no"]) for r in got] == [
         ("2024-05-01", "S1"), ("2024-05-02", None), ("2024-05-02", None), ("2024-05-03", "R1"), ("2024-06-01", "Y1"),
     ]
+    # every batch but the first has its own folder, and the start adds none
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["batch=-1", "batch=0", "batch=1"]
     assert got[0]["txn_category"] == "Sales" and got[0]["particulars"] == "A"
     # nothing new: nothing happens
     assert len(run_ingest(spark, tmp_path)) == 5
@@ -52,6 +55,42 @@ def test_ingest_loses_no_row_for_being_old(spark, tmp_path):
     assert results[0] == results[1] == [("2015-06-01", "V/3"), ("2099-06-02", "V/2")]
 
 
+def test_lines_of_a_voucher_stay_together(spark, tmp_path):
+    """A number belongs to the book that brings it first: all its lines there stay, others go,
+    for any number of files in a batch."""
+    files = [
+        ("a/1", ["2024-05-01,A,GST Sales New,V1,10,", "2024-05-01,A,Receipt,V1,,9", "2024-05-02,B,Payment,V2,7,"]),
+        ("a/2", ["2024-05-03,A,Journal,V1,3,", "2024-05-03,A,GST Sales New,V1,10,"]),
+        ("b/1", ["2024-05-01,A,GST Sales New,V1,10,", "2024-05-04,C,Payment,V3,1,", "2024-05-04,C,Contra,V3,,1", "2024-05-04,C,Contra,,,2"]),
+    ]
+    for book, want in (("folder", ["V1"] * 4 + ["V2", "V3", "V3", None]), ("file", ["V1"] * 2 + ["V2", "V3", "V3", None])):
+        results = []
+        for size in (1, 1000):
+            root = tmp_path / f"{book}{size}"
+            for i, (name, lines) in enumerate(files):
+                path = root / "in" / f"{name}.csv"
+                path.parent.mkdir(parents=True, exist_ok=True)
+                path.write_text("\n".join(lines) + "\n")
+                os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+            run = ingest.ingest_daybook(spark, f"{root}/in/*", f"{root}/out", f"{root}/cp", "2024-25", size, book)
+            run.awaitTermination()
+            rows = rows_of(spark.read.schema(LEDGER).parquet(f"{root}/out").drop("batch"), "vch_no", "txn_date", "vch_type", "txn_category")
+            assert sorted(str(r["vch_no"]) for r in rows) == sorted(map(str, want))
+            results.append(rows)
+        assert results[0] == results[1]
+
+
+def test_a_batch_reads_the_index_and_not_the_ledger(spark, tmp_path):
+    batch = spark.createDataFrame([("V1", "b", (1, "x"))], "vch_no string, _book string, _arrived struct<t: int, p: string>")
+    spark.createDataFrame([("V1", "a", 1), ("V9", "a", 2)], "vch_no string, book string, bucket int").withColumn(
+        "bucket", ingest.bucket_of(F.col("vch_no"))
+    ).write.partitionBy("bucket").parquet(str(tmp_path / "index/batch=0"))
+    index = spark.read.schema(ingest.INDEX).parquet(str(tmp_path / "index"))
+    assert ingest.first_books(batch, index).count() == 0 and ingest.own_lines(batch, index).count() == 0
+    mine = batch.withColumn("_book", F.lit("a"))
+    assert ingest.own_lines(mine, index).count() == 1
+
+
 EVENTS = "ts timestamp_ntz, kind string, value decimal(18,2)"
 
 
@@ -66,8 +105,7 @@ def test_daily_totals_take_late_rows(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(EVENTS).parquet(source)
-        daily = totals.daily_totals(stream, "ts", "kind", "value")
-        totals.write_daily_totals(daily, target, str(tmp_path / "cp")).awaitTermination()
+        totals.write_daily_totals(stream, target, str(tmp_path / "cp"), "ts", "kind", "value").awaitTermination()
         return rows_of(totals.read_daily_totals(spark, target), "day", "category")
 
     add([("2024-01-01T23:59:59", "a", 1.5), ("2024-01-02T00:00:00", "a", 2.0), ("2024-01-02T05:00:00", "b", 1.0)])
@@ -78,15 +116,39 @@ def test_daily_totals_take_late_rows(spark, tmp_path):
     assert [(str(r["day"]), r["category"], r["rows"], float(r["amount"])) for r in got] == [
         ("2024-01-01", "a", 2, 5.5), ("2024-01-02", "a", 1, 2.0), ("2024-01-02", "b", 1, 1.0), ("2024-01-31", "a", 1, 8.0),
     ]
-    # a month late: the day is closed
+    # a month late: no day ever closes
     add([("2024-01-01T11:00:00", "a", 100.0)])
-    assert [float(r["amount"]) for r in run()] == [5.5, 2.0, 1.0, 8.0]
+    assert [float(r["amount"]) for r in run()] == [105.5, 2.0, 1.0, 8.0]
+    # folding batches changes nothing, however often and up to whatever batch
+    before = run()
+    for upto in (0, 1, 1, 2, 0):
+        totals.compact_daily_totals(spark, target, upto)
+        assert rows_of(totals.read_daily_totals(spark, target), "day", "category") == before
+    # a base that was not finished has no mark and counts for nothing
+    spark.createDataFrame([(None, "a", 99, None)], "day date, category string, rows long, amount decimal(28,2)").write.parquet(f"{target}/kind=base/number=7")
+    add([("2024-02-01T00:00:00", "c", 1.0)])
+    assert len(run()) == len(before) + 1
     months = rows_of(totals.monthly_rollup(totals.read_daily_totals(spark, target)), "category")
     assert [(r["month"], r["category"], r["rows"], float(r["amount"])) for r in months] == [
-        ("2024-01", "a", 4, 15.5), ("2024-01", "b", 1, 1.0),
+        ("2024-01", "a", 5, 115.5), ("2024-01", "b", 1, 1.0), ("2024-02", "c", 1, 1.0),
     ]
 
 
+def test_daily_totals_do_not_depend_on_batches(spark, tmp_path):
+    """Days years apart in any order, one file or all in a batch."""
+    days = ["2024-03-01", "2020-01-01", "2031-07-09", "2020-01-01"]
+    for i, d in enumerate(days):
+        row = spark.createDataFrame([(dt.datetime.fromisoformat(d), "a")], "ts timestamp_ntz, kind string")
+        row.select("*", F.lit(1.5).cast("decimal(18,2)").alias("value")).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    results = []
+    for size in (1, 100):
+        stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", size).parquet(str(tmp_path / "in/*"))
+        target = str(tmp_path / f"out{size}")
+        totals.write_daily_totals(stream, target, str(tmp_path / f"cp{size}"), "ts", "kind", "value").awaitTermination()
+        results.append(rows_of(totals.read_daily_totals(spark, target), "day"))
+    assert results[0] == results[1] and [r["rows"] for r in results[0]] == [2, 1, 1]
+
+
 def test_scoring_equals_batch(spark, tmp_path):
     rows = [(i, "u1", float(v)) for i, v in enumerate([1, 1, 1, 1, 1, 50])] + [(9, "u2", 5.0)]
     df = spark.createDataFrame(rows, "id int, who string, value double").select("id", "who", F.col("value").cast("decimal(18,2)"))

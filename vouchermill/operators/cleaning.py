@@ -60,8 +60,8 @@ def keep_positive_rows(df: DataFrame) -> DataFrame:
     return df.filter(positive_row())
 
 
-def clean_daybook(raw: DataFrame, source_year: str | Column) -> DataFrame:
-    """All cleaning steps, ending in the ledger columns."""
+def clean_daybook(raw: DataFrame, source_year: str | Column, keep: tuple = ()) -> DataFrame:
+    """All cleaning steps, ending in the ledger columns and those to keep."""
     clean = (
         raw.transform(rename_positional)
         .transform(drop_repeated_headers)
@@ -73,4 +73,4 @@ def clean_daybook(raw: DataFrame, source_year: str | Column) -> DataFrame:
         .transform(with_calendar)
         .transform(add_category)
     )
-    return clean.select(*LEDGER.fieldNames())
+    return clean.select(*LEDGER.fieldNames(), *keep)

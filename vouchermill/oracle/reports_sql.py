@@ -70,6 +70,10 @@ select {iso('txn_date')} as txn_date, particulars, vch_type, vch_no, {_AMOUNTS},
 S["stream_ingest"] = f"""with {CLEAN}
 select {iso('txn_date')} as txn_date, particulars, vch_type, vch_no, {_AMOUNTS}, txn_category, fiscal_year from clean"""
 
+S["stream_ingest_lines"] = f"""with {CLEAN}
+select {iso('txn_date')} as txn_date, particulars, vch_type, 'V/' || (cast(substr(vch_no, 3) as bigint) // 3) as vch_no, {_AMOUNTS}, txn_category,
+ fiscal_year from clean"""
+
 S["categorise_exact"] = f"""with {RAW}
 select c2 as vch_type, {exact_category('trim(c2)')} as txn_category, count(*) as rows from raw group by c2"""
 
@@ -414,6 +418,8 @@ from canon where txn_category = 'Sales' group by particulars"""
 )
 S["revenue_by_product_type"] = f"""select p_type as product_type, {r('sum(round(cast(l_extendedprice as decimal(18,2)) * (cast(1 as decimal(4,2)) - cast(l_discount as decimal(4,2))), 2))', 2)} as revenue,
  count(*) as line_count from lineitem join part on l_partkey = p_partkey group by p_type"""
+S["stream_monthly_totals"] = f"""select strftime(ts, '%Y-%m') as month, event_type as category, count(*) as rows,
+ {r('sum(cast(value as decimal(18,2)))', 2)} as amount from events group by 1, 2"""
 S["stream_daily_totals"] = f"""select strftime(ts, '%Y-%m-%d') as day, event_type as category, count(*) as rows,
  {r('sum(cast(value as decimal(18,2)))', 2)} as amount from events group by 1, 2"""
 

@@ -305,12 +305,24 @@ def _event_stream(spark, folder):
 
 def stream_daily_totals(spark, folder):
     target = shared_folder(spark, "daily-totals")
-    daily = totals.daily_totals(_event_stream(spark, folder), "ts", "event_type", "value")
-    totals.write_daily_totals(daily, f"{target}/log", f"{target}/checkpoint").awaitTermination()
+    events = _event_stream(spark, folder)
+    totals.write_daily_totals(events, f"{target}/log", f"{target}/checkpoint", "ts", "event_type", "value").awaitTermination()
     t = totals.read_daily_totals(spark, f"{target}/log")
     return t.select(iso(F.col("day")).alias("day"), "category", "rows", half_up(F.col("amount"), 2).alias("amount"))
 
 
+def stream_monthly_totals(spark, folder):
+    """Events land in four files and come in four batches, of which two are folded into one."""
+    target = shared_folder(spark, "monthly-totals")
+    events = read_table(spark, folder, "events").select("ts", "event_type", F.col("value").cast("decimal(18,2)").alias("value"))
+    events.repartition(4).write.parquet(f"{target}/landing")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/landing")
+    totals.write_daily_totals(stream, f"{target}/log", f"{target}/checkpoint", "ts", "event_type", "value").awaitTermination()
+    totals.compact_daily_totals(spark, f"{target}/log", 1)
+    t = totals.monthly_rollup(totals.read_daily_totals(spark, f"{target}/log"))
+    return t.select("month", "category", "rows", half_up(F.col("amount"), 2).alias("amount"))
+
+
 def stream_scoring(spark, folder):
     target = shared_folder(spark, "stream-scoring")
     limits = anomalies.iqr_limits(_events(spark, folder), "user_id", "value").filter(F.col("row_count") >= 5)
@@ -326,14 +338,15 @@ def stream_scoring(spark, folder):
     )
 
 
-def stream_ingest(spark, folder):
-    """Every raw row arrives twice; each numbered voucher is kept once."""
+def _ingested(spark, raw, files_per_batch):
+    """Every raw row arrives in two books; each numbered voucher is kept from the first."""
     target = shared_folder(spark, "ingest")
-    raw = tables.raw_daybook(spark, folder)
     raw.write.option("header", False).csv(f"{target}/landing/first")
     repeated = raw.filter(F.col("_c3").isNotNull())
     repeated.write.option("header", False).csv(f"{target}/landing/second")
-    run = ingest.ingest_daybook(spark, f"{target}/landing/*", f"{target}/ledger", f"{target}/checkpoint", "book-a")
+    run = ingest.ingest_daybook(
+        spark, f"{target}/landing/*", f"{target}/ledger", f"{target}/checkpoint", "book-a", files_per_batch, "folder"
+    )
     run.awaitTermination()
     out = spark.read.schema(LEDGER).parquet(f"{target}/ledger")
     return _rows(
@@ -342,6 +355,19 @@ def stream_ingest(spark, folder):
     )
 
 
+def stream_ingest(spark, folder):
+    """A line per voucher, all files in one batch."""
+    return _ingested(spark, tables.raw_daybook(spark, folder), 1000)
+
+
+def stream_ingest_lines(spark, folder):
+    """Up to three lines per voucher, which come in several files and batches."""
+    raw = tables.raw_daybook(spark, folder)
+    number = F.trim("_c3").substr(3, 20).try_cast("bigint")
+    shared = F.concat(F.lit("V/"), F.call_function("div", number, F.lit(3)))
+    return _ingested(spark, raw.withColumn("_c3", F.coalesce(shared, "_c3")).repartition(3, "_c0"), 2)
+
+
 # ---------------------------------------------------------------- stored tables
 
 
@@ -526,6 +552,8 @@ def registry() -> dict[str, Query]:
         "stored_register": stored_register,
         # streaming
         "stream_ingest": stream_ingest,
+        "stream_ingest_lines": stream_ingest_lines,
         "stream_daily_totals": stream_daily_totals,
+        "stream_monthly_totals": stream_monthly_totals,
         "stream_scoring": stream_scoring,
     }

@@ -1,52 +1,80 @@
-"""Running totals over a stream with late rows."""
+"""Totals over a stream, kept as a log of additive parts.
 
-from __future__ import annotations
+Every batch stores the sums of its own rows under its number; readers add the
+parts up. No day ever closes and no state is kept, so a row counts however late
+it comes, and the result does not depend on how rows fall into batches.
+
+    target/kind=batch/number=N   sums of batch N
+    target/kind=base/number=K    sums of all batches up to K
+    target/kind=done/number=K    says that base K is whole
+"""
 
-import os
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+LOG = "day date, category string, rows long, amount decimal(28,2), kind string, number long"
 
-def daily_totals(stream: DataFrame, ts: str, category: str, amount: str, lateness: str = "2 days") -> DataFrame:
-    """Rows and amount per day and category; days older than the watermark close.
 
-    The event time is cut to the day, which gives one-day windows that begin at
-    midnight of the session's time zone (``window`` would begin them in UTC).
-    """
-    day = F.date_trunc("day", F.col(ts)).cast("timestamp")
-    rows = stream.withColumn("_day", day).withWatermark("_day", lateness)
-    totals = rows.groupBy("_day", F.col(category).alias("category")).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(amount).alias("amount")
+def daily_totals(rows: DataFrame, ts: str, category: str, amount: str) -> DataFrame:
+    """Rows and amount per day (of the session's time zone) and category."""
+    totals = rows.groupBy(F.to_date(ts).alias("day"), F.col(category).alias("category")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(amount).cast("decimal(28,2)").alias("amount")
     )
-    return totals.select(F.to_date("_day").alias("day"), "category", "rows", "amount")
+    return totals.select("day", "category", "rows", "amount")
 
 
-def write_daily_totals(totals: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append each batch's changed totals under its batch number.
+def _folder(target: str, kind: str, number: int) -> str:
+    return f"{target}/kind={kind}/number={number}"
 
-    A batch that is repeated after a failure overwrites its own folder, so the
-    log holds every batch once.
-    """
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(target, f"batch_id={batch_id}"))
+def write_daily_totals(stream: DataFrame, target: str, checkpoint: str, ts: str, category: str, amount: str) -> StreamingQuery:
+    """Store the totals of each batch under its number. A batch that is repeated
+    after a failure overwrites its own folder, so the log holds every batch once."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        daily_totals(batch, ts, category, amount).write.mode("overwrite").parquet(_folder(target, "batch", number))
 
     return (
-        totals.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(save)
-        .start()
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
     )
 
 
+def _parts(spark: SparkSession, target: str, upto: int | None = None) -> DataFrame:
+    """The last whole base and the batches after it, all up to a batch number."""
+    log = spark.read.schema(LOG).parquet(target)
+    if upto is not None:
+        log = log.filter(F.col("number") <= upto)
+    base = F.coalesce(log.filter(F.col("kind") == "done").agg(F.max("number").alias("n")).scalar(), F.lit(-1))
+    own = ((F.col("kind") == "base") & (F.col("number") == base)) | ((F.col("kind") == "batch") & (F.col("number") > base))
+    return log.filter(own)
+
+
 def read_daily_totals(spark: SparkSession, target: str) -> DataFrame:
-    """Newest total of each day and category."""
-    schema = "day date, category string, rows long, amount decimal(28,2), batch_id long"
-    log = spark.read.schema(schema).parquet(target)
-    newest = F.max_by(F.struct("rows", "amount"), "batch_id")
-    return log.groupBy("day", "category").agg(newest.alias("t")).select("day", "category", "t.rows", "t.amount")
+    """Total of each day and category over all batches."""
+    return _added(_parts(spark, target))
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("day", "category").agg(
+        F.sum("rows").alias("rows"), F.sum("amount").cast("decimal(28,2)").alias("amount")
+    )
+
+
+def compact_daily_totals(spark: SparkSession, target: str, upto: int) -> None:
+    """Fold the batches up to a number into one folder.
+
+    Readers use it only once it is marked as whole, and pass over the folded
+    batches from then on. Running it again writes the same rows again; one that
+    was interrupted left no mark and is simply repeated.
+    """
+    done = spark.read.schema(LOG).parquet(target).filter((F.col("kind") == "done") & (F.col("number") >= upto))
+    if not done.isEmpty():
+        return
+    _added(_parts(spark, target, upto)).write.mode("overwrite").parquet(_folder(target, "base", upto))
+    mark = spark.range(1).select(F.lit(None).cast("date").alias("day"))
+    mark.write.mode("overwrite").parquet(_folder(target, "done", upto))
 
 
 def monthly_rollup(daily: DataFrame) -> DataFrame:
