@@ -13,6 +13,9 @@ from vouchermill.functions.numeric import half_up
 from vouchermill.operators.joins import attach_row, join_per_key
 from vouchermill.operators.quantiles import exact_quartiles
 from vouchermill.operators.ranking import top_k_per_group
+from vouchermill.session import shared_folder
+
+STORED_ROWS = "particulars string, value decimal(18,2), txn_date date, vch_no string, fiscal_year string, txn_type string"
 
 
 def iqr_limits(df: DataFrame, entity: str, amount: str, config: IqrConfig = IqrConfig()) -> DataFrame:
@@ -82,11 +85,15 @@ def all_anomalies(ledger: DataFrame, config: IqrConfig = IqrConfig()) -> DataFra
     """Flagged sales per customer and purchases per supplier, tagged.
 
     Both sides go through one computation, keyed by type and party. Rows without
-    a party belong to no one and are left out.
+    a party belong to no one and are left out. The rows are read three times (bucket
+    counts, amounts of the quartiles' buckets, flags), so they are stored once in
+    the shared folder with the columns needed; the ledger and its joins run once.
     """
     sale = _positive(ledger, "Sales", "debit_amount").withColumn("txn_type", F.lit("Sale"))
     bought = _positive(ledger, "Purchase", "credit_amount").withColumn("txn_type", F.lit("Purchase"))
-    rows = sale.unionByName(bought).withColumn("who", F.struct("txn_type", "particulars"))
+    folder = shared_folder(ledger.sparkSession, "anomaly-rows")
+    sale.unionByName(bought).write.parquet(folder)
+    rows = ledger.sparkSession.read.schema(STORED_ROWS).parquet(folder).withColumn("who", F.struct("txn_type", "particulars"))
     flagged = iqr_anomalies(rows.drop("txn_type", "particulars"), "who", "value", config)
     return flagged.select(
         iso(F.col("txn_date")).alias("txn_date"),

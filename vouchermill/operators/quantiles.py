@@ -54,7 +54,8 @@ def split_quartiles(rows: DataFrame) -> DataFrame:
     targets = placed.filter(inside).select("_e", "_b", "_total", start.alias("_start"))
     totals = buckets.groupBy("_e").agg(F.sum("_n").alias("row_count"), F.sum("_s").alias("total_amount"))
 
-    counted = rows.groupBy("_e", "_b", "_a").agg(F.count(F.lit(1)).alias("_n")).join(targets, ["_e", "_b"])
+    # rows of other buckets go before anything is counted or shuffled, where the targets can be broadcast
+    counted = rows.join(targets, ["_e", "_b"]).groupBy("_e", "_b", "_a", "_total", "_start").agg(F.count(F.lit(1)).alias("_n"))
     within = Window.partitionBy("_e", "_b").orderBy("_a").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_end", F.col("_start") + F.sum("_n").over(within))
     first = F.col("_end") - F.col("_n")
