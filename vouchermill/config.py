@@ -45,6 +45,7 @@ LAKH = 100_000
 CRORE = 10_000_000
 
 
+# Band edges, scores and weights of published results.
 @dataclass(frozen=True)
 class RfmConfig:
     """Right-closed bands: ``edges[i] < x <= edges[i + 1]`` scores ``scores[i]``;
@@ -60,6 +61,7 @@ class RfmConfig:
     weights: tuple = (30, 30, 40)
 
 
+# Weights, cuts and labels of published results.
 @dataclass(frozen=True)
 class RfmMinMaxConfig:
     weights: tuple = (0.35, 0.25, 0.40)
@@ -68,12 +70,14 @@ class RfmMinMaxConfig:
     labels: tuple = ("At Risk", "Growing", "Champion")
 
 
+# Fence factor and least rows of published results.
 @dataclass(frozen=True)
 class IqrConfig:
     min_rows: int = 5
     factor: str = "1.5"
 
 
+# Tier edges of published results.
 @dataclass(frozen=True)
 class PaymentConfig:
     excellent: int = 95
@@ -83,6 +87,7 @@ class PaymentConfig:
     never_paid_text: str = "No payment"
 
 
+# Day limits of published results.
 @dataclass(frozen=True)
 class ChurnConfig:
     active_days: int = 30
@@ -100,6 +105,7 @@ class ChurnConfig:
     at_risk: tuple = ("Churned", "High Risk", "Medium Risk")
 
 
+# Limits of published results.
 @dataclass(frozen=True)
 class MarginConfig:
     healthy: int = 35
