@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from vouchermill.operators import anomalies
 from vouchermill.schemas import LEDGER
-from vouchermill.streaming import ingest, scoring, totals
+from vouchermill.streaming import baselines, ingest, scoring, totals
 
 
 def land(folder, name, lines):
@@ -162,3 +162,56 @@ def test_scoring_equals_batch(spark, tmp_path):
     got = rows_of(spark.read.schema(flags.schema).parquet(str(tmp_path / "out")))
     assert got == rows_of(anomalies.iqr_anomalies(df, "who", "value"))
     assert [r["id"] for r in got] == [5]
+
+
+def test_baselines_grow_to_those_of_all_rows(spark, tmp_path):
+    """One user owns most rows; amounts repeat, are negative or missing; any rows in a batch."""
+    rows = [("hot", (i * 37) % 101 - 20 + i % 3 / 4) for i in range(900)] + [("few", 5.0)] * 3
+    rows += [("u%d" % (i % 7), i * 1000.5) for i in range(60)] + [(None, 1.0), ("hot", None), ("huge", 9e13), ("huge", -9e13)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, who string, value double")
+    df = df.withColumn("value", F.col("value").cast("decimal(18,2)"))
+    want = rows_of(anomalies.iqr_limits(df.dropna(), "who", "value"), "who")
+    for parts in (1, 5):
+        log = str(tmp_path / f"log{parts}")
+        for n in range(parts):
+            batch = df.filter(F.col("id") % parts == n)
+            baselines.add_batch(batch, n, log, "who", "value")
+            baselines.add_batch(batch, n, log, "who", "value")  # a repeated batch counts once
+        assert rows_of(baselines.read_baselines(spark, log, "who"), "who") == want
+        for upto in (0, parts - 1, parts - 1, 0):
+            baselines.compact_baselines(spark, log, upto)
+            assert rows_of(baselines.read_baselines(spark, log, "who"), "who") == want
+        some = df.filter("who in ('hot', 'u3')")
+        assert [r["who"] for r in rows_of(baselines.read_baselines(spark, log, "who", only=some), "who")] == ["hot", "u3"]
+
+
+def test_scoring_learns_from_earlier_batches_only(spark, tmp_path):
+    """A batch's own rows do not count for it, a restart goes on, an unfinished repeat changes nothing."""
+    schema = "id int, who string, value decimal(18,2)"
+
+    def arrive(name, rows):
+        full = spark.createDataFrame(rows, "id int, who string, value double").withColumn("value", F.col("value").cast("decimal(18,2)"))
+        full.coalesce(1).write.parquet(str(tmp_path / f"in/{name}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))
+        baselines.score_and_learn(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "who", "value").awaitTermination()
+        return sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out/flags")).collect())
+
+    assert arrive("a", [(i, "u", v) for i, v in enumerate([1.0] * 5 + [50.0])]) == []
+    assert arrive("b", [(10, "u", 50.0), (11, "u", 1.0), (12, "v", 9.0)]) == [10]
+    assert arrive("c", [(20, "v", 500.0), (21, "u", 40.0)]) == [10, 21]
+    # the last batch's counts were written but not committed: it runs again
+    before = rows_of(baselines.read_baselines(spark, str(tmp_path / "out/log"), "who"), "who")
+    for name in ("2", ".2.crc"):
+        (tmp_path / "cp/commits" / name).unlink()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))
+    baselines.score_and_learn(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "who", "value").awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out/flags")).collect()) == [10, 21]
+    assert rows_of(baselines.read_baselines(spark, str(tmp_path / "out/log"), "who"), "who") == before
+
+
+def test_a_small_batch_opens_only_its_folders(spark, tmp_path):
+    log = str(tmp_path / "log")
+    df = spark.range(200).select(F.concat(F.lit("u"), "id").alias("who"), F.col("id").cast("decimal(18,2)").alias("value"))
+    baselines.add_batch(df, 0, log, "who", "value")
+    plan = baselines.read_baselines(spark, log, "who", only=df.filter("who = 'u7'"))._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan

@@ -20,7 +20,11 @@ STORED_ROWS = "particulars string, value decimal(18,2), txn_date date, vch_no st
 
 def iqr_limits(df: DataFrame, entity: str, amount: str, config: IqrConfig = IqrConfig()) -> DataFrame:
     """Row count, mean, quartiles and fences of every entity (DECIMAL fences)."""
-    q = exact_quartiles(df, entity, amount)
+    return fences(exact_quartiles(df, entity, amount), entity, config)
+
+
+def fences(q: DataFrame, entity: str, config: IqrConfig = IqrConfig()) -> DataFrame:
+    """Mean and fences from row count, sum and quartiles."""
     factor = F.lit(Decimal(config.factor))
     iqr = F.col("q3") - F.col("q1")
     return q.select(
@@ -37,8 +41,11 @@ def iqr_limits(df: DataFrame, entity: str, amount: str, config: IqrConfig = IqrC
 
 def iqr_baseline(df: DataFrame, entity: str, amount: str, config: IqrConfig = IqrConfig()) -> DataFrame:
     """Rounded baselines of entities with enough rows."""
-    limits = iqr_limits(df, entity, amount, config).filter(F.col("row_count") >= config.min_rows)
-    return limits.select(
+    return rounded_baseline(iqr_limits(df, entity, amount, config), entity, config)
+
+
+def rounded_baseline(limits: DataFrame, entity: str, config: IqrConfig = IqrConfig()) -> DataFrame:
+    return limits.filter(F.col("row_count") >= config.min_rows).select(
         F.col(entity).alias("entity"),
         F.col("row_count").alias("txn_count"),
         *[half_up(F.col(c), 0).alias(n) for c, n in (

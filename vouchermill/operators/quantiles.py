@@ -31,7 +31,12 @@ def split_quartiles(rows: DataFrame) -> DataFrame:
     """
     rows = rows.withColumn("_b", value_bucket(F.col("_a")))
     buckets = rows.groupBy("_e", "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_a").alias("_s"))
+    return counted_quartiles(buckets, rows.withColumn("_n", F.lit(1)))
 
+
+def counted_quartiles(buckets: DataFrame, amounts: DataFrame) -> DataFrame:
+    """Quartiles from counts: rows and sum (``_n``, ``_s``) per ``_e`` and bucket ``_b``,
+    and rows (``_n``) of each amount ``_a`` there, which may come in several parts."""
     per_entity = Window.partitionBy("_e")
     upto = per_entity.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     placed = buckets.select(
@@ -55,7 +60,7 @@ def split_quartiles(rows: DataFrame) -> DataFrame:
     totals = buckets.groupBy("_e").agg(F.sum("_n").alias("row_count"), F.sum("_s").alias("total_amount"))
 
     # rows of other buckets go before anything is counted or shuffled, where the targets can be broadcast
-    counted = rows.join(targets, ["_e", "_b"]).groupBy("_e", "_b", "_a", "_total", "_start").agg(F.count(F.lit(1)).alias("_n"))
+    counted = amounts.join(targets, ["_e", "_b"]).groupBy("_e", "_b", "_a", "_total", "_start").agg(F.sum("_n").alias("_n"))
     within = Window.partitionBy("_e", "_b").orderBy("_a").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_end", F.col("_start") + F.sum("_n").over(within))
     first = F.col("_end") - F.col("_n")

@@ -265,6 +265,22 @@ _EVENTS = "ev as (select event_id, user_id, cast(value as decimal(18,2)) as val
 S["iqr_event_anomalies"] = f"""with {_EVENTS}, {iqr('ev', 'user_id', 'val')}
 select event_id, user_id, {_flag_cols('val')} from flagged"""
 S["stream_scoring"] = S["iqr_event_anomalies"]
+S["stream_growing_baselines"] = S["iqr_baseline"]
+# a sale of one run beside all sales of its customer in earlier runs
+S["stream_growing_flags"] = with_ledger(
+    f"""select {iso('txn_date')} as txn_date, vch_no, particulars as customer, {_flag_cols('debit_amount')} from (
+ select sold.*, mean, low, high,
+  case when debit_amount > high then 'HIGH — unusually large' else 'LOW — unusually small' end as flag_type
+ from sold join lim using (particulars, run) where debit_amount < low or debit_amount > high)""",
+    f"""{_SALES},
+sold as (select *, case when txn_date >= date '2000-01-01' then 2 when txn_date >= date '1998-01-01' then 1 else 0 end as run
+ from sales),
+seen as (select s.particulars, k.run, s.debit_amount from sold s join (select distinct run from sold) k on s.run < k.run),
+q as (select particulars, run, count(*) as n, {mean('sum(debit_amount)', 'count(*)')} as mean,
+  cast(quantile_cont(cast(debit_amount as double), 0.25) as decimal(38,6)) as q1,
+  cast(quantile_cont(cast(debit_amount as double), 0.75) as decimal(38,6)) as q3 from seen group by 1, 2),
+lim as (select *, greatest(0, q1 - 1.5 * (q3 - q1)) as low, q3 + 1.5 * (q3 - q1) as high from q where n >= 5)""",
+)
 
 _BOTH = f"""both_t as (select case txn_category when 'Sales' then 'Sale' else 'Purchase' end as txn_type, particulars as customer,
   case txn_category when 'Sales' then debit_amount else credit_amount end as val, txn_date, vch_no, fiscal_year

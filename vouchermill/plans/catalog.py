@@ -19,7 +19,7 @@ from vouchermill.session import shared_folder
 from vouchermill.sources import trade_tables as tables
 from vouchermill.sources.readers import read_clean_ledger, read_daybook, read_register, read_table
 from vouchermill.sources.writers import write_ledger, write_result
-from vouchermill.streaming import ingest, scoring, totals
+from vouchermill.streaming import baselines, ingest, scoring, totals
 
 # parameters of the registered queries, chosen to reach every branch of the data
 FY = "1999-00"
@@ -338,6 +338,46 @@ def stream_scoring(spark, folder):
     )
 
 
+#: the first dates of the second and third arrival
+ARRIVALS = ("1998-01-01", "2000-01-01")
+
+
+def _grown(spark, folder) -> str:
+    """Sales arrive in three runs, by date, and are scored against what came before; the first two
+    batches are folded before the last comes."""
+    target = shared_folder(spark, "growing-baselines")
+    sales = _sales_rows(spark, folder)
+    run = F.lit(0)
+    for start in ARRIVALS:
+        run = run + F.coalesce((F.col("txn_date") >= F.lit(start).cast("date")).cast("int"), F.lit(0))
+    sales.withColumn("run", run).write.partitionBy("run").parquet(f"{target}/sales")
+    stored = spark.read.schema(sales.withColumn("run", run).schema).parquet(f"{target}/sales")
+    for number in range(len(ARRIVALS) + 1):
+        if number == len(ARRIVALS):
+            baselines.compact_baselines(spark, f"{target}/log", number - 1)
+        stored.filter(F.col("run") == number).drop("run").write.parquet(f"{target}/landing/{number}")
+        stream = spark.readStream.schema(sales.schema).parquet(f"{target}/landing/*")
+        baselines.score_and_learn(
+            stream, target, f"{target}/checkpoint", "particulars", "debit_amount"
+        ).awaitTermination()
+    return target
+
+
+def stream_growing_baselines(spark, folder):
+    """Baselines after all batches: those of all rows at once."""
+    grown = baselines.read_baselines(spark, f"{_grown(spark, folder)}/log", "particulars")
+    return anomalies.rounded_baseline(grown, "particulars")
+
+
+def stream_growing_flags(spark, folder):
+    """Sales outside the range that the batches before theirs gave their customer."""
+    flags = spark.read.parquet(f"{_grown(spark, folder)}/flags")
+    return flags.select(
+        iso(F.col("txn_date")).alias("txn_date"), "vch_no", F.col("entity").alias("customer"), "amount", "entity_mean",
+        "expected_low", "expected_high", "deviation_pct", "flag_type",
+    )
+
+
 def _ingested(spark, raw, files_per_batch):
     """Every raw row arrives in two books; each numbered voucher is kept from the first."""
     target = shared_folder(spark, "ingest")
@@ -556,4 +596,6 @@ def registry() -> dict[str, Query]:
         "stream_daily_totals": stream_daily_totals,
         "stream_monthly_totals": stream_monthly_totals,
         "stream_scoring": stream_scoring,
+        "stream_growing_baselines": stream_growing_baselines,
+        "stream_growing_flags": stream_growing_flags,
     }

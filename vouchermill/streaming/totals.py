@@ -3,10 +3,6 @@
 Every batch stores the sums of its own rows under its number; readers add the
 parts up. No day ever closes and no state is kept, so a row counts however late
 it comes, and the result does not depend on how rows fall into batches.
-
-    target/kind=batch/number=N   sums of batch N
-    target/kind=base/number=K    sums of all batches up to K
-    target/kind=done/number=K    says that base K is whole
 """
 
 from __future__ import annotations
@@ -14,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vouchermill.streaming.batch_log import is_folded, mark_folded, part_folder, read_parts
+
 LOG = "day date, category string, rows long, amount decimal(28,2), kind string, number long"
 
 
@@ -25,35 +23,21 @@ def daily_totals(rows: DataFrame, ts: str, category: str, amount: str) -> DataFr
     return totals.select("day", "category", "rows", "amount")
 
 
-def _folder(target: str, kind: str, number: int) -> str:
-    return f"{target}/kind={kind}/number={number}"
-
-
 def write_daily_totals(stream: DataFrame, target: str, checkpoint: str, ts: str, category: str, amount: str) -> StreamingQuery:
     """Store the totals of each batch under its number. A batch that is repeated
     after a failure overwrites its own folder, so the log holds every batch once."""
 
     def save(batch: DataFrame, number: int) -> None:
-        daily_totals(batch, ts, category, amount).write.mode("overwrite").parquet(_folder(target, "batch", number))
+        daily_totals(batch, ts, category, amount).write.mode("overwrite").parquet(part_folder(target, "batch", number))
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
     )
 
 
-def _parts(spark: SparkSession, target: str, upto: int | None = None) -> DataFrame:
-    """The last whole base and the batches after it, all up to a batch number."""
-    log = spark.read.schema(LOG).parquet(target)
-    if upto is not None:
-        log = log.filter(F.col("number") <= upto)
-    base = F.coalesce(log.filter(F.col("kind") == "done").agg(F.max("number").alias("n")).scalar(), F.lit(-1))
-    own = ((F.col("kind") == "base") & (F.col("number") == base)) | ((F.col("kind") == "batch") & (F.col("number") > base))
-    return log.filter(own)
-
-
 def read_daily_totals(spark: SparkSession, target: str) -> DataFrame:
     """Total of each day and category over all batches."""
-    return _added(_parts(spark, target))
+    return _added(read_parts(spark, target, LOG))
 
 
 def _added(parts: DataFrame) -> DataFrame:
@@ -69,12 +53,10 @@ def compact_daily_totals(spark: SparkSession, target: str, upto: int) -> None:
     batches from then on. Running it again writes the same rows again; one that
     was interrupted left no mark and is simply repeated.
     """
-    done = spark.read.schema(LOG).parquet(target).filter((F.col("kind") == "done") & (F.col("number") >= upto))
-    if not done.isEmpty():
+    if is_folded(spark, target, LOG, upto):
         return
-    _added(_parts(spark, target, upto)).write.mode("overwrite").parquet(_folder(target, "base", upto))
-    mark = spark.range(1).select(F.lit(None).cast("date").alias("day"))
-    mark.write.mode("overwrite").parquet(_folder(target, "done", upto))
+    _added(read_parts(spark, target, LOG, upto)).write.mode("overwrite").parquet(part_folder(target, "base", upto))
+    mark_folded(spark, target, upto, "day", "date")
 
 
 def monthly_rollup(daily: DataFrame) -> DataFrame:
