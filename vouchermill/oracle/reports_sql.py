@@ -375,6 +375,29 @@ from (select *, gross_sales - purchase as blueprint_margin, receipts - payments
   group by 1) using (fiscal_year)""",
     _measures(True),
 )
+_SLICES = (("fiscal_year", "quarter"), ("fiscal_year", "'all'"), ("'all'", "quarter"), ("'all'", "'all'"))
+_SLICED = "gross_sales purchase receipts payments net_sales gross_margin net_profit net_cash".split()
+# one grouping per slice, with a distinct count of its own
+S["measures_by_slicers"] = with_ledger(
+    f"""select fiscal_year, quarter, {', '.join(f'{r(c, 2)} as {c}' for c in _SLICED)},
+ {r('coalesce(' + pct('gross_margin', 'net_sales') + ', 0)', 1)} as gross_margin_pct,
+ {r('coalesce(' + mean('gross_sales', 'sales_vouchers') + ', 0)', 2)} as avg_invoice_value,
+ sales_vouchers, active_customers, parties from full_m""",
+    "sliced as ("
+    + " union all ".join(f"select ledger.* replace ({y} as fiscal_year, {q} as quarter) from ledger" for y, q in _SLICES)
+    + "),\n"
+    + _measures(False, keys="fiscal_year, quarter").replace("from ledger", "from sliced"),
+)
+S["customers_by_slicers"] = with_ledger(
+    " union all ".join(
+        f"""select customer, fiscal_year, quarter, {r('sold', 2)} as gross_sales, {r('got', 2)} as receipts, sales_vouchers,
+ {r('coalesce(' + mean('sold', 'sales_vouchers') + ', 0)', 2)} as avg_invoice_value
+from (select particulars as customer, {y} as fiscal_year, {q} as quarter, {cat('Sales', 'debit_amount')} as sold,
+ {cat('Receipt', 'credit_amount')} as got, count(case when txn_category = 'Sales' then vch_no end) as sales_vouchers
+ from canon where txn_category in ('Sales', 'Receipt') and particulars is not null group by 1, 2, 3)"""
+        for y, q in _SLICES
+    )
+)
 
 
 def _cards(where):

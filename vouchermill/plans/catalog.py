@@ -12,7 +12,7 @@ from vouchermill.functions.calendar import iso
 from vouchermill.functions.categories import categorise_exact, categorise_pattern, party_contains
 from vouchermill.functions.numeric import half_up
 from vouchermill.operators import anomalies, cleaning, customers, forecast, margin, overlap, parties, reports
-from vouchermill.operators import settlement
+from vouchermill.operators import settlement, slicers
 from vouchermill.plans import feeds
 from vouchermill.schemas import LEDGER
 from vouchermill.session import shared_folder
@@ -551,6 +551,8 @@ def registry() -> dict[str, Query]:
         "simple_line": _trade(m.simple_line),
         # measures
         "measures_by_fy": _over(r.measures_by_year),
+        "measures_by_slicers": _over(slicers.measures_by_slicers),
+        "customers_by_slicers": lambda s, d: slicers.customers_by_slicers(_canonical(s, d, ("Sales", "Receipt"))),
         # feeds
         "feed_kpi_cards": _over(f.kpi_cards),
         "feed_kpi_cards_sliced": lambda s, d: f.kpi_cards(
