@@ -335,3 +335,47 @@ S["days_to_payment"] = with_ledger(
  min(days) as min_days, max(days) as max_days from fifo group by customer""",
     FIFO,
 )
+
+
+# what the matched pieces up to a date leave of each day; the Spark form cuts running totals instead
+def _open(as_of):
+    return f"""{FIFO},
+ref as (select {as_of} as as_of),
+upto as (select day_t.*, as_of, date_diff('day', txn_date, as_of) as age_days from day_t, ref where txn_date <= as_of),
+paid as (select customer, invoice_date as txn_date, sum(matched) as m from fifo, ref
+  where invoice_date <= as_of and receipt_date <= as_of group by 1, 2),
+used as (select customer, receipt_date as txn_date, sum(matched) as m from fifo, ref
+  where invoice_date <= as_of and receipt_date <= as_of group by 1, 2),
+items as (
+ select customer, 'invoice' as kind, txn_date, i as amount, i - coalesce(m, 0) as left_over, age_days
+  from upto left join paid using (customer, txn_date) where i > 0
+ union all
+ select customer, 'advance', txn_date, c, c - coalesce(m, 0), age_days
+  from upto left join used using (customer, txn_date) where c > 0)"""
+
+
+_BANDS = (("0-30", 0, 30), ("31-60", 31, 60), ("61-90", 61, 90), ("91+", 91, 999999))
+S["open_items"] = with_ledger(
+    f"""select customer, kind, {iso('txn_date')} as txn_date, {r('amount', 2)} as amount,
+ {r('left_over', 2)} as open_amount, age_days,
+ case {' '.join(f"when age_days between {a} and {b} then '{n}'" for n, a, b in _BANDS)} end as age_band
+from items where left_over > 0""",
+    _open("date '2001-03-31'"),
+)
+
+
+def _band_sum(a, b):
+    return r(f"sum(case when kind = 'invoice' and age_days between {a} and {b} then left_over else 0 end)", 2)
+
+
+S["ageing_report"] = with_ledger(
+    f"""select customer, {r("sum(case when kind = 'invoice' then amount else 0 end)", 2)} as invoiced,
+ {r("sum(case when kind = 'advance' then amount else 0 end)", 2)} as received,
+ {r("sum(case when kind = 'invoice' then amount - left_over else 0 end)", 2)} as settled,
+ {_band_sum(0, 999999)} as open_amount, {_band_sum(0, 30)} as open_0_to_30, {_band_sum(31, 60)} as open_31_to_60,
+ {_band_sum(61, 90)} as open_61_to_90, {_band_sum(91, 999999)} as open_91_on,
+ {r("sum(case when kind = 'advance' then left_over else 0 end)", 2)} as advances,
+ max(case when kind = 'invoice' and left_over > 0 then age_days end) as oldest_open_days
+from items group by customer""",
+    _open("(select max(txn_date) from day_t)"),
+)

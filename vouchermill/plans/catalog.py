@@ -582,6 +582,8 @@ def registry() -> dict[str, Query]:
         "order_frequency": lambda s, d: r.order_frequency(_canonical(s, d)),
         "fifo_settlement": lambda s, d: settlement.settlement_table(_canonical(s, d, ("Sales", "Receipt"))),
         "days_to_payment": lambda s, d: settlement.days_to_payment(_canonical(s, d, ("Sales", "Receipt"))),
+        "open_items": lambda s, d: settlement.open_items_table(_canonical(s, d, ("Sales", "Receipt")), AS_OF),
+        "ageing_report": lambda s, d: settlement.ageing_report(_canonical(s, d, ("Sales", "Receipt"))),
         "declining_customers": lambda s, d: c.declining_customers(_canonical(s, d), PRIOR, CURRENT),
         "revenue_by_product_type": lambda s, d: r.revenue_by_product_type(
             read_table(s, d, "lineitem"), read_table(s, d, "part")
