@@ -1,6 +1,6 @@
 from decimal import Decimal
 
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from conftest import rows_of
 from vouchermill.config import CATEGORY_PATTERNS, VOUCHER_TYPES
@@ -85,3 +85,37 @@ def test_pattern_rules_in_order(spark):
 def test_party_contains(spark):
     df = spark.createDataFrame([("Owner CAPITAL a/c", True), ("Cap", False), (None, False)], "particulars string, want boolean")
     assert df.filter(party_contains("Capital") != F.col("want")).count() == 0
+
+
+def test_dropped_rows_have_the_reason_of_the_first_step(spark):
+    got = [(r["txn_date"], r["reason"]) for r in rows_of(cleaning.rejected_rows(spark.createDataFrame(RAW, RAW_DAYBOOK)))]
+    assert got == [
+        ("Company", "bad date"), ("Date", "repeated header"), ("Inwards Qty", "repeated header"),
+        ("not a date", "bad date"), ("31-02-2024", "bad date"),
+        *[("2024-05-03", "summary row")] * 4, *[("2024-05-03", "no party")] * 2, ("2024-05-03", "summary row"), ("2024-05-04", "summary row"),
+    ]
+
+
+def test_counts_come_from_the_pass_that_cleans(spark, tmp_path):
+    raw = spark.createDataFrame(RAW, RAW_DAYBOOK)
+    counts = Observation()
+    kept = cleaning.clean_daybook(cleaning.observe_cleaning(raw, counts), "x")
+    kept.write.parquet(str(tmp_path / "clean"))
+    steps = {r["name"]: r for r in rows_of(cleaning.cleaning_steps(spark, counts))}
+    rejected = cleaning.rejected_rows(raw).groupBy("reason").count().collect()
+    assert {r["reason"]: r["count"] for r in rejected} == {
+        n: r["dropped"] for n, r in steps.items() if r["dropped"]
+    }
+    assert steps["raw"]["rows"] == len(RAW)
+    assert steps["summary row"]["rows"] == kept.count() == clean(spark).count()
+    assert (steps["no debit"]["rows"], steps["no credit"]["rows"]) == (1, 1)  # abc and x
+
+
+def test_counts_without_rows_and_with_other_columns(spark, tmp_path):
+    raw = spark.createDataFrame([], RAW_DAYBOOK)
+    counts = Observation()
+    cleaning.observe_cleaning(raw, counts).write.parquet(str(tmp_path / "none"))
+    assert {r["rows"] for r in rows_of(cleaning.cleaning_steps(spark, counts))} == {0}
+    wide = spark.createDataFrame(RAW[2:3], RAW_DAYBOOK).withColumns({"_reason": F.lit("mine"), "_row": F.lit(1)})
+    counts = Observation()
+    assert rows_of(cleaning.observe_cleaning(wide, counts)) == rows_of(wide)

@@ -67,6 +67,27 @@ S["clean_daybook"] = f"""with {CLEAN}
 select {iso('txn_date')} as txn_date, particulars, vch_type, vch_no, {_AMOUNTS}, txn_category, fiscal_year,
  'book-a' as source_year, month_num, fiscal_month_num, month_name, day_of_week, quarter from clean"""
 
+_FLAGGED = f"""{RAW},
+dated as (select *, lower(trim(c1, {_BLANK})) as p,
+  coalesce(try_strptime(trim(c0), '%Y-%m-%d'), try_strptime(trim(c0), '%d-%m-%Y')) as parsed from raw),
+flagged as (select *, case when c0 in ('Date', 'Inwards Qty') then 'repeated header'
+  when parsed is null then 'bad date' when coalesce(p, '') = '' then 'no party'
+  when p in ('nan', 'total', 'closing balance', 'opening balance') or p like 'total%' or p like 'grand%'
+  then 'summary row' end as reason from dated)"""
+S["rejected_rows"] = f"""with {_FLAGGED}
+select reason, c0 as txn_date, c1 as particulars, c2 as vch_type, c3 as vch_no, c4 as debit_amount,
+ c5 as credit_amount from flagged where reason is not null"""
+# rows left are counted by undoing the steps one at a time
+S["cleaning_steps"] = f"""with {_FLAGGED},
+gone(step, name) as (values (0, 'raw'), (1, 'repeated header'), (2, 'bad date'), (3, 'no party'), (4, 'summary row'))
+select cast(step as integer) as step, name, (select count(*) from flagged where reason = name) as dropped,
+ (select count(*) from flagged where reason is null
+  or reason in (select later.name from gone as later where later.step > gone.step)) as rows from gone
+union all select 5, 'no debit', 0, count(*) from flagged
+ where reason is null and trim(c4) <> '' and try_cast(c4 as decimal(18,2)) is null
+union all select 6, 'no credit', 0, count(*) from flagged
+ where reason is null and trim(c5) <> '' and try_cast(c5 as decimal(18,2)) is null"""
+
 S["stream_ingest"] = f"""with {CLEAN}
 select {iso('txn_date')} as txn_date, particulars, vch_type, vch_no, {_AMOUNTS}, txn_category, fiscal_year from clean"""
 

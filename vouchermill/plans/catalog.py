@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from vouchermill.functions import calendar as cal
 from vouchermill.functions.calendar import iso
@@ -71,6 +71,22 @@ def clean_daybook(spark, folder):
     )
 
 
+def rejected_rows(spark, folder):
+    return cleaning.rejected_rows(tables.raw_daybook(spark, folder)).select(
+        "reason", "txn_date", "particulars", "vch_type", "vch_no", "debit_amount", "credit_amount"
+    )
+
+
+def cleaning_steps(spark, folder):
+    """Counts of every cleaning step, taken while the clean ledger is written from the landed sheet."""
+    target = shared_folder(spark, "cleaning")
+    tables.raw_daybook(spark, folder).write.option("header", False).csv(f"{target}/landing")
+    counts = Observation()
+    raw = cleaning.observe_cleaning(read_daybook(spark, f"{target}/landing"), counts)
+    cleaning.clean_daybook(raw, "book-a").write.parquet(f"{target}/clean")
+    return cleaning.cleaning_steps(spark, counts)
+
+
 def _label_counts(categorise):
     def query(spark, folder):
         raw = tables.raw_daybook(spark, folder)
@@ -451,6 +467,8 @@ def registry() -> dict[str, Query]:
     return {
         # cleaning and derived columns
         "clean_daybook": clean_daybook,
+        "rejected_rows": rejected_rows,
+        "cleaning_steps": cleaning_steps,
         "categorise_exact": _label_counts(categorise_exact),
         "categorise_pattern": _label_counts(categorise_pattern),
         "drop_zero_rows": _counts_after(cleaning.drop_zero_rows),
