@@ -114,3 +114,17 @@ def customers_by_slicers(ledger: DataFrame) -> DataFrame:
         "sales_vouchers",
         half_up(average, 2).alias("avg_invoice_value"),
     )
+
+
+def ledger_of_days(stored: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows of a stored ledger on the days of a filtered calendar.
+
+    The calendar names each day's fiscal year, by which the ledger is partitioned: the
+    folders of years that the filter leaves no day of are pruned when the query runs.
+    Days that occur twice do not double rows; days outside the ledger match nothing.
+    """
+    keys = days.select(F.col("date").alias("_day"), F.col("fy").alias("_fy"))
+    # a calendar has one row per day of history, some ten thousand at most
+    return stored.join(
+        F.broadcast(keys), (F.col("fiscal_year") == F.col("_fy")) & (F.col("txn_date") == F.col("_day")), "left_semi"
+    )

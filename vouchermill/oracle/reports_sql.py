@@ -467,4 +467,14 @@ S["stream_monthly_totals"] = f"""select strftime(ts, '%Y-%m') as month, event_ty
 S["stream_daily_totals"] = f"""select strftime(ts, '%Y-%m-%d') as day, event_type as category, count(*) as rows,
  {r('sum(cast(value as decimal(18,2)))', 2)} as amount from events group by 1, 2"""
 
-
+_STORED_AMOUNTS = f"{r('sum(debit_amount)', 2)} as debit, {r('sum(credit_amount)', 2)} as credit"
+S["stored_week_53"] = with_ledger(
+    f"""select {iso('txn_date')} as txn_date, fiscal_year, txn_category, count(*) as rows, {_STORED_AMOUNTS}
+from ledger where weekofyear(txn_date) = 53 group by txn_date, fiscal_year, txn_category"""
+)
+S["stored_year_replaced"] = with_ledger(
+    f"""select fiscal_year, txn_category, count(*) as rows, {_STORED_AMOUNTS} from (
+ select * replace (case when fiscal_year = '1999-00' and txn_category = 'Sales' then debit_amount + 1
+  else debit_amount end as debit_amount) from ledger where not (fiscal_year = '1999-00' and txn_category = 'Contra'))
+group by fiscal_year, txn_category"""
+)

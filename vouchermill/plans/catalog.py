@@ -18,6 +18,7 @@ from vouchermill.schemas import LEDGER
 from vouchermill.session import shared_folder
 from vouchermill.sources import trade_tables as tables
 from vouchermill.sources.readers import read_clean_ledger, read_daybook, read_register, read_table
+from vouchermill.sources.ledger_store import read_store, replace_years
 from vouchermill.sources.writers import write_ledger, write_result
 from vouchermill.streaming import baselines, ingest, scoring, totals
 
@@ -435,6 +436,36 @@ def _stored_ledger(spark, folder) -> DataFrame:
     return read_clean_ledger(spark, target)
 
 
+def stored_week_53(spark, folder):
+    """Rows and amounts on the days of an ISO week 53, which few fiscal years have."""
+    stored = _stored_ledger(spark, folder)
+    days = cal.ledger_calendar(stored).filter(F.col("week_no") == 53)
+    t = slicers.ledger_of_days(stored, days).groupBy("txn_date", "fiscal_year", "txn_category").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("debit_amount").alias("d"), F.sum("credit_amount").alias("c")
+    )
+    return t.select(
+        iso(F.col("txn_date")).alias("txn_date"), "fiscal_year", "txn_category", "rows",
+        half_up(F.col("d"), 2).alias("debit"), half_up(F.col("c"), 2).alias("credit"),
+    )
+
+
+def stored_year_replaced(spark, folder):
+    """A store of all years, of which one comes again with other sales and without transfers."""
+    stored = _stored_ledger(spark, folder)
+    store = shared_folder(spark, "ledger-store")
+    years = [r.fiscal_year for r in stored.select("fiscal_year").distinct().collect()]
+    replace_years(stored, store, tuple(years))
+    again = cal.of_fiscal_years(read_store(spark, store), FY).filter(F.col("txn_category") != "Contra")
+    more = F.when(F.col("txn_category") == "Sales", F.col("debit_amount") + 1).otherwise(F.col("debit_amount"))
+    replace_years(again.withColumn("debit_amount", more.cast("decimal(18,2)")), store, (FY,))
+    t = read_store(spark, store).groupBy("fiscal_year", "txn_category").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("debit_amount").alias("d"), F.sum("credit_amount").alias("c")
+    )
+    return t.select(
+        "fiscal_year", "txn_category", "rows", half_up(F.col("d"), 2).alias("debit"), half_up(F.col("c"), 2).alias("credit")
+    )
+
+
 def stored_daybook(spark, folder):
     """Day-book rows through a CSV file and the cleaning steps."""
     target = shared_folder(spark, "daybook")
@@ -610,6 +641,8 @@ def registry() -> dict[str, Query]:
         "stored_ledger_revenue": lambda s, d: r.monthly_revenue_fy(_stored_ledger(s, d), FY),
         "stored_ledger_profile": lambda s, d: r.ledger_profile(_stored_ledger(s, d)),
         "stored_ledger_comparison": lambda s, d: r.yoy_comparison(_stored_ledger(s, d), PRIOR, CURRENT),
+        "stored_week_53": stored_week_53,
+        "stored_year_replaced": stored_year_replaced,
         "stored_daybook": stored_daybook,
         "stored_register": stored_register,
         # streaming
