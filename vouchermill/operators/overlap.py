@@ -28,6 +28,24 @@ def resolve_overlap(a: DataFrame, b: DataFrame, start: dt.date) -> DataFrame:
     return untouched.unionByName(only_a.select(*a.columns)).unionByName(b.filter(late).select(*a.columns))
 
 
+def resolve_stored_overlap(
+    a: DataFrame, a_unnumbered: DataFrame, b: DataFrame, b_unnumbered: DataFrame, start: dt.date
+) -> DataFrame:
+    """As :func:`resolve_overlap`, for tables bucketed by voucher number: buckets meet buckets, nothing is shuffled.
+
+    The number alone is the join key, since that is what the tables are dealt by. The
+    hint keeps the merge join where Spark would otherwise broadcast or hash a side.
+    """
+    late = F.col("txn_date") >= F.lit(start)
+    taken = b.filter(late).select("vch_no").hint("merge")
+    only_a = a.filter(late).join(taken, "vch_no", "left_anti").select(*a.columns)
+    parts = (a.filter(~late), a_unnumbered, b.filter(late), b_unnumbered.filter(late))
+    out = only_a
+    for p in parts:
+        out = out.unionByName(p.select(*a.columns))
+    return out
+
+
 def overlap_report(a: DataFrame, b: DataFrame, start: dt.date) -> DataFrame:
     """Row counts of the overlap: in ``a``, in ``b``, removed and kept."""
     late = F.col("txn_date") >= F.lit(start)

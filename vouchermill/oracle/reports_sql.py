@@ -478,3 +478,8 @@ S["stored_year_replaced"] = with_ledger(
   else debit_amount end as debit_amount) from ledger where not (fiscal_year = '1999-00' and txn_category = 'Contra'))
 group by fiscal_year, txn_category"""
 )
+S["stored_duplicate_vouchers"] = with_ledger(
+    "select vch_no, count(*) as count from (select vch_no from a union all select vch_no from b)"
+    " where vch_no is not null group by vch_no having count(*) > 1",
+    _SOURCES,
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -19,6 +20,7 @@ from vouchermill.session import shared_folder
 from vouchermill.sources import trade_tables as tables
 from vouchermill.sources.readers import read_clean_ledger, read_daybook, read_register, read_table
 from vouchermill.sources.ledger_store import read_store, replace_years
+from vouchermill.sources.voucher_tables import numbered_rows, unnumbered_rows, write_by_voucher
 from vouchermill.sources.writers import write_ledger, write_result
 from vouchermill.streaming import baselines, ingest, scoring, totals
 
@@ -466,6 +468,33 @@ def stored_year_replaced(spark, folder):
     )
 
 
+#: buckets of the stored voucher tables
+VOUCHER_BUCKETS = 32
+
+
+def _by_voucher(spark, rows, purpose):
+    """Rows stored in buckets of the voucher number: the numbered ones and the others."""
+    path, table = shared_folder(spark, purpose), f"{purpose}_{uuid.uuid4().hex}"
+    write_by_voucher(rows, path, table, VOUCHER_BUCKETS)
+    return numbered_rows(spark, table), unnumbered_rows(spark, path, rows.schema)
+
+
+def stored_overlap(spark, folder):
+    """Two stored books with common days, joined bucket by bucket."""
+    a, b = _two_sources(spark, folder)
+    found = overlap.resolve_stored_overlap(
+        *_by_voucher(spark, a, "first_book"), *_by_voucher(spark, b, "second_book"), OVERLAP_START
+    )
+    return _rows(found, "txn_date", "particulars", "vch_no", "debit_amount", "credit_amount", "source_year")
+
+
+def stored_duplicate_vouchers(spark, folder):
+    """Numbers that both books of a stored ledger use, counted within their buckets."""
+    a, b = _two_sources(spark, folder)
+    numbered, _ = _by_voucher(spark, a.unionByName(b), "both_books")
+    return reports.duplicate_vouchers(numbered)
+
+
 def stored_daybook(spark, folder):
     """Day-book rows through a CSV file and the cleaning steps."""
     target = shared_folder(spark, "daybook")
@@ -643,6 +672,8 @@ def registry() -> dict[str, Query]:
         "stored_ledger_comparison": lambda s, d: r.yoy_comparison(_stored_ledger(s, d), PRIOR, CURRENT),
         "stored_week_53": stored_week_53,
         "stored_year_replaced": stored_year_replaced,
+        "stored_overlap": stored_overlap,
+        "stored_duplicate_vouchers": stored_duplicate_vouchers,
         "stored_daybook": stored_daybook,
         "stored_register": stored_register,
         # streaming
