@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vouchermill.config import CRORE
 from vouchermill.functions.categories import is_category, party_contains
 from vouchermill.functions.numeric import half_up, percent, ratio
 
+#: puts party names in place of the codes of a column, keeping rows and the order of columns
+Names = Callable[[DataFrame], DataFrame]
+
 
 def _zero() -> Column:
     return F.lit(0).cast("decimal(18,2)")
@@ -86,39 +91,45 @@ def derived_measures() -> dict[str, Column]:
     }
 
 
-def measure_totals(df: DataFrame, keys: list, any_category: bool = False) -> DataFrame:
-    """Every additive and derived measure per key, one pass over the rows.
-
-    All measures are sums by category, so rows collapse to one per key and
-    category first: two sums a row in place of one per measure.
-    """
+def _by_category(df: DataFrame, keys: list) -> DataFrame:
+    """Sums by category: two a row in place of one per measure."""
     sales = is_category("Sales")
-    rows = df.groupBy(
-        *keys,
-        "txn_category",
-        _keyword("capital", any_category).alias("_drawings"),
-        _keyword("loan", any_category).alias("_loans"),
-    ).agg(
+    return df.groupBy(*keys, "txn_category").agg(
         F.sum("debit_amount").alias("debit_amount"),
         F.sum("credit_amount").alias("credit_amount"),
         F.count(F.when(sales, F.col("vch_no"))).alias("_vouchers"),
         F.count(F.when(sales, F.lit(1))).alias("_sales"),
     )
-    measures = _additive(F.col("_drawings"), F.col("_loans"), F.sum("_vouchers"), F.sum("_sales"))
+
+
+def measure_totals(df: DataFrame, keys: list, any_category: bool = False, names: Names | None = None) -> DataFrame:
+    """Every additive and derived measure per key, one pass over the rows.
+
+    All measures are sums by category, so rows collapse to one per key and
+    category first. A ledger whose parties are codes collapses per party as well;
+    ``names`` then puts the names in, and only those groups meet the dimension.
+    """
+    if names:
+        rows = names(_by_category(df, [*keys, "particulars"]))
+        drawings, loans = _keyword("capital", any_category), _keyword("loan", any_category)
+    else:
+        words = [_keyword("capital", any_category).alias("_drawings"), _keyword("loan", any_category).alias("_loans")]
+        rows = _by_category(df, [*keys, *words])
+        drawings, loans = F.col("_drawings"), F.col("_loans")
+    measures = _additive(drawings, loans, F.sum("_vouchers"), F.sum("_sales"))
     totals = rows.groupBy(*rows.columns[: len(keys)]).agg(*[c.alias(n) for n, c in measures.items()])
     return totals.withColumns(derived_measures())
 
 
-def measures_per_party(df: DataFrame, keys: list, any_category: bool = False, party: str = "particulars") -> DataFrame:
+def measures_per_party(
+    df: DataFrame, keys: list, any_category: bool = False, party: str = "particulars", names: Names | None = None
+) -> DataFrame:
     """Additive measures per key and party. Rows collapse to one per party and
-    category first, so names are searched once a group and not once a row."""
-    sales = is_category("Sales")
-    rows = df.groupBy(*keys, party, "txn_category").agg(
-        F.sum("debit_amount").alias("debit_amount"),
-        F.sum("credit_amount").alias("credit_amount"),
-        F.count(F.when(sales, F.col("vch_no"))).alias("_vouchers"),
-        F.count(F.when(sales, F.lit(1))).alias("_sales"),
-    )
+    category first, so names are searched (and by ``names`` put in place of codes)
+    once a group and not once a row."""
+    rows = _by_category(df, [*keys, party])
+    if names:
+        rows = names(rows)
     measures = _additive(
         _keyword("capital", any_category), _keyword("loan", any_category), F.sum("_vouchers"), F.sum("_sales")
     )

@@ -17,6 +17,7 @@ from vouchermill.functions.calendar import (
 )
 from vouchermill.functions.categories import is_category
 from vouchermill.functions.measures import (
+    Names,
     count_where,
     crores,
     derived_measures,
@@ -110,13 +111,22 @@ def pareto_ranked(ledger: DataFrame, n: int = 15) -> DataFrame:
     ).orderBy("rank")
 
 
-def supplier_totals(register: DataFrame) -> DataFrame:
+def supplier_totals(register: DataFrame, names: Names | None = None) -> DataFrame:
+    """Spend per supplier. With ``names`` the register holds codes, which are named once a supplier; suppliers
+    of one name count as one."""
     totals = register.groupBy("supplier_name").agg(
         F.sum("purchase_amount").alias("s"),
         F.count(F.lit(1)).alias("num_bills"),
         F.min("txn_date").alias("first_purchase"),
         F.max("txn_date").alias("last_purchase"),
     )
+    if names:
+        totals = names(totals).groupBy("supplier_name").agg(
+            F.sum("s").alias("s"),
+            F.sum("num_bills").alias("num_bills"),
+            F.min("first_purchase").alias("first_purchase"),
+            F.max("last_purchase").alias("last_purchase"),
+        )
     return totals.select(
         "supplier_name",
         half_up(F.col("s"), 0).alias("total_spend"),
@@ -127,8 +137,8 @@ def supplier_totals(register: DataFrame) -> DataFrame:
     )
 
 
-def supplier_spend(register: DataFrame, n: int = 15) -> DataFrame:
-    return supplier_totals(register).orderBy(F.col("total_spend").desc(), "supplier_name").limit(n)
+def supplier_spend(register: DataFrame, n: int = 15, names: Names | None = None) -> DataFrame:
+    return supplier_totals(register, names).orderBy(F.col("total_spend").desc(), "supplier_name").limit(n)
 
 
 def monthly_sales_purchase(ledger: DataFrame, keys: tuple = ()) -> DataFrame:
@@ -246,7 +256,8 @@ def quarterly_performance(ledger: DataFrame) -> DataFrame:
     ).orderBy("fiscal_year", "quarter")
 
 
-def top_buyers(register: DataFrame, n: int = 10) -> DataFrame:
+def top_buyers(register: DataFrame, n: int = 10, names: Names | None = None) -> DataFrame:
+    """Buyers by revenue. With ``names`` the register holds codes, which are named once a buyer."""
     rows = register.filter(F.col("rate") > 0)
     totals = rows.groupBy("buyer_name").agg(
         F.sum("rate").alias("r"),
@@ -254,6 +265,9 @@ def top_buyers(register: DataFrame, n: int = 10) -> DataFrame:
         F.sum("gross_total").alias("g"),
         F.count(F.lit(1)).alias("num_orders"),
     )
+    if names:
+        sums = [F.sum(c).alias(c) for c in ("r", "q", "g", "num_orders")]
+        totals = names(totals).groupBy("buyer_name").agg(*sums)
     out = totals.select(
         "buyer_name",
         half_up(_mean("r", "num_orders"), 2).alias("avg_rate"),
@@ -272,10 +286,10 @@ SUMMARY_AMOUNTS = (
 )
 
 
-def financial_summary(ledger: DataFrame, fy: str | None = None) -> DataFrame:
+def financial_summary(ledger: DataFrame, fy: str | None = None, names: Names | None = None) -> DataFrame:
     """Profit and cash figures per fiscal year, in crores, with two ratios."""
     rows = of_fiscal_years(ledger, fy) if fy else ledger
-    totals = measure_totals(rows, [_year()])
+    totals = measure_totals(rows, [_year()], names=names)
     return totals.select(
         _year_text(),
         *[crores(F.col(n)).alias(n) for n in SUMMARY_AMOUNTS],
@@ -295,10 +309,10 @@ YOY_METRICS = {
 }
 
 
-def yoy_comparison(ledger: DataFrame, fy_a: str, fy_b: str) -> DataFrame:
+def yoy_comparison(ledger: DataFrame, fy_a: str, fy_b: str, names: Names | None = None) -> DataFrame:
     """Six metrics in long form with growth in percent, 0 when the base is 0."""
     rows = of_fiscal_years(ledger, fy_a, fy_b)
-    totals = measure_totals(rows, [_year()]).withColumn("fiscal_year", fiscal_label(F.col("_y")))
+    totals = measure_totals(rows, [_year()], names=names).withColumn("fiscal_year", fiscal_label(F.col("_y")))
     pairs = ", ".join(f"'{label}', cast({c} as decimal(38,2))" for label, c in YOY_METRICS.items())
     long = totals.select("fiscal_year", F.expr(f"stack({len(YOY_METRICS)}, {pairs}) as (metric, amount)"))
 
@@ -321,7 +335,7 @@ def category_counts(ledger: DataFrame) -> DataFrame:
     return counts.select(_year_text(), "txn_category", "rows").orderBy("fiscal_year", F.col("rows").desc(), "txn_category")
 
 
-def ledger_profile(ledger: DataFrame) -> DataFrame:
+def ledger_profile(ledger: DataFrame, names: Names | None = None) -> DataFrame:
     """Rows, date range and parties per fiscal year and over all years.
 
     One aggregate by year and party feeds both levels; parties of all years are
@@ -330,6 +344,10 @@ def ledger_profile(ledger: DataFrame) -> DataFrame:
     pairs = ledger.groupBy(_year(), "particulars").agg(
         F.count(F.lit(1)).alias("n"), F.min("txn_date").alias("lo"), F.max("txn_date").alias("hi")
     )
+    if names:
+        pairs = names(pairs).groupBy("_y", "particulars").agg(
+            F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+        )
     columns = [
         F.sum("n").alias("rows"),
         F.min("lo").alias("lo"),
@@ -357,13 +375,13 @@ def distinct_categories(ledger: DataFrame) -> DataFrame:
     return ledger.select("txn_category").distinct().orderBy("txn_category")
 
 
-def measures_by_year(ledger: DataFrame) -> DataFrame:
+def measures_by_year(ledger: DataFrame, names: Names | None = None) -> DataFrame:
     """All measures per fiscal year.
 
     Rows collapse to one per year and party first, so that distinct parties are
     counted and the largest party is found without expanding the rows.
     """
-    per_party = measures_per_party(ledger, [_year()], any_category=True)
+    per_party = measures_per_party(ledger, [_year()], any_category=True, names=names)
     years = per_party.groupBy("_y").agg(
         *[F.sum(n).alias(n) for n in per_party.columns[2:]],
         count_where((F.col("sales_rows") > 0) & F.col("particulars").isNotNull()).alias("active_customers"),

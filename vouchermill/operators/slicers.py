@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vouchermill.functions.calendar import fiscal_label, fiscal_quarter_num, fiscal_start_year
-from vouchermill.functions.measures import derived_measures, measures_per_party
+from vouchermill.functions.measures import Names, derived_measures, measures_per_party
 from vouchermill.functions.numeric import half_up
 
 #: what a slicer shows when it selects everything
@@ -22,10 +22,10 @@ RANGES = 256
 _AMOUNTS = ("gross_sales", "purchase", "receipts", "payments", "net_sales", "gross_margin", "net_profit", "net_cash")
 
 
-def per_period_party(ledger: DataFrame) -> DataFrame:
-    """Additive measures per fiscal year (``_y``), quarter (``_q``) and party."""
+def per_period_party(ledger: DataFrame, names: Names | None = None) -> DataFrame:
+    """Additive measures per fiscal year (``_y``), quarter (``_q``) and party; ``names`` as in the reports."""
     year = fiscal_start_year(F.col("txn_date")).alias("_y")
-    return measures_per_party(ledger, [year, fiscal_quarter_num(F.col("txn_date")).alias("_q")])
+    return measures_per_party(ledger, [year, fiscal_quarter_num(F.col("txn_date")).alias("_q")], names=names)
 
 
 def _additive(df: DataFrame) -> list[str]:
@@ -64,9 +64,9 @@ def _context(year_up: Column, quarter_up: Column) -> list[Column]:
     ]
 
 
-def measures_by_slicers(ledger: DataFrame) -> DataFrame:
+def measures_by_slicers(ledger: DataFrame, names: Names | None = None) -> DataFrame:
     """Measures, buyers and parties of every fiscal year, quarter, both and neither."""
-    bitmaps = party_bitmaps(per_period_party(ledger))
+    bitmaps = party_bitmaps(per_period_party(ledger, names))
     additive = [c for c in bitmaps.columns if not c.startswith("_")]
     block = ["_range", "_block"]
     sets = [[*block, *kept] for kept in (["_y", "_q"], ["_y"], ["_q"], [])]

@@ -48,6 +48,21 @@ def _over(
     return lambda spark, folder: operator(tables.ledger(spark, folder, categories, party, derived, years), **options)
 
 
+def _named(operator, **options) -> Query:
+    """Query whose rows collapse by party codes before names are joined."""
+    return lambda spark, folder: operator(
+        tables.ledger(spark, folder, party=tables.CODE, years=options.get("years", ())),
+        names=tables.with_names(spark, folder),
+        **{k: v for k, v in options.items() if k != "years"},
+    )
+
+
+def _supplier_report(operator) -> Query:
+    return lambda spark, folder: operator(
+        tables.purchase_register(spark, folder, tables.CODE), names=tables.with_names(spark, folder, "supplier_name", "s")
+    )
+
+
 def _rows(df: DataFrame, *columns) -> DataFrame:
     """Ledger rows in output form: ISO dates, amounts as DOUBLE."""
     return df.select(
@@ -234,7 +249,7 @@ def _churn(spark, folder):
 
 def _payment(spark, folder):
     rows = _canonical(spark, folder, ("Sales", "Receipt"))
-    return customers.payment_profile(rows, tables.ledger(spark, folder, party=False))
+    return customers.payment_profile(rows, tables.last_dates(spark, folder))
 
 
 def _churn_select(*columns):
@@ -552,7 +567,7 @@ def registry() -> dict[str, Query]:
         "monthly_revenue_fy": _over(r.monthly_revenue_fy, sales, party=False, fy=FY),
         "pareto_top": _over(r.pareto_top, sales),
         "pareto_ranked": _over(r.pareto_ranked, sales),
-        "supplier_spend": lambda s, d: r.supplier_spend(tables.purchase_register(s, d)),
+        "supplier_spend": _supplier_report(r.supplier_spend),
         "monthly_gross_margin": _trade(r.monthly_gross_margin),
         "cash_flow_receipt_debit": _over(r.cash_flow_receipt_debit, party=False),
         "cash_flow_receipt_credit": _over(r.cash_flow_receipt_credit, party=False),
@@ -560,17 +575,19 @@ def registry() -> dict[str, Query]:
         "volume_by_weekday": _over(r.volume_by_weekday, sales, party=False),
         "tax_liability": _over(r.tax_liability, party=False),
         "quarterly_performance": _over(r.quarterly_performance, party=False),
-        "top_buyers": lambda s, d: r.top_buyers(tables.sales_register(s, d)),
+        "top_buyers": lambda s, d: r.top_buyers(
+            tables.sales_register(s, d, tables.CODE), names=tables.with_names(s, d, "buyer_name", "c")
+        ),
         "zscore_outliers": lambda s, d: anomalies.zscore_outliers(
             _events(s, d), "value", ["event_id", "user_id"]
         ),
         "zscore_sales": _over(
             anomalies.zscore_outliers, sales, amount="debit_amount", columns=["vch_no", "particulars"], cut=1.5, high=1.7
         ),
-        "financial_summary": _over(r.financial_summary),
-        "yoy_comparison": _over(r.yoy_comparison, years=(PRIOR, CURRENT), fy_a=PRIOR, fy_b=CURRENT),
+        "financial_summary": _named(r.financial_summary),
+        "yoy_comparison": _named(r.yoy_comparison, years=(PRIOR, CURRENT), fy_a=PRIOR, fy_b=CURRENT),
         "category_counts": _over(r.category_counts, party=False),
-        "ledger_profile": _over(r.ledger_profile),
+        "ledger_profile": _named(r.ledger_profile),
         "invoice_summary_per_customer": lambda s, d: r.invoice_summary(_canonical(s, d)),
         "receipt_summary_per_customer": lambda s, d: c.receipt_summary(_canonical(s, d, ("Sales", "Receipt"))),
         "fy_split_per_customer": lambda s, d: c.fy_split_per_customer(_canonical(s, d), PRIOR, CURRENT),
@@ -628,11 +645,11 @@ def registry() -> dict[str, Query]:
         "what_if": _trade(m.what_if),
         "simple_line": _trade(m.simple_line),
         # measures
-        "measures_by_fy": _over(r.measures_by_year),
-        "measures_by_slicers": _over(slicers.measures_by_slicers),
+        "measures_by_fy": _named(r.measures_by_year),
+        "measures_by_slicers": _named(slicers.measures_by_slicers),
         "customers_by_slicers": lambda s, d: slicers.customers_by_slicers(_canonical(s, d, ("Sales", "Receipt"))),
         # feeds
-        "feed_kpi_cards": _over(f.kpi_cards),
+        "feed_kpi_cards": _named(f.kpi_cards),
         "feed_kpi_cards_sliced": lambda s, d: f.kpi_cards(
             f.slice_ledger(tables.ledger(s, d, derived=True, years=(FY,)), FY, "Q2")
         ),
@@ -646,7 +663,7 @@ def registry() -> dict[str, Query]:
         "feed_pareto_line": _over(f.pareto_line, sales),
         "feed_customer_month_matrix": _over(f.customer_month_matrix, sales, fy=FY),
         "feed_sales_by_quarter": _over(f.sales_by_quarter, sales, party=False, derived=True),
-        "feed_supplier_buckets": lambda s, d: f.supplier_buckets(tables.purchase_register(s, d)),
+        "feed_supplier_buckets": _supplier_report(f.supplier_buckets),
         "feed_cash_kpis": lambda s, d: f.cash_kpis(tables.ledger(s, d, CASH, False), _payment(s, d)),
         "feed_top_payers": _over(f.top_payers_per_month, ("Receipt",)),
         "feed_rfm_scatter": lambda s, d: f.rfm_scatter(_rfm(s, d)),

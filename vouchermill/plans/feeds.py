@@ -15,7 +15,7 @@ from vouchermill.functions.calendar import (
     month_name,
 )
 from vouchermill.functions.categories import is_category
-from vouchermill.functions.measures import base_measures, count_where, derived_measures, sum_of
+from vouchermill.functions.measures import Names, base_measures, count_where, derived_measures, sum_of
 from vouchermill.functions.numeric import half_up, percent, ratio
 from vouchermill.operators.anomalies import iqr_anomalies
 from vouchermill.operators.joins import attach_row, join_per_key
@@ -46,7 +46,7 @@ def slice_ledger(
     return out
 
 
-def kpi_cards(ledger: DataFrame) -> DataFrame:
+def kpi_cards(ledger: DataFrame, names: Names | None = None) -> DataFrame:
     """Revenue, margin ratio, net cash and active customers.
 
     Rows collapse to one per party first, so the distinct count needs no
@@ -57,6 +57,9 @@ def kpi_cards(ledger: DataFrame) -> DataFrame:
     per_party = ledger.groupBy("particulars").agg(
         *[c.alias(n) for n, c in base.items()], count_where(is_category("Sales")).alias("_n")
     )
+    if names:  # the ledger holds codes; parties of one name count as one
+        sums = [F.sum(n).alias(n) for n in (*base, "_n")]
+        per_party = names(per_party).groupBy("particulars").agg(*sums)
     t = per_party.agg(
         *[F.sum(n).alias(n) for n in base],
         count_where((F.col("_n") > 0) & F.col("particulars").isNotNull()).alias("active_customers"),
@@ -161,9 +164,11 @@ def sales_by_quarter(ledger: DataFrame) -> DataFrame:
     ).orderBy("fiscal_year")
 
 
-def supplier_buckets(register: DataFrame, edges: tuple = (1_000_000, 10_000_000, 20_000_000)) -> DataFrame:
+def supplier_buckets(
+    register: DataFrame, edges: tuple = (1_000_000, 10_000_000, 20_000_000), names: Names | None = None
+) -> DataFrame:
     """Supplier detail with a spend bucket: the number of edges reached."""
-    t = supplier_totals(register)
+    t = supplier_totals(register, names)
     bucket = F.lit(0)
     for e in edges:
         bucket = bucket + F.when(F.col("total_spend") >= e, 1).otherwise(0)

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vouchermill.functions.calendar import fiscal_year, fiscal_year_bounds, month_name, with_calendar
+from vouchermill.functions.measures import Names
 from vouchermill.functions.numeric import exact, from_cents, percent_of, whole_cents
 from vouchermill.schemas import AMOUNT
 from vouchermill.sources.readers import read_table
@@ -93,6 +94,41 @@ ORDER_NUMBER = ("o_orderkey",)
 LINE_NUMBER = ("l_orderkey", "l_linenumber")
 
 
+#: ``party`` of a ledger that holds codes
+CODE = "code"
+_CODE_MARK = "#"
+
+
+def _code(kind: str, key: Column) -> Column:
+    return F.concat(F.lit(_CODE_MARK + kind), key.cast("string"))
+
+
+def with_names(spark: SparkSession, folder: str, column: str = "particulars", kinds: str = "cs") -> Names:
+    """Function that puts names in place of codes; texts that are no codes stay, and a code whose party has no
+    row becomes NULL, as in the left join of rows with names. ``kinds`` says which dimensions occur: c and s."""
+    parts = []
+    if "c" in kinds:
+        c = read_table(spark, folder, "customer")
+        code, spelled = _code("c", F.col("c_custkey")), F.concat(F.lit("M/S "), F.upper("c_name"))
+        parts.append(c.select(code.alias("_code"), F.col("c_name").alias("_name")))
+        # the code of another spelling is made as that spelling is
+        other = c.filter(F.col("c_custkey") % 5 == 0)
+        parts.append(other.select(F.concat(F.lit("M/S "), F.upper(code)).alias("_code"), spelled.alias("_name")))
+    if "s" in kinds:
+        s = read_table(spark, folder, "supplier")
+        parts.append(s.select(_code("s", F.col("s_suppkey")).alias("_code"), F.col("s_name").alias("_name")))
+    names = parts[0]
+    for p in parts[1:]:
+        names = names.unionByName(p)
+
+    def named(df: DataFrame) -> DataFrame:
+        joined = df.join(names, F.col(column) == F.col("_code"), "left")
+        text = F.when(~F.col(column).contains(_CODE_MARK), F.col(column))
+        return joined.withColumn(column, F.coalesce("_name", text)).select(*df.columns)
+
+    return named
+
+
 def _order_vouchers(wanted: set[str]) -> list[Voucher]:
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     date = F.col("o_orderdate").cast("date")
@@ -171,12 +207,14 @@ def ledger(
     spark: SparkSession,
     folder: str,
     categories: tuple = ALL_CATEGORIES,
-    party: bool = True,
+    party: bool | str = True,
     derived: bool = False,
     years: tuple = (),
 ) -> DataFrame:
     """Day book with the asked categories; ``derived`` adds the calendar columns.
 
+    ``party="code"`` leaves codes in place of names, so that a report can collapse
+    the rows before ``with_names`` joins the dimensions.
     ``years`` names the fiscal years that the caller goes on to keep. The sources
     are then scanned for their dates only, and as far before as a voucher can be
     later than its source row.
@@ -195,7 +233,9 @@ def ledger(
     order_side = _order_vouchers(wanted)
     if order_side:
         rows = within(read_table(spark, folder, "orders"), "o_orderdate")
-        if party:
+        if party == CODE:
+            rows = rows.withColumn("c_name", _code("c", F.col("o_custkey")))
+        elif party:
             names = read_table(spark, folder, "customer").select("c_custkey", "c_name")
             rows = rows.join(names, rows.o_custkey == names.c_custkey, "left")
         else:
@@ -204,7 +244,9 @@ def ledger(
     line_side = _line_vouchers(wanted)
     if line_side:
         rows = within(read_table(spark, folder, "lineitem"), "l_shipdate")
-        if party:
+        if party == CODE:
+            rows = rows.withColumn("s_name", _code("s", F.col("l_suppkey")))
+        elif party:
             names = read_table(spark, folder, "supplier").select("s_suppkey", "s_name")
             rows = rows.join(names, rows.l_suppkey == names.s_suppkey, "left")
         else:
@@ -216,6 +258,17 @@ def ledger(
     return with_calendar(out) if derived else out
 
 
+def last_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Last voucher date of each source table, for reports that need the last day of the ledger only: the
+    voucher kinds are compared within the aggregate, no row is made for them."""
+    sides = (("orders", _order_vouchers(set(ORDER_CATEGORIES))), ("lineitem", _line_vouchers(set(LINE_CATEGORIES))))
+    parts = []
+    for table, vouchers in sides:
+        last = [F.max(v.date if v.where is None else F.when(v.where, v.date)) for v in vouchers]
+        parts.append(read_table(spark, folder, table).agg(F.greatest(*last).alias("txn_date")))
+    return parts[0].unionByName(parts[1])
+
+
 def party_alias(spark: SparkSession, folder: str) -> DataFrame:
     """Name variant and canonical name."""
     c = read_table(spark, folder, "customer").filter(F.col("c_custkey") % 5 == 0)
@@ -224,8 +277,8 @@ def party_alias(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def purchase_register(spark: SparkSession, folder: str) -> DataFrame:
-    p = ledger(spark, folder, ("Purchase",))
+def purchase_register(spark: SparkSession, folder: str, party: bool | str = True) -> DataFrame:
+    p = ledger(spark, folder, ("Purchase",), party)
     d = F.col("txn_date")
     return p.select(
         d,
@@ -238,13 +291,15 @@ def purchase_register(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def sales_register(spark: SparkSession, folder: str) -> DataFrame:
+def sales_register(spark: SparkSession, folder: str, party: bool | str = True) -> DataFrame:
     lines = read_table(spark, folder, "lineitem")
     orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    names = read_table(spark, folder, "customer").select("c_custkey", "c_name")
-    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(
-        names, orders.o_custkey == names.c_custkey, "left"
-    )
+    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    if party == CODE:
+        rows = rows.withColumn("c_name", _code("c", F.col("o_custkey")))
+    else:
+        names = read_table(spark, folder, "customer").select("c_custkey", "c_name")
+        rows = rows.join(names, rows.o_custkey == names.c_custkey, "left")
     date = F.col("l_shipdate").cast("date")
     quantity = F.col("l_quantity")
     net = percent_of(whole_cents(F.col("l_extendedprice")), 100 - whole_cents(F.col("l_discount")))
