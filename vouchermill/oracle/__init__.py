@@ -7,7 +7,7 @@ from vouchermill.oracle import customers_sql, models_sql, reports_sql
 STORED = {
     "stored_ledger_revenue": "monthly_revenue_fy", "stored_ledger_profile": "ledger_profile",
     "stored_ledger_comparison": "yoy_comparison", "stored_daybook": "clean_daybook", "stored_register": "supplier_spend",
-    "stored_overlap": "resolve_overlap",
+    "stored_ledger_csv": "monthly_revenue_fy", "stored_overlap": "resolve_overlap",
 }
 
 

@@ -257,6 +257,14 @@ S["iqr_baseline"] = with_ledger(
     _SIQR,
 )
 S["iqr_skipped"] = with_ledger("select particulars as entity, n as txn_count from q where n < 5", _SIQR)
+_BIQR = f"""bought as (select * from ledger where txn_category = 'Purchase' and credit_amount > 0),
+{iqr('bought', 'particulars', 'credit_amount')}"""
+S["iqr_supplier_baseline"] = with_ledger(
+    f"""select particulars as entity, n as txn_count, {r('mean', 0)} as entity_mean, {r('q1', 0)} as q1, {r('q3', 0)} as q3,
+ {r('iqr', 0)} as iqr, {r('low', 0)} as low_bound, {r('high', 0)} as high_bound from lim""",
+    _BIQR,
+)
+S["iqr_skipped_suppliers"] = with_ledger("select particulars as entity, n as txn_count from q where n < 5", _BIQR)
 S["iqr_anomalies"] = with_ledger(
     f"select {iso('txn_date')} as txn_date, vch_no, fiscal_year, particulars as customer, {_flag_cols('debit_amount')} from flagged",
     _SIQR,

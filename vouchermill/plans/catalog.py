@@ -21,7 +21,7 @@ from vouchermill.sources import trade_tables as tables
 from vouchermill.sources.readers import read_clean_ledger, read_daybook, read_register, read_table
 from vouchermill.sources.ledger_store import read_store, replace_years
 from vouchermill.sources.voucher_tables import numbered_rows, unnumbered_rows, write_by_voucher
-from vouchermill.sources.writers import write_ledger, write_result
+from vouchermill.sources.writers import export_ledger, write_ledger, write_result
 from vouchermill.streaming import baselines, ingest, scoring, totals
 
 # parameters of the registered queries, chosen to reach every branch of the data
@@ -274,6 +274,10 @@ def iqr_anomalies(spark, folder):
     return flagged.withColumn("txn_date", iso(F.col("txn_date"))).withColumnRenamed("entity", "customer")
 
 
+def _purchase_rows(spark, folder):
+    return tables.ledger(spark, folder, ("Purchase",)).filter(F.col("credit_amount") > 0)
+
+
 def iqr_event_anomalies(spark, folder):
     flagged = anomalies.iqr_anomalies(_events(spark, folder), "user_id", "value")
     return flagged.select(
@@ -453,6 +457,14 @@ def _stored_ledger(spark, folder) -> DataFrame:
     return read_clean_ledger(spark, target)
 
 
+def _exported_ledger(spark, folder) -> DataFrame:
+    """The derived ledger as CSV under the names of an exported file, read back."""
+    target = shared_folder(spark, "export")
+    rows = tables.ledger(spark, folder, derived=True).withColumn("source_year", F.lit("trade"))
+    export_ledger(rows, target)
+    return read_clean_ledger(spark, target, "csv")
+
+
 def stored_week_53(spark, folder):
     """Rows and amounts on the days of an ISO week 53, which few fiscal years have."""
     stored = _stored_ledger(spark, folder)
@@ -620,6 +632,10 @@ def registry() -> dict[str, Query]:
         # anomalies
         "iqr_baseline": lambda s, d: anomalies.iqr_baseline(_sales_rows(s, d), "particulars", "debit_amount"),
         "iqr_skipped": lambda s, d: anomalies.iqr_skipped(_sales_rows(s, d), "particulars"),
+        "iqr_supplier_baseline": lambda s, d: anomalies.iqr_baseline(
+            _purchase_rows(s, d), "particulars", "credit_amount"
+        ),
+        "iqr_skipped_suppliers": lambda s, d: anomalies.iqr_skipped(_purchase_rows(s, d), "particulars"),
         "iqr_anomalies": iqr_anomalies,
         "iqr_event_anomalies": iqr_event_anomalies,
         "all_anomalies": lambda s, d: anomalies.by_deviation(_all_anomalies(s, d)),
@@ -687,6 +703,7 @@ def registry() -> dict[str, Query]:
         "stored_ledger_revenue": lambda s, d: r.monthly_revenue_fy(_stored_ledger(s, d), FY),
         "stored_ledger_profile": lambda s, d: r.ledger_profile(_stored_ledger(s, d)),
         "stored_ledger_comparison": lambda s, d: r.yoy_comparison(_stored_ledger(s, d), PRIOR, CURRENT),
+        "stored_ledger_csv": lambda s, d: r.monthly_revenue_fy(_exported_ledger(s, d), FY),
         "stored_week_53": stored_week_53,
         "stored_year_replaced": stored_year_replaced,
         "stored_overlap": stored_overlap,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from vouchermill.schemas import LEDGER_EXPORT_NAMES
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", order_by: list | None = None) -> None:
@@ -37,3 +39,9 @@ def write_ledger(
         .partitionBy(*partition_by)
         .parquet(path)
     )
+
+
+def export_ledger(df: DataFrame, path: str) -> None:
+    """Clean ledger as CSV files under the names of an exported file, for ``read_clean_ledger(fmt="csv")``."""
+    named = df.select(*[F.col(b).alias(a) for a, b in LEDGER_EXPORT_NAMES.items()])
+    named.write.mode("overwrite").option("header", True).csv(path)
