@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from vouchermill.functions.calendar import ledger_calendar, with_calendar
 from vouchermill.operators.slicers import ledger_of_days
+from vouchermill.plans import catalog
 from vouchermill.schemas import LEDGER
 from vouchermill.sources.ledger_store import published_number, read_store, replace_years
 from vouchermill.sources.readers import read_clean_ledger
@@ -89,3 +90,14 @@ def test_years_without_a_day_of_the_calendar_are_pruned_at_run_time(spark, make_
     found = ledger_of_days(stored, days.unionByName(days))
     assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(short(found)) == [("2020-21", "Purchase", 6), ("2020-21", "Sales", 5)]
+
+
+def test_columns_that_follow_from_others_are_not_shuffled(spark, make_ledger, tmp_path, monkeypatch):
+    asked, path = [], str(tmp_path / "ledger")
+    monkeypatch.setattr(catalog, "shared_folder", lambda spark, purpose: path)
+    monkeypatch.setattr(catalog.tables, "ledger", lambda spark, folder, derived=False: make_ledger(FIRST))
+    monkeypatch.setattr(catalog, "write_ledger", lambda df, *a, **b: asked.append(df.columns) or write_ledger(df, *a, **b))
+    got = rows_of(catalog._stored_ledger(spark, ""), "txn_date", "vch_no")
+    want = rows_of(full(make_ledger(FIRST)).withColumn("source_year", F.lit("trade")), "txn_date", "vch_no")
+    assert got == want
+    assert not {"month_name", "day_of_week", "quarter", "month_num", "source_year"} & set(asked[0])

@@ -86,19 +86,20 @@ def of_fiscal_years(ledger: DataFrame, *years: str) -> DataFrame:
     return ledger.filter(wanted)
 
 
+def calendar_columns(d: Column, start_month: int = FY_START) -> dict[str, Column]:
+    return {
+        "fiscal_year": fiscal_year(d, start_month),
+        "month_num": F.month(d),
+        "fiscal_month_num": fiscal_month_num(d, start_month),
+        "month_name": month_name(d),
+        "day_of_week": day_name(d),
+        "quarter": fiscal_quarter(d, start_month),
+    }
+
+
 def with_calendar(df: DataFrame, date: str = "txn_date", start_month: int = FY_START) -> DataFrame:
     """Add every derived date column; those a query does not read are pruned."""
-    d = F.col(date)
-    return df.withColumns(
-        {
-            "fiscal_year": fiscal_year(d, start_month),
-            "month_num": F.month(d),
-            "fiscal_month_num": fiscal_month_num(d, start_month),
-            "month_name": month_name(d),
-            "day_of_week": day_name(d),
-            "quarter": fiscal_quarter(d, start_month),
-        }
-    )
+    return df.withColumns(calendar_columns(F.col(date), start_month))
 
 
 def calendar(bounds: DataFrame, start_month: int = FY_START) -> DataFrame:

@@ -452,8 +452,9 @@ def stream_ingest_lines(spark, folder):
 def _stored_ledger(spark, folder) -> DataFrame:
     """The derived ledger, written as a stored one and read back."""
     target = shared_folder(spark, "ledger")
-    rows = tables.ledger(spark, folder, derived=True).withColumn("source_year", F.lit("trade"))
-    write_ledger(rows.select(*LEDGER.fieldNames()), target)
+    derived = cal.calendar_columns(F.col("txn_date")) | {"source_year": F.lit("trade")}
+    rows = tables.ledger(spark, folder).withColumn("fiscal_year", derived.pop("fiscal_year"))
+    write_ledger(rows, target, derived=derived)
     return read_clean_ledger(spark, target)
 
 
