@@ -91,6 +91,22 @@ def test_a_batch_reads_the_index_and_not_the_ledger(spark, tmp_path):
     assert ingest.own_lines(mine, index).count() == 1
 
 
+def test_the_text_of_a_batch_is_parsed_once(spark, tmp_path, monkeypatch):
+    read, columns = [], []
+    for name in ("first_books", "own_lines"):
+        def spy(batch, index, call=getattr(ingest, name)):
+            read.extend(batch.inputFiles())
+            columns.append(batch.columns)
+            return call(batch, index)
+
+        monkeypatch.setattr(ingest, name, spy)
+    land(tmp_path / "in", "a.csv", ["2024-05-01,A,GST Sales New,S1,10,", "01-05-2024,B,Receipt,,,5"])
+    assert [r["fiscal_year"] for r in run_ingest(spark, tmp_path)] == ["2024-25"] * 2
+    assert len(read) >= 2 and all(f.endswith(".parquet") for f in read)
+    # columns that follow from others are made for the lines that stay only
+    assert all("month_name" not in names for names in columns)
+
+
 EVENTS = "ts timestamp_ntz, kind string, value decimal(18,2)"
 
 

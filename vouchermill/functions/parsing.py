@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 _BLANKS = " \t\r\n\f\v"
@@ -9,9 +11,21 @@ _BLANKS = " \t\r\n\f\v"
 DATE_FORMATS = ("yyyy-MM-dd", "dd-MM-yyyy")
 
 
+def _may_have(text: Column, fmt: str) -> Column:
+    """False only for texts that cannot have the format: its first separator stands right behind the leading
+    field, which has a fixed width (a year may have more digits after a plus sign)."""
+    lead = re.match("[A-Za-z]*", fmt)[0]
+    if lead not in ("yyyy", "MM", "dd") or lead == fmt:
+        return F.lit(True)
+    behind = F.substring(text, len(lead) + 1, 1) == fmt[len(lead)]
+    return behind | text.startswith("+") if lead == "yyyy" else behind
+
+
 def parse_mixed_date(c: Column, formats: tuple = DATE_FORMATS) -> Column:
+    """The first format that a text has. Formats that it cannot have are not tried: a failed attempt costs
+    an exception, several times the parsing of a date."""
     text = trim_text(c)
-    return F.coalesce(*[F.try_to_date(text, f) for f in formats])
+    return F.coalesce(*[F.when(_may_have(text, f), F.try_to_date(text, f)) for f in formats])
 
 
 def parse_amount_or_zero(c: Column) -> Column:

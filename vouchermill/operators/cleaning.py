@@ -67,20 +67,27 @@ def keep_positive_rows(df: DataFrame) -> DataFrame:
     return df.filter(positive_row())
 
 
-def clean_daybook(raw: DataFrame, source_year: str | Column, keep: tuple = ()) -> DataFrame:
-    """All cleaning steps, ending in the ledger columns and those to keep."""
-    clean = (
+def clean_rows(raw: DataFrame) -> DataFrame:
+    """The cleaning steps without the columns that follow from others."""
+    return (
         raw.transform(rename_positional)
         .transform(drop_repeated_headers)
         .transform(parse_date_or_drop)
         .transform(parse_amounts)
         .transform(trim_texts)
         .transform(drop_summary_rows)
-        .transform(tag_source_year(source_year))
-        .transform(with_calendar)
-        .transform(add_category)
     )
-    return clean.select(*LEDGER.fieldNames(), *keep)
+
+
+def as_ledger(rows: DataFrame, source_year: str | Column, keep: tuple = ()) -> DataFrame:
+    """Clean rows with all ledger columns and those to keep."""
+    full = rows.transform(tag_source_year(source_year)).transform(with_calendar).transform(add_category)
+    return full.select(*LEDGER.fieldNames(), *keep)
+
+
+def clean_daybook(raw: DataFrame, source_year: str | Column, keep: tuple = ()) -> DataFrame:
+    """All cleaning steps, ending in the ledger columns and those to keep."""
+    return as_ledger(clean_rows(raw), source_year, keep)
 
 
 #: why a raw row is dropped, in the order of the steps

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vouchermill.operators.cleaning import clean_daybook
+from vouchermill.operators.cleaning import as_ledger, clean_rows
 from vouchermill.schemas import LEDGER, RAW_DAYBOOK
 
 LAYOUT = ("fiscal_year", "txn_category")
@@ -23,6 +23,10 @@ BUCKETS = 64
 _BOOK, _ARRIVED = "_book", "_arrived"
 
 
+def _folder_of(file: Column) -> Column:
+    return F.left(file, F.length(file) - F.length(F.substring_index(file, "/", -1)) - 1)
+
+
 def read_daybook_stream(spark: SparkSession, path: str, files_per_batch: int = 1000, book: str = "file") -> DataFrame:
     """Raw lines with their book (`file`: its path, `folder`: that of its folder) and when its file arrived."""
     file = F.col("_metadata.file_path")
@@ -33,7 +37,7 @@ def read_daybook_stream(spark: SparkSession, path: str, files_per_batch: int = 1
         .csv(path)
         .select(
             *RAW_DAYBOOK.fieldNames(),
-            (file if book == "file" else F.regexp_replace(file, "/[^/]*$", "")).alias(_BOOK),
+            (file if book == "file" else _folder_of(file)).alias(_BOOK),
             F.struct(F.col("_metadata.file_modification_time"), file).alias(_ARRIVED),
         )
     )
@@ -67,24 +71,27 @@ def ingest_daybook(
     Processes what is there and stops. A batch writes a folder of its own to the
     index (``target``-vouchers) and to the ledger, with the layout of a stored
     ledger below it, and compares itself with the other batches' index only, so a
-    batch that is run again replaces its own rows.
+    batch that is run again replaces its own rows. Its text is parsed and cleaned once,
+    into ``target``-arrived, which holds the last batch only; index and ledger are made from that, and columns
+    that follow from others are added to the lines that stay.
     """
-    columns = LEDGER.fieldNames()
     index_folder = f"{target}-vouchers"
     # empty tables, so that there is always something to read
     spark.createDataFrame([], LEDGER).write.partitionBy(*LAYOUT).mode("ignore").parquet(f"{target}/batch=-1")
     spark.createDataFrame([], "vch_no string, book string, bucket int").write.partitionBy("bucket").mode("ignore").parquet(f"{index_folder}/batch=-1")
 
-    def append(batch: DataFrame, number: int) -> None:
+    def append(arrived: DataFrame, number: int) -> None:
+        arrived.write.mode("overwrite").parquet(f"{target}-arrived")
+        batch = arrived.sparkSession.read.schema(arrived.schema).parquet(f"{target}-arrived")
         index = batch.sparkSession.read.schema(INDEX).parquet(index_folder)
         fresh = first_books(batch, index.filter(F.col("batch") != number))
         fresh.write.partitionBy("bucket").mode("overwrite").parquet(f"{index_folder}/batch={number}")
         index = batch.sparkSession.read.schema(INDEX).parquet(index_folder)
-        rows = own_lines(batch, index).select(*columns)
+        rows = as_ledger(own_lines(batch, index), source_year)
         rows.write.partitionBy(*LAYOUT).mode("overwrite").parquet(f"{target}/batch={number}")
 
     return (
-        clean_daybook(read_daybook_stream(spark, source, files_per_batch, book), source_year, (_BOOK, _ARRIVED))
+        clean_rows(read_daybook_stream(spark, source, files_per_batch, book))
         .writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
