@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from vouchermill.operators import anomalies
-from vouchermill.schemas import LEDGER
+from vouchermill.plans import catalog
+from vouchermill.schemas import LEDGER, RAW_DAYBOOK
 from vouchermill.streaming import baselines, ingest, scoring, totals
 
 
@@ -107,6 +108,14 @@ def test_the_text_of_a_batch_is_parsed_once(spark, tmp_path, monkeypatch):
     assert all("month_name" not in names for names in columns)
 
 
+def test_files_of_a_book_grow_with_the_cores(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "_ingested", lambda spark, raw, files_per_batch: (raw, files_per_batch))
+    sheet = spark.createDataFrame([(f"2024-05-{i % 28 + 1:02}", "A", "Contra", f" V/{i}", "1", None) for i in range(60)], RAW_DAYBOOK)
+    monkeypatch.setattr(catalog.tables, "raw_daybook", lambda spark, folder: sheet)
+    raw, files_per_batch = catalog.stream_ingest_lines(spark, "")
+    assert raw.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism == 4 and files_per_batch == 3
+
+
 EVENTS = "ts timestamp_ntz, kind string, value decimal(18,2)"
 
 

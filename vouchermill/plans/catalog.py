@@ -443,7 +443,9 @@ def stream_ingest_lines(spark, folder):
     raw = tables.raw_daybook(spark, folder)
     number = F.trim("_c3").substr(3, 20).try_cast("bigint")
     shared = F.concat(F.lit("V/"), F.call_function("div", number, F.lit(3)))
-    return _ingested(spark, raw.withColumn("_c3", F.coalesce(shared, "_c3")).repartition(3, "_c0"), 2)
+    # a file for every core, three at least; two thirds of a book's files are a batch
+    files = max(3, spark.sparkContext.defaultParallelism)
+    return _ingested(spark, raw.withColumn("_c3", F.coalesce(shared, "_c3")).repartition(files, "_c0"), -(-2 * files // 3))
 
 
 # ---------------------------------------------------------------- stored tables
