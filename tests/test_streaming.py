@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -116,6 +117,16 @@ def test_files_of_a_book_grow_with_the_cores(spark, monkeypatch):
     assert raw.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism == 4 and files_per_batch == 3
 
 
+def test_a_batch_compares_entities_with_bucket_counts_only(spark, tmp_path):
+    """The amounts, most of the log, are not joined to the batch's entities once more."""
+    log = str(tmp_path / "log")
+    df = spark.range(50).select(F.concat(F.lit("u"), "id").alias("who"), F.col("id").cast("decimal(18,2)").alias("value"))
+    baselines.add_batch(df, 0, log, "who", "value")
+    found = baselines.read_baselines(spark, log, "who", only=df.filter("who < 'u3'"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"LeftSemi.*_e#", plan)) == len(re.findall(r"level#\d+ = bucket", plan)) > 0
+
+
 EVENTS = "ts timestamp_ntz, kind string, value decimal(18,2)"
 
 

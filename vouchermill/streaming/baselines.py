@@ -87,14 +87,15 @@ def read_baselines(
     ``only`` holds rows of the entities wanted, in the column ``entity``.
     """
     log = read_parts(spark, target, log_schema(entity_type), upto)
+    counts = log.filter(F.col("level") == "bucket")
     if only is not None:
         wanted = only.select(F.col(entity).alias("_e"), part_of(F.col(entity)).alias("part")).distinct()
         # at most PARTS rows: they prune folders at run time
-        log = log.join(F.broadcast(wanted.select("part").distinct()), "part", "left_semi")
-        log = log.join(wanted, ["part", "_e"], "left_semi")
-    buckets = log.filter(F.col("level") == "bucket").groupBy("_e", "_b").agg(
-        F.sum("_n").alias("_n"), F.sum("_s").alias("_s")
-    )
+        parts = F.broadcast(wanted.select("part").distinct())
+        log = log.join(parts, "part", "left_semi")
+        # the amounts meet the wanted entities' buckets anyway, so only the buckets are reduced to them here
+        counts = counts.join(parts, "part", "left_semi").join(wanted, ["part", "_e"], "left_semi")
+    buckets = counts.groupBy("_e", "_b").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
     amounts = log.filter(F.col("level") == "amount").select("_e", "_b", "_a", "_n")
     quartiles = counted_quartiles(buckets, amounts).withColumnRenamed("_e", entity)
     return fences(quartiles, entity, config)
